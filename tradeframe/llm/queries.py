@@ -18,6 +18,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fractions import Fraction
+
+    from tradeframe.llm.ngram_jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, threshold=Fraction(9, 10))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradeframe.llm.token_count import token_counts
 
@@ -33,16 +41,31 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, manifest)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradeframe.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradeframe.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradeframe.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
+    "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

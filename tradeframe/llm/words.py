@@ -120,3 +120,18 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     if not len(hashes):
         return np.empty(0, np.uint64)
     return np.unique(window_hashes(hashes, min(width, len(hashes))))
+
+
+#: All but letters, digits and bytes of other scripts.
+BETWEEN = ~(LETTER | np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x80, 0x100)]))
+
+
+def prefix_hashes(words: BatchWords, raw: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first `size` bytes of each word; 0 for shorter words."""
+    at = np.flatnonzero(words.ends - words.starts >= size)
+    part = np.full(len(at), FACTORS[LONG] + np.uint64(size), np.uint64)
+    for k in range(size):
+        part += (raw[words.starts[at] + k].astype(np.uint64) + np.uint64(1)) * FACTORS[k]
+    out = np.zeros(len(words.starts), np.uint64)
+    out[at] = mix(part) | np.uint64(1)
+    return out

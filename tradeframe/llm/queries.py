@@ -47,6 +47,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, manifest)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradeframe.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradeframe.llm.warc import derivative_records, responses
+
+    return derivative_records(responses(table(spark, sf_dir, "pages"))).withColumnRenamed("page", "page_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradeframe.llm.decontaminate import contaminated
 
@@ -76,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
+    "op5_lm_scores": op5_lm_scores,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,

@@ -1,9 +1,11 @@
 """Similarity join of documents on word shingles by parity sketches.
 
-A sketch has a word of 64 bits for each of B buckets. Each shingle of a document flips one bit: its hash picks the
-bucket and the bit. Shingles that two documents share cancel out, so the bits in which their sketches differ are at
-most the shingles in which the documents differ. Documents as similar as asked differ in at most d shingles, d known
-from the size band, so with B = d + 1 buckets one bucket at least is the same in both: buckets are the keys of the join.
+A sketch is a wide row of bits, cut into B buckets. Each shingle of a document flips one bit: its hash picks the bucket
+and the bit. Shingles that two documents share cancel out, so the bits in which their sketches differ are at most the
+shingles in which the documents differ. Documents as similar as asked differ in at most d shingles, d known from the
+size band, so of B = d + 1 + s buckets s + 1 at least are the same in both: buckets are the keys of the join. A bucket
+is kept as the XOR of a random number for each bit that is set. Of its keys a document leaves out the s that most sets
+have, such as those of common phrases: the rarest of the s + 1 in common is among those of neither side.
 
 Groups of one bucket are not paired out. Each of its sets is compared with the least of them, the centre, by the exact
 shingles. Sets similar to it are linked. Two sets of the group that are not both linked to the centre can only be
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tradeframe.llm.components import components
 from tradeframe.llm.shared import Saved, over_batches, small_batches
@@ -58,19 +61,23 @@ def signature(hashes: np.ndarray) -> int:
     return int(mix(both[:1] + both[1:2] * np.uint64(3) + both[2:] * np.uint64(5))[0].view(np.int64))
 
 
-def sketch_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """A set's join keys: each bucket of its sketches for its own band and for the next, in which a larger partner may be."""
-    out = []
+def sketch_keys(hashes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """A set's join keys: the buckets of its sketches for its own band and for the next, in which a larger partner may
+    be; and for each key its band and how many of the band's keys may be left out, as one number."""
+    keys, rooms = [], []
     own = bands.band(len(hashes))
+    bits = mix(hashes)
     for band in (own, own + 1):
-        buckets = bands.differ(band) + 1
+        differ = bands.differ(band)
+        spare = differ // 8
+        buckets = differ + 1 + spare
         which = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        bits = np.uint64(1) << (hashes & np.uint64(63))
         sketch = np.zeros(buckets, np.uint64)
         np.bitwise_xor.at(sketch, which, bits)
         place = mix(np.arange(buckets, dtype=np.uint64) + (np.uint64(band) << np.uint64(32)))
-        out.append(mix(sketch + place))
-    return np.concatenate(out).view(np.int64)
+        keys.append(mix(sketch + place))
+        rooms.append(np.full(buckets, spare << 1 | band & 1))
+    return np.concatenate(keys).view(np.int64), np.concatenate(rooms)
 
 
 def pack_set(hashes: np.ndarray) -> bytes:
@@ -78,7 +85,7 @@ def pack_set(hashes: np.ndarray) -> bytes:
 
 
 def _signed_sets(docs: DataFrame, width: int, keys: Bands | None) -> DataFrame:
-    """(id, n, sig) of each row; with keys, (sig, keys) of each set once a batch."""
+    """(id, n, sig) of each row; with keys, (sig, key, room) of each set once a batch."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = BatchWords(batch.column(1))
@@ -88,12 +95,25 @@ def _signed_sets(docs: DataFrame, width: int, keys: Bands | None) -> DataFrame:
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["id", "n", "sig"])
         once = {s: x for s, x in zip(sig, found, strict=True) if len(x)}
         flat = [sketch_keys(x, keys) for x in once.values()]
-        where = np.repeat(np.fromiter(once, np.int64, len(once)), [len(x) for x in flat])
-        return pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.concatenate(flat) if flat else where)], ["sig", "key"])
+        none = np.empty(0, np.int64)
+        where = np.repeat(np.fromiter(once, np.int64, len(once)), [len(x) for x, _ in flat])
+        both = [np.concatenate([none, *(x[i] for x in flat)]) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(where), pa.array(both[0]), pa.array(both[1], pa.int32())], ["sig", "key", "room"])
 
     if keys is None:
         return over_batches(docs, sets, "id bigint, n bigint, sig bigint")
-    return over_batches(docs, sets, "sig bigint, key bigint")
+    return over_batches(docs, sets, "sig bigint, key bigint, room int")
+
+
+def _first_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): each set with the least set of each group it is in, left out the groups that may be."""
+    group = Window.partitionBy("key")
+    # one exchange of all keys; of most only one set is found here
+    shared = keys.withColumns({"b": F.min("sig").over(group), "top": F.max("sig").over(group), "many": F.count("*").over(group)}).where("b <> top")
+    mine = shared.groupBy("sig", "room").agg(F.collect_set(F.struct("many", "key", "b")).alias("groups"))
+    spare = F.shiftright("room", 1)
+    rarest = F.slice(F.sort_array("groups", asc=False), spare + 1, F.greatest(F.size("groups") - spare, F.lit(0)))
+    return mine.select(F.col("sig").alias("a"), F.explode(F.array_distinct(F.transform(rarest, lambda x: x["b"]))).alias("b")).where("a <> b").distinct()
 
 
 def _sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -130,39 +150,41 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
 
 def _apart_items(rows: DataFrame) -> DataFrame:
-    """A row for each hash in apart."""
+    """(item, pair) for each hash in apart; item also stands for the group."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        items = [mix(np.frombuffer(x, np.uint64) + np.uint64(b & (1 << 64) - 1)) for x, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         at = pa.array(np.repeat(np.arange(len(items)), [len(x) for x in items]))
-        rest = [batch.column(i).take(at) for i in (0, 2, 3, 4)]
-        return pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate(items) if items else np.empty(0, np.int64))], ["b", "a", "n", "component", "item"])
+        flat = np.concatenate(items) if items else np.empty(0, np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(at)], ["item", "pair"])
 
-    return over_batches(rows, run, "b bigint, a bigint, n bigint, component bigint, item bigint")
+    return over_batches(rows.select("pair", "apart", "b"), run, "item bigint, pair bigint")
 
 
 def _second_pairs(compared: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs of one group that may be similar, aren't in one component yet, and share what tells them from the centre."""
     label = labels.select(F.col("node").alias("a"), F.col("component").alias("own"))
-    centre = labels.select(F.col("node").alias("b"), F.col("component").alias("centre"))
-    members = compared.join(label, "a", "left").join(centre, "b", "left")
-    members = members.select("b", "apart", "a", F.col("n_a").alias("n"), F.coalesce("own", "a").alias("component"), "linked", F.length("apart").alias("bytes"))
-    # a group with nothing outside the centre's component has no pair left
-    open_groups = members.where(~F.col("linked")).select("b").distinct()
-    members = members.join(open_groups, "b", "left_semi").drop("linked", "bytes")
+    known = compared.join(label, "a", "left").withColumn("component", F.coalesce("own", "a"))
+    # a group whose sets, beside the centre, are in one component has no pair left
+    open_groups = known.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
+    members = known.join(open_groups, "b", "left_semi")
+    size = (F.length("apart") / 8).cast("int")
+    members = members.select(F.xxhash64("a", "b").alias("pair"), "b", "a", F.col("n_a").alias("n"), "component", size.alias("size"), "apart")
     items = _apart_items(members)
-    # what one set alone has meets nobody: it only takes a place in the prefix
-    rare = items.groupBy("b", "item").agg(F.count("*").alias("df"))
+    # what one set alone has meets nobody: it only takes the first places of the order, rarest first
+    common = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    lists = items.join(common, "item").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
     t = float((1 - threshold) / threshold)
-    ranked = items.join(rare, ["b", "item"]).groupBy("b", "a", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
-    # two sets that differ by d at most, d <= n (1 - t) / t, share all but d of what the larger has apart: one of its first d + 1
-    prefix = ranked.select("b", "a", "n", "component", F.size("items").alias("size"), F.posexplode(F.slice("items", F.lit(1), (F.floor(F.col("n") * t + 1e-6) + 1).cast("int"))).alias("rank", "it"))
-    prefix = prefix.where("it.df > 1").select("b", F.col("it.item").alias("item"), "a", "n", "component", "size", "rank")
+    ranked = members.drop("apart").join(lists, "pair").withColumn("alone", F.col("size") - F.size("items"))
+    # two sets that differ by d at most, d <= n (1 - t) / t, share all but d of what either has apart: one of its first d + 1
+    first = F.greatest(F.floor(F.col("n") * t + 1e-6).cast("int") + 1 - F.col("alone"), F.lit(0))
+    prefix = ranked.select("b", "a", "n", "component", "size", "alone", F.posexplode(F.slice("items", F.lit(1), first)).alias("nth", "it"))
+    prefix = prefix.select(F.col("it.item").alias("item"), "a", "n", "component", "size", (F.col("alone") + F.col("nth")).alias("rank"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    # of the d in which the two may differ, d <= (n_x + n_y) (1 - t) / (1 + t); they share (size_x + size_y - d) / 2 at least, so one of each prefix that leaves fewer out
+    # d <= (n_x + n_y) (1 - t) / (1 + t): they share (size_x + size_y - d) / 2 at least, so one of each prefix that leaves fewer out
     d = (F.col("x.n") + F.col("y.n")) * float((1 - threshold) / (1 + threshold)) + 1e-6
     share = F.ceil((F.col("x.size") + F.col("y.size") - d) / 2 - 1e-6)
-    where = (F.col("x.b") == F.col("y.b")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.component") != F.col("y.component"))
+    where = (F.col("x.item") == F.col("y.item")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.component") != F.col("y.component"))
     where &= (share <= F.col("x.size") - F.col("x.rank")) & (share <= F.col("y.size") - F.col("y.rank"))
     where &= (F.col("x.n") >= F.col("y.n") * float(threshold) - 1e-6) & (F.col("y.n") >= F.col("x.n") * float(threshold) - 1e-6)
     return x.join(y, where).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
@@ -181,9 +203,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fr
     signed = Saved(_signed_sets(rows, width, None), "signed")
     known = rows.where(F.col("id").isNotNull())
     keys = _signed_sets(known, width, bands)
-    # sets that share a bucket with another; sums are taken before rows move, so that a hot bucket is one row a task
-    centres = keys.groupBy("key").agg(F.min("sig").alias("b"), F.max("sig").alias("top")).where("b <> top").select("key", "b")
-    pairs = Saved(keys.join(centres, "key").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct(), "pairs")
+    pairs = Saved(_first_pairs(keys), "pairs")
     wanted = pairs.df.select(F.col("a").alias("sig")).union(pairs.df.select(F.col("b").alias("sig"))).distinct()
     sets = Saved(_sets_of(known, signed.df.where("id is not null"), wanted, width), "sets")
     compared = Saved(_compare(pairs.df, sets.df, threshold), "compared")

@@ -1,10 +1,170 @@
-"""Queries of the library's own operators, with the SQL that gives the same rows."""
+"""Queries of the library's own operators, with the SQL that gives the same rows. Doubles are rounded here, not in the operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tradeframe.operators import bars, trades, windows
+from tradeframe.sources.tables import TRADES_SQL, table
+from tradeframe.sources.tables import trades as trades_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def round_all(df: DataFrame) -> DataFrame:
+    """Doubles to six places: sums of doubles depend on the order of their terms."""
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def add(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: round_all(make(spark, sf_dir))
+    ORACLE_SQL[name] = sql
+
+
+def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades.normalise_trades(trades_of(spark, sf_dir))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades.base_pairs(norm(spark, sf_dir))
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades.with_price(pairs(spark, sf_dir))
+
+
+def by_norm(name: str, fn: Callable[[DataFrame], DataFrame], select: str) -> None:
+    add(name, lambda spark, d: fn(norm(spark, d)), TRADES_SQL + select)
+
+
+def r(expression: str, name: str) -> str:
+    return f"round({expression}, 6) AS {name}"
+
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+add(
+    "ohlc_block",
+    lambda spark, d: trades.ohlc(priced(spark, d).withColumn("bar_us", F.floor(F.col("us") / HOUR) * HOUR), ["mint", "bar_us"]),
+    TRADES_SQL + f"""SELECT mint, us // {HOUR} * {HOUR} AS bar_us, {r("arg_min(price, (us, row_index))", "open")}, {r("max(price)", "high")}, {r("min(price)", "low")},
+  {r("arg_max(price, (us, row_index))", "close")}, {r("sum(price * sol_amount) / sum(sol_amount)", "vwap")}, {r("sum(sol_amount)", "sol_volume")},
+  {r("sum(token_amount)", "token_volume")}, count(*) AS transactions, count(DISTINCT price) AS unique_prices, {r("stddev_samp(price)", "price_stddev")}
+FROM priced_pairs GROUP BY ALL""",
+)
+
+SPENT = "coalesce(sum(CASE WHEN is_buy THEN sol_amount END), 0e0)"
+BACK = "coalesce(sum(CASE WHEN is_sell THEN sol_amount END), 0e0)"
+SIZE = "CASE WHEN sol_amount > 0 THEN sol_amount END"
+by_norm("trader_volume", trades.trader_volume, f"""SELECT swapper, {r(SPENT, "sol_spent")}, {r(BACK, "sol_received")}, {r(f"avg({SIZE})", "avg_size")}, {r(f"quantile_cont({SIZE}, 0.5)", "median_size")},
+  {r(f"max({SIZE})", "max_size")}, {r(f"min({SIZE})", "min_size")}, {r(f"stddev_samp({SIZE})", "std_size")}, {r(f"{BACK} - {SPENT}", "net_sol")} FROM norm GROUP BY swapper""")
+by_norm("trader_diversification", trades.trader_diversification, f"""SELECT swapper, count(*) AS coins, CAST(sum(n) AS BIGINT) AS trades, {r("sum(n) * 1e0 / count(*)", "trades_per_coin")}, {r("max(n) * 1e0 / sum(n)", "max_share")}
+FROM (SELECT swapper, mint, count(*) AS n FROM norm GROUP BY ALL) GROUP BY swapper""")
+by_norm("trader_timing", trades.trader_timing, f"""SELECT swapper, {r("(max(us) - min(us)) / 3.6e9", "span_hours")}, count(DISTINCT us // {HOUR}) AS active_hours, count(DISTINCT us // {DAY}) AS active_days,
+  {r("(max(us) - min(us)) / 3.6e9 / nullif(count(*) - 1, 0)", "mean_gap_hours")}, {r(f"count(*) * 1e0 / count(DISTINCT us // {HOUR})", "trades_per_active_hour")} FROM norm GROUP BY swapper""")
+ROUNDS = "0.01, 0.02, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 40.0, 50.0, 75.0, 100.0, 200.0, 250.0, 500.0, 1000.0, 2000.0, 2500.0, 5000.0, 10000.0"
+IS_ROUND = f"sol_amount > 0 AND floor(sol_amount) IN ({ROUNDS})"
+by_norm("trader_round_numbers", trades.trader_round_numbers, f"""SELECT swapper, count(CASE WHEN sol_amount > 0 THEN 1 END) AS base_trades, count(CASE WHEN {IS_ROUND} THEN 1 END) AS round_trades,
+  {r(f"count(CASE WHEN {IS_ROUND} THEN 1 END) * 1e0 / nullif(count(CASE WHEN sol_amount > 0 THEN 1 END), 0)", "round_share")} FROM norm GROUP BY swapper""")
+by_norm("trader_trade_types", trades.trader_trade_types, f"""SELECT swapper, count(CASE WHEN swap_from_mint = 'SOL' THEN 1 END) AS base_to_token, count(CASE WHEN swap_to_mint = 'SOL' THEN 1 END) AS token_to_base,
+  count(CASE WHEN swap_from_mint <> 'SOL' AND swap_to_mint <> 'SOL' THEN 1 END) AS token_to_token, count(DISTINCT CASE WHEN swap_to_mint <> 'SOL' THEN swap_to_mint END) AS tokens_bought,
+  count(DISTINCT CASE WHEN swap_from_mint <> 'SOL' THEN swap_from_mint END) AS tokens_sold,
+  {r("count(CASE WHEN swap_from_mint = 'SOL' THEN 1 END) * 1e0 / nullif(count(CASE WHEN swap_to_mint = 'SOL' THEN 1 END), 0)", "buy_sell_ratio")} FROM norm GROUP BY swapper""")
+HELD = f""", held AS (SELECT swapper, mint, {SPENT} AS spent, {BACK} AS back, count(CASE WHEN is_buy THEN 1 END) AS buys, count(CASE WHEN is_sell THEN 1 END) AS sells,
+  count(*) AS n, (max(us) - min(us)) / 3.6e9 AS hours FROM norm GROUP BY swapper, mint)
+"""
+by_norm("positions", trades.positions, HELD + f"""SELECT swapper, mint, {r("spent", "sol_spent_on_coin")}, {r("back", "sol_received_from_coin")}, buys AS buy_trades, sells AS sell_trades, n AS total_coin_trades,
+  {r("hours", "hours_active_on_coin")}, {r("back - spent", "net_sol_pnl_per_coin")}, {r("CASE WHEN spent > 0 THEN (back - spent) / spent END", "roi_on_coin")} FROM held""")
+by_norm("trader_pnl", lambda n: trades.trader_pnl(trades.positions(n)), HELD + f"""SELECT swapper, count(*) AS positions, {r("count(CASE WHEN back - spent > 0 THEN 1 END) * 1e0 / count(*)", "win_rate")}, {r("avg(back - spent)", "avg_pnl")},
+  {r("avg(CASE WHEN spent > 0 THEN (back - spent) / spent END)", "avg_roi")}, {r("sum(buys) * 1e0 / nullif(sum(sells), 0)", "buy_sell_ratio")} FROM held GROUP BY swapper""")
+by_norm("coin_pnl", lambda n: trades.coin_pnl(trades.positions(n)), HELD + f"""SELECT mint, count(*) AS traders, {r("sum(back - spent)", "total_pnl")}, {r("avg(back - spent)", "avg_pnl")}, count(CASE WHEN back - spent > 0 THEN 1 END) AS winners FROM held GROUP BY mint""")
+CLASS = "CASE WHEN sol_amount >= 100 THEN 'Whale' WHEN sol_amount >= 10 THEN 'Big' WHEN sol_amount >= 1 THEN 'Medium' WHEN sol_amount > 0 THEN 'Small' ELSE 'Unknown' END"
+by_norm("early_features", lambda n: trades.early_features(n, 48.0), f""", good AS (SELECT * FROM norm WHERE succeeded), launch AS (SELECT mint, min(us) AS launch_us FROM good GROUP BY mint)
+SELECT swapper, g.mint, count(*) AS trades, {r(f"coalesce(sum({SIZE}), 0e0)", "volume")}, count(DISTINCT swap_from_mint || '|' || swap_to_mint) AS pairs, {r("count(CASE WHEN is_buy THEN 1 END) * 1e0 / count(*)", "buy_ratio")},
+  {r(f"coalesce(max({SIZE}) / sum({SIZE}), 0e0)", "concentration")}, count(DISTINCT {CLASS}) AS size_classes, {r("(min(us) - min(launch_us)) / 1e6", "entry_delay_s")}
+FROM good g JOIN launch USING (mint) WHERE us < launch_us + {48 * HOUR} GROUP BY swapper, g.mint""")
+by_norm("coin_summary", trades.coin_summary, f"""SELECT mint, count(*) AS trades, count(DISTINCT swapper) AS traders, {r("(max(us) - min(us)) / 3.6e9", "span_hours")}, {r("sum(CASE WHEN is_buy THEN sol_amount END)", "sol_in")},
+  {r("sum(CASE WHEN is_sell THEN sol_amount END)", "sol_out")}, {r(f"quantile_cont({SIZE}, 0.5)", "median_size")}, count(CASE WHEN is_buy THEN 1 END) AS buys, count(CASE WHEN is_sell THEN 1 END) AS sells FROM norm GROUP BY mint""")
+OTHER = "CASE WHEN mint = swap_to_mint THEN swap_from_mint ELSE swap_to_mint END"
+by_norm("token_volumes", trades.token_volumes, f"""SELECT mint, {r(f"sum({SIZE})", "base_volume")}, {r(f"avg({SIZE})", "avg_base")}, {r(f"max({SIZE})", "max_base")}, count({SIZE}) AS base_trades,
+  count(DISTINCT CASE WHEN {OTHER} <> 'SOL' THEN {OTHER} END) AS other_tokens, count(CASE WHEN {OTHER} <> 'SOL' THEN 1 END) AS other_trades FROM norm GROUP BY mint""")
+by_norm("daily_stats", trades.daily_stats, f"SELECT CAST(block_timestamp AS DATE) AS day, count(*) AS trades, count(DISTINCT swapper) AS traders, count(DISTINCT mint) AS coins, {r('sum(sol_amount)', 'volume')} FROM norm GROUP BY ALL")
+by_norm("hourly_pattern", trades.hourly_pattern, f"SELECT us // {HOUR} % 24 AS hour, count(*) AS trades, count(DISTINCT swapper) AS traders, {r('sum(sol_amount)', 'volume')} FROM norm GROUP BY ALL")
+by_norm("pair_stats", trades.pair_stats, f"SELECT swap_from_mint, swap_to_mint, count(*) AS trades, count(DISTINCT swapper) AS traders, {r('avg(swap_from_amount)', 'avg_from')} FROM norm GROUP BY ALL")
+by_norm("failed_share", trades.failed_share, f"SELECT succeeded, count(*) AS trades, {r('count(*) * 100e0 / sum(count(*)) OVER ()', 'percent')} FROM norm GROUP BY succeeded")
+by_norm("summary_stats", trades.summary_stats, f"SELECT count(*) AS trades, count(DISTINCT swapper) AS traders, count(DISTINCT mint) AS coins, {r(f'quantile_cont({SIZE}, 0.5)', 'median_size')}, {r(f'quantile_cont({SIZE}, 0.95)', 'p95_size')} FROM norm")
+by_norm("coins_per_trader", trades.coins_per_trader, f"SELECT coins, count(*) AS traders, {r('sum(count(*)) OVER (ORDER BY coins) * 1e0 / sum(count(*)) OVER ()', 'running_share')} FROM (SELECT swapper, count(DISTINCT mint) AS coins FROM norm GROUP BY swapper) GROUP BY coins")
+by_norm("size_mix", trades.size_mix, f"SELECT {CLASS} AS size_class, count(*) AS trades, {r('sum(sol_amount)', 'volume')} FROM norm GROUP BY ALL")
+by_norm("gap_profile", trades.gap_profile, f""", gaps AS (SELECT mint, (us - lag(us) OVER (PARTITION BY mint ORDER BY us, row_index)) / 1e6 AS gap FROM norm)
+SELECT mint, count(*) AS gaps, {r("quantile_cont(gap, 0.5)", "median_gap")}, {r("quantile_cont(gap, 0.95)", "p95_gap")}, count(CASE WHEN gap < 60 THEN 1 END) AS under_minute, count(CASE WHEN gap >= 3600 THEN 1 END) AS over_hour FROM gaps WHERE gap IS NOT NULL GROUP BY mint""")
+by_norm("dedup_trades", lambda n: trades.dedup(n, ["mint", "swapper", "swap_from_mint", "swap_to_mint", "succeeded"]), "SELECT mint, swapper, swap_from_mint, swap_to_mint, succeeded, min(row_index) AS row_index, count(*) AS copies FROM norm GROUP BY ALL")
+
+#: Blocks of an hour: those of 100 ms hold one trade each here.
+BLOCK_MS = 3_600_000
+BUYS, SELLS = "sum(CASE WHEN is_buy THEN sol_amount ELSE 0e0 END)", "sum(CASE WHEN is_sell THEN sol_amount ELSE 0e0 END)"
+SIDE = "CASE WHEN is_buy THEN 'B' ELSE 'S' END"
+add("block_flow", lambda spark, d: trades.block_flow(priced(spark, d), BLOCK_MS), TRADES_SQL + f"""SELECT mint, us // {HOUR} AS block, count(*) AS trades, max(us) - min(us) AS duration_us, {r(BUYS, "buy_volume")}, {r(SELLS, "sell_volume")},
+  {r(f"coalesce(({BUYS} - {SELLS}) / nullif({BUYS} + {SELLS}, 0), 0e0)", "imbalance")}, arg_min({SIDE}, (us, row_index)) AS first_side, arg_max({SIDE}, (us, row_index)) AS last_side,
+  count(DISTINCT swapper) AS traders, {r("arg_min(price, (us, row_index))", "price_start")}, {r("arg_max(price, (us, row_index))", "price_end")} FROM priced_pairs GROUP BY ALL""")
+add("block_sequences", lambda spark, d: trades.block_sequences(priced(spark, d), BLOCK_MS), TRADES_SQL + f""", seq AS (SELECT mint, us // {HOUR} AS block, string_agg({SIDE}, '' ORDER BY us, row_index) AS sequence FROM priced_pairs GROUP BY ALL)
+SELECT *, NOT contains(sequence, 'BB') AND NOT contains(sequence, 'SS') AND length(sequence) > 1 AS alternating, contains(sequence, 'BBB') AS has_bbb, contains(sequence, 'SSS') AS has_sss FROM seq""")
+
+
+def window_sql(cfg: windows.GridConfig) -> str:
+    """The plain form: samples joined with their coin's trades by range."""
+    columns = []
+    for name, seconds in cfg.windows:
+        w = f"b > 0 AND b <= {seconds * windows.SECOND}"
+        v, bv, sv = (f"coalesce(sum(CASE WHEN {w}{x} THEN sol_amount END), 0e0)" for x in ("", " AND is_buy", " AND is_sell"))
+        n, bn, sn = (f"count(CASE WHEN {w}{x} THEN 1 END)" for x in ("", " AND is_buy", " AND is_sell"))
+        u, bu, su = (f"count(DISTINCT CASE WHEN {w}{x} THEN swapper END)" for x in ("", " AND is_buy", " AND is_sell"))
+        ratio = lambda a, b: f"coalesce(({a}) * 1e0 / nullif({b}, 0), 0e0)"
+        std = f"coalesce(stddev_pop(CASE WHEN {w} THEN sol_amount END), 0e0)"
+        mean = f"coalesce(avg(CASE WHEN {w} THEN sol_amount END), 0e0)"
+        kinds = {k: f"count(CASE WHEN {w} AND {c} THEN 1 END)" for k, c in (("small", "sol_amount > 0 AND sol_amount < 1"), ("medium", "sol_amount >= 1 AND sol_amount < 10"), ("big", "sol_amount >= 10 AND sol_amount < 100"), ("whale", "sol_amount >= 100"))}
+        parts = {
+            "total_volume": v, "buy_volume": bv, "sell_volume": sv, "buy_ratio": ratio(bv, v), "volume_imbalance": ratio(f"{bv} - {sv}", v), "total_txns": n, "buy_txns": bn, "sell_txns": sn,
+            "txn_buy_ratio": ratio(bn, n), "txn_flow_imbalance": ratio(f"{bn} - {sn}", n), "unique_traders": u, "unique_buyers": bu, "unique_sellers": su, "trader_buy_ratio": ratio(bu, u),
+            "avg_txn_size": mean, "volume_per_trader": ratio(v, u), "volume_concentration": ratio(std, mean), "volume_mean": mean, "volume_std": std, **{f"{k}_txn_ratio": ratio(c, n) for k, c in kinds.items()},
+        }
+        counts = ("txns", "traders", "buyers", "sellers")
+        columns += [f"{e} AS {k}_{name}" if k.endswith(counts) else r(e, f"{k}_{name}") for k, e in parts.items()]
+    fb, fs = (f"coalesce(sum(CASE WHEN b <= 0 AND b > -{cfg.forward * windows.SECOND} AND {x} THEN sol_amount END), 0e0)" for x in ("is_buy", "is_sell"))
+    return TRADES_SQL + f""", spans AS (SELECT mint, min(us) + {cfg.buffer * windows.SECOND} AS anchor, max(us) - {cfg.forward * windows.SECOND} AS last, count(*) AS total FROM pairs GROUP BY mint HAVING count(*) >= {cfg.least_trades})
+, grid AS (SELECT mint, anchor + {cfg.step * windows.SECOND} * unnest(range(0, (last - anchor) // {cfg.step * windows.SECOND} + 1)) AS sample_us, total FROM spans WHERE anchor < last)
+, near AS (SELECT g.mint AS coin_id, sample_us, total, sample_us - us AS b, is_buy, is_sell, swapper, sol_amount FROM grid g LEFT JOIN pairs p ON p.mint = g.mint AND us <= sample_us + {cfg.forward * windows.SECOND} AND us >= sample_us - {max(s for _, s in cfg.windows) * windows.SECOND})
+SELECT coin_id, sample_us, total AS total_transactions, {", ".join(columns)}, {r(fb, "forward_buy_volume_300s")}, {r(fs, "forward_sell_volume_300s")}, CAST({fb} > {fs} AS INTEGER) AS is_profitable_300s FROM near GROUP BY coin_id, sample_us, total"""
+
+
+add("window_features", lambda spark, d: windows.window_features(pairs(spark, d), windows.SPARSE), window_sql(windows.SPARSE))
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.bars_of(table(spark, sf_dir, "events"))
+
+
+BARS_SQL = f"""WITH bars AS (SELECT event_type AS symbol, epoch_us(ts) // {HOUR} * {HOUR} AS us, arg_min(value, (epoch_us(ts), event_id)) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, (epoch_us(ts), event_id)) AS close, sum(value) AS volume, count(*) AS transactions FROM events GROUP BY ALL)
+, ret AS (SELECT *, (close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY us))
+"""
+
+
+def by_bars(name: str, fn: Callable[[DataFrame], DataFrame], select: str) -> None:
+    add(name, lambda spark, d: fn(hourly(spark, d)), BARS_SQL + select)
+
+
+by_bars("resample_bars", lambda b: bars.resample(b, 14_400), f"SELECT symbol, us // {4 * HOUR} * {4 * HOUR} AS start_us, {r('arg_min(open, us)', 'open')}, {r('max(high)', 'high')}, {r('min(low)', 'low')}, {r('arg_max(close, us)', 'close')}, {r('sum(volume)', 'volume')}, CAST(sum(transactions) AS BIGINT) AS transactions FROM bars GROUP BY ALL")
+by_bars("bar_quality", bars.bar_quality, "SELECT symbol, count(*) AS bars, count(CASE WHEN high < greatest(open, close) THEN 1 END) AS high_below, count(CASE WHEN low > least(open, close) THEN 1 END) AS low_above, count(CASE WHEN least(open, high, low, close) <= 0 THEN 1 END) AS not_positive, count(CASE WHEN volume <= 0 THEN 1 END) AS no_volume FROM bars GROUP BY symbol")
+by_bars("return_profile", bars.return_profile, f"SELECT symbol, count(r) AS n, {r('avg(r)', 'mean')}, {r('stddev_samp(r)', 'std')}, {r('skewness(r)', 'skew')}, {r('kurtosis(r)', 'kurtosis')}, {r('quantile_cont(r, 0.05)', 'p05')}, {r('quantile_cont(r, 0.5)', 'p50')}, {r('quantile_cont(r, 0.95)', 'p95')} FROM ret WHERE r IS NOT NULL GROUP BY symbol")
+UP, DOWN = "sum(CASE WHEN close > open THEN volume ELSE 0e0 END)", "sum(CASE WHEN close < open THEN volume ELSE 0e0 END)"
+by_bars("intraday_profile", bars.intraday_profile, f"SELECT symbol, us // {HOUR} % 24 AS hour, {r('avg(close - open)', 'mean_move')}, {r('stddev_samp(close - open)', 'std_move')}, count(*) AS n, {r(f'{UP} / nullif({DOWN}, 0)', 'up_down')} FROM bars GROUP BY ALL")
+by_bars("day_gaps", bars.day_gaps, f", days AS (SELECT symbol, us // {DAY} AS day, count(*) AS n FROM bars GROUP BY ALL), m AS (SELECT *, avg(n) OVER w AS mean_n, stddev_samp(n) OVER w AS std_n FROM days WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) SELECT symbol, day, n, {r('mean_n', 'mean_n')}, {r('std_n', 'std_n')}, n < mean_n - 2 * std_n AS is_gap FROM m")
+by_bars("volatility", bars.volatility, f", s AS (SELECT symbol, us, close, CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w END AS vol, CASE WHEN count(close) OVER w >= 10 THEN avg(close) OVER w END AS ma, CASE WHEN count(close) OVER w >= 10 THEN stddev_samp(close) OVER w END AS sd FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT symbol, us, {r('vol', 'vol')}, {r('(close - ma) / nullif(sd, 0)', 'zscore')} FROM s")
+by_bars("drawdown", bars.drawdown, f"SELECT symbol, us, {r('close', 'close')}, {r('close / max(close) OVER (PARTITION BY symbol ORDER BY us) - 1', 'drawdown')} FROM bars")
+by_bars("forward_returns", bars.forward_returns, f"SELECT symbol, us, {r('lead(close, 4) OVER (PARTITION BY symbol ORDER BY us) / nullif(close, 0)', 'growth')} FROM bars")
+LAGS = ", ".join(f"lag(r, {k}) OVER w AS r{k}" for k in (1, 2, 5))
+CORRS = ", ".join(r(f"covar_pop(r, r{k}) / nullif(stddev_pop(CASE WHEN r{k} IS NOT NULL THEN r END) * stddev_pop(r{k}), 0)", f"autocorr_{k}") for k in (1, 2, 5))
+by_bars("mean_reversion", bars.mean_reversion, f", l AS (SELECT symbol, r, {LAGS} FROM ret WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY us)) SELECT symbol, count(*) AS n, {CORRS} FROM l GROUP BY symbol")

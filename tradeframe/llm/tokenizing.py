@@ -87,7 +87,9 @@ class WordTable:
         new = np.flatnonzero((found == len(self.keys)) | (self.keys[np.minimum(found, len(self.keys) - 1)] != keys if len(self.keys) else True))
         if len(new):
             leads = (" ", "", "\n")
-            self.add(keys[new], [(leads[place[i]], words.word(i).decode()) for i in first[new].tolist()])
+            one, raw = first[new], words.raw.tobytes()
+            spans = zip(place[one].tolist(), words.starts[one].tolist(), words.ends[one].tolist(), strict=True)
+            self.add(keys[new], [(leads[k], raw[i:j].decode()) for k, i, j in spans])
             found = np.searchsorted(self.keys, keys)
         size = self.size[found][which]
         solid = np.concatenate([[0], np.cumsum(words.ends - words.starts)])[words.bounds]
@@ -156,6 +158,8 @@ class Encoder:
     def word(self, text: str) -> list[int]:
         bare = text[1:] if text[0] == " " else text
         if bare.isalpha():
+            if bare.isascii():  # ASCII letters stand for themselves
+                return [x.id for x in self.model.tokenize(bare if bare is text else self.letters[0x20] + bare)]
             return self.ids_of(text)
         if any(x in text for x in self.added):
             return self.whole(text)

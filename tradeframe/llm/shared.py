@@ -51,7 +51,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 #: About what a batch that goes to Python may hold; a batch has one row at least.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ class WordTable:
     """Values of words by hash, as sorted arrays: `make` gives the numbers for one string that no white space cuts."""
 
     #: Words kept; then the table starts anew.
-    MOST = 4_000_000
+    MOST = 2_000_000
 
     def __init__(self, make: Callable[[str], list[int]], dtype: np.dtype):
         self.make, self.dtype = make, dtype

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe.operators import bars, trades, windows
+from tradeframe.operators import bars, studies, trades, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
 
@@ -168,3 +168,48 @@ by_bars("forward_returns", bars.forward_returns, f"SELECT symbol, us, {r('lead(c
 LAGS = ", ".join(f"lag(r, {k}) OVER w AS r{k}" for k in (1, 2, 5))
 CORRS = ", ".join(r(f"covar_pop(r, r{k}) / nullif(stddev_pop(CASE WHEN r{k} IS NOT NULL THEN r END) * stddev_pop(r{k}), 0)", f"autocorr_{k}") for k in (1, 2, 5))
 by_bars("mean_reversion", bars.mean_reversion, f", l AS (SELECT symbol, r, {LAGS} FROM ret WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY us)) SELECT symbol, count(*) AS n, {CORRS} FROM l GROUP BY symbol")
+
+add("next_prices", lambda spark, d: studies.next_prices(priced(spark, d), (3_600, 86_400)), TRADES_SQL + f""", q AS (SELECT mint, us, arg_min(price, row_index) AS price FROM priced_pairs GROUP BY ALL)
+, asked AS (SELECT mint, us, price, CAST(horizon AS INTEGER) AS horizon, us + CAST(horizon AS BIGINT) * 1000000 AS due FROM q, (SELECT unnest([3600, 86400]) AS horizon))
+SELECT a.mint, a.us, a.horizon, {r("a.price", "price")}, q.us AS next_us, {r("q.price", "next_price")} FROM asked a ASOF LEFT JOIN q ON a.mint = q.mint AND a.due <= q.us""")
+by_norm("trade_overview", studies.overview, "SELECT count(*) AS trades, count(DISTINCT swapper) AS traders, count(DISTINCT mint) AS coins, count(CASE WHEN is_buy THEN 1 END) AS buys, count(CASE WHEN is_sell THEN 1 END) AS sells, min(us) AS first_us, max(us) AS last_us FROM norm")
+by_norm("launched_since", lambda n: studies.launched_since(n, 0), "SELECT mint, min(us) AS first_us, max(us) AS last_us, count(*) AS trades, count(CASE WHEN succeeded THEN 1 END) AS succeeded FROM norm GROUP BY mint HAVING min(us) >= 0")
+SPAN = "(max(us) - min(us)) / 3.6e9"
+by_norm("token_rates", studies.token_rates, f"SELECT mint, {r(SPAN, 'hours')}, {r('count(*) * 1e0 / count(DISTINCT swapper)', 'trades_per_trader')}, {r(f'count(*) / ({SPAN} + 0.1e0)', 'trades_per_hour')}, {r('sum(sol_amount) / count(DISTINCT swapper)', 'volume_per_trader')} FROM norm GROUP BY mint")
+by_norm("top_trades_by_coin", lambda n: studies.top_n_by(n.select("mint", "swapper", "row_index", "sol_amount"), ["mint"], [F.col("sol_amount").desc(), F.col("row_index")], 10),
+        f"SELECT mint, swapper, row_index, {r('sol_amount', 'sol_amount')}, CAST(row_number() OVER (PARTITION BY mint ORDER BY sol_amount DESC, row_index) AS INTEGER) AS place FROM norm QUALIFY place <= 10")
+BY_TIME = "WINDOW w AS (PARTITION BY symbol ORDER BY us"
+by_bars("buy_feasible", lambda b: studies.buy_feasible(b, 100.0), f"SELECT symbol, us, coalesce(lead(volume) OVER w >= 100 AND lead(low) OVER w < lead(open) OVER w, false) AS can_buy FROM bars {BY_TIME})")
+by_bars("first_liquid_exit", lambda b: studies.first_liquid_exit(b, 2.0), f"SELECT symbol, us, min(CASE WHEN volume >= 2 * open THEN us END) OVER w AS exit_us FROM bars {BY_TIME} ROWS BETWEEN 4 FOLLOWING AND 13 FOLLOWING)")
+by_bars("any_next", lambda b: studies.any_next(b, F.col("close") < F.col("open"), 3), f"SELECT symbol, us, coalesce(bool_or(close < open) OVER w, false) AS any_next FROM bars {BY_TIME} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)")
+by_bars("daily_frame", studies.daily_frame, f""", d AS (SELECT symbol, us // {DAY} AS day, arg_min(open, us) AS open, max(high) AS high, min(low) AS low, arg_max(close, us) AS close, sum(volume) AS volume,
+  arg_max(close, us) FILTER (us % {DAY} < {6 * HOUR}) AS early_close, sum(volume) FILTER (us % {DAY} < {6 * HOUR}) AS early_volume FROM bars GROUP BY ALL)
+SELECT symbol, day, {", ".join(r(c, c) for c in ("open", "high", "low", "close", "volume", "early_close", "early_volume"))}, {r("close / nullif(open, 0) - 1", "intraday")},
+  {r("open / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY day), 0) - 1", "gap")} FROM d""")
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with a score: a window's share of buy volume, which is fixed, so that SQL has it too."""
+    first = windows.SPARSE.windows[0][0]
+    rows = windows.window_features(pairs(spark, sf_dir), windows.SPARSE)
+    forward = {f"forward_{k}": F.round(f"forward_{k}_volume_300s", 6) for k in ("buy", "sell")}
+    return rows.select("coin_id", "sample_us", F.col("is_profitable_300s").alias("y"), F.round(f"buy_ratio_{first}", 6).alias("score"), *[v.alias(k) for k, v in forward.items()])
+
+
+SCORED_SQL = f"""WITH scored AS (SELECT coin_id, sample_us, is_profitable_300s AS y, buy_ratio_{windows.SPARSE.windows[0][0]} AS score, forward_buy_volume_300s AS forward_buy, forward_sell_volume_300s AS forward_sell FROM ({window_sql(windows.SPARSE)}))
+"""
+
+
+def by_scored(name: str, fn: Callable[[DataFrame], DataFrame], select: str) -> None:
+    add(name, lambda spark, d: fn(scored(spark, d)), SCORED_SQL + select)
+
+
+by_scored("threshold_sweep", studies.threshold_sweep, f""", c AS (SELECT CAST(p AS INTEGER) AS percent, count(CASE WHEN score >= p / 100.0 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN score >= p / 100.0 AND y = 0 THEN 1 END) AS fp,
+  count(CASE WHEN score < p / 100.0 AND y = 1 THEN 1 END) AS fn, count(CASE WHEN score < p / 100.0 AND y = 0 THEN 1 END) AS tn FROM scored, range(10, 91, 5) t(p) GROUP BY p)
+SELECT percent, tp, fp, fn, tn, {r("tp * 1e0 / nullif(tp + fp, 0)", "precision")}, {r("tp * 1e0 / nullif(tp + fn, 0)", "recall")}, {r("2e0 * tp / nullif(2 * tp + fp + fn, 0)", "f1")}, {r("(tp + fp) * 1e0 / (tp + fp + fn + tn)", "signal_rate")} FROM c""")
+by_scored("auc_by_coin", lambda s: studies.auc_by(s, "coin_id"), f""", k AS (SELECT *, rank() OVER (PARTITION BY coin_id ORDER BY score) + (count(*) OVER (PARTITION BY coin_id, score) - 1) / 2e0 AS place FROM scored)
+, n AS (SELECT coin_id, count(CASE WHEN y = 1 THEN 1 END) AS p, count(CASE WHEN y = 0 THEN 1 END) AS q, coalesce(sum(CASE WHEN y = 1 THEN place END), 0e0) AS s FROM k GROUP BY coin_id)
+SELECT coin_id, p AS positives, q AS negatives, {r("(s - p * (p + 1) / 2e0) / nullif(p * q, 0)", "auc")} FROM n""")
+by_scored("score_bins", studies.score_bins, f"SELECT CAST(floor(score * 20) AS BIGINT) AS bin, count(*) AS n, {r('avg(y)', 'positive_share')}, {r('avg(forward_buy - forward_sell)', 'mean_net')} FROM scored GROUP BY ALL")
+by_scored("confidence_bands", studies.confidence_bands, f"SELECT CASE WHEN score >= 0.8 THEN 'high' WHEN score <= 0.2 THEN 'low' ELSE 'between' END AS band, count(*) AS n, {r('avg(CASE WHEN CAST(score >= 0.5 AS INTEGER) = y THEN 1e0 ELSE 0e0 END)', 'accuracy')} FROM scored GROUP BY ALL")
+by_scored("hours_since_start", studies.hours_since_start, f", h AS (SELECT coin_id, sample_us, (sample_us - min(sample_us) OVER (PARTITION BY coin_id)) / 3.6e9 AS hours FROM scored) SELECT coin_id, sample_us, {r('hours', 'hours')}, hours BETWEEN 1 AND 10 AS in_window FROM h")

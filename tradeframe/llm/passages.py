@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.shared import Saved, over_batches, small_batches
+from tradeframe.llm.shared import Saved, over_batches, saved, small_batches
 from tradeframe.llm.words import BatchWords, window_hashes
 
 
@@ -33,9 +34,8 @@ class Passages:
     edge: int = 64
 
 
-def seeds(hashes: np.ndarray, p: Passages) -> np.ndarray:
-    """Places of a row's seeds: in each window the least hash, the last of equals."""
-    grams = window_hashes(hashes, p.words)
+def seeds(grams: np.ndarray, p: Passages) -> np.ndarray:
+    """Places of the seeds among a row's k-mer hashes: in each window the least hash, the last of equals."""
     n = len(grams) - p.window + 1
     if n <= 0:
         return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))] if len(grams) else [], np.int64)
@@ -69,43 +69,51 @@ GAP_COST = 0.05
 
 
 def chains(matches: list[tuple[int, int]], p: Passages) -> list[list[tuple[int, int]]]:
-    """Best chains of matches (place here, place there), both rising, the best first; a match is in one chain at most.
-    A chain is cut where a gap is wider than `gap` words in either text."""
-    left, out = sorted(set(matches)), []
-    while left:
-        there = {q: i for i, q in enumerate(sorted({q for _, q in left}))}
-        tree, score, back = Fenwick(len(there)), [0.0] * len(left), [-1] * len(left)
-        i = 0
-        while i < len(left):
-            j = i
-            while j < len(left) and left[j][0] == left[i][0]:
-                here, that = left[j]
-                value, k = tree.most(there[that])
-                gain = value - GAP_COST * (here + that)
-                score[j] = p.words + max(gain, 0.0)
-                back[j] = k if gain > 0 else -1
-                j += 1
-            for k in range(i, j):
-                tree.put(there[left[k][1]], (score[k] + GAP_COST * sum(left[k]), k))
-            i = j
-        k = max(range(len(left)), key=lambda x: (score[x], -x))
-        path = []
-        while k >= 0:
-            path.append(left[k])
-            k = back[k]
-        path.reverse()
-        run = [path[0]]
-        for a, b in zip(path, path[1:], strict=False):
-            if b[0] - a[0] > p.gap or b[1] - a[1] > p.gap:
-                out.append(run)
-                run = []
-            run.append(b)
-        out.append(run)
-        used = set(path)
-        left = [x for x in left if x not in used]
+    """Best chains of matches (place here, place there), both rising, the longest first; a match is in one chain at
+    most. No chain goes over a gap wider than `gap` words in either text, so each stretch without such a gap here is
+    chained for itself. Where all matches of a stretch rise in both texts, the best chain is all of them: any match
+    between two others adds its words and no gap."""
+    places, out = np.array(sorted(set(matches)), np.int64), []
+    for part in np.split(places, np.flatnonzero(np.diff(places[:, 0]) > p.gap) + 1):
+        step = np.diff(part, axis=0)
+        if (step > 0).all():
+            out += [list(zip(*run.T.tolist(), strict=True)) for run in np.split(part, np.flatnonzero(step[:, 1] > p.gap) + 1)]
+        else:
+            out += _mixed_chains([(i, j) for i, j in part.tolist()], p)
     return sorted(out, key=lambda c: (-len(c), c))
 
 
+def _mixed_chains(matches: list[tuple[int, int]], p: Passages) -> list[list[tuple[int, int]]]:
+    """chains() of matches, in order, that don't all rise. Scores are found once; chains are then taken from the ends of
+    the highest scores, each back to the first match that an earlier chain has."""
+    there = {q: i for i, q in enumerate(sorted({q for _, q in matches}))}
+    tree, score, back = Fenwick(len(there)), [0.0] * len(matches), [-1] * len(matches)
+    for _, row in groupby(range(len(matches)), key=lambda k: matches[k][0]):
+        row = list(row)
+        for k in row:
+            here, that = matches[k]
+            value, before = tree.most(there[that])
+            gain = value - GAP_COST * (here + that)
+            score[k], back[k] = (p.words + gain, before) if gain > 0 else (float(p.words), -1)
+        # matches of one place here can't follow each other
+        for k in row:
+            here, that = matches[k]
+            tree.put(there[that], (score[k] + GAP_COST * (here + that), k))
+    out, used = [], [False] * len(matches)
+    for k in sorted(range(len(matches)), key=lambda k: (-score[k], k)):
+        run: list[tuple[int, int]] = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            if run and (run[-1][0] - matches[k][0] > p.gap or run[-1][1] - matches[k][1] > p.gap):
+                out.append(run[::-1])
+                run = []
+            run.append(matches[k])
+            k = back[k]
+        if run:
+            out.append(run[::-1])
+    return out
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Words of a longest common subsequence of two short stretches."""
     if len(a) == len(b):
@@ -146,10 +154,12 @@ def align(here: np.ndarray, there: np.ndarray, chain: list[tuple[int, int]], p:
 def _seed_rows(rows: DataFrame, p: Passages) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = BatchWords(batch.column(1))
-        found = [seeds(words.of(i), p) for i in range(len(words))]
-        size = [len(x) for x in found]
-        row = pa.array(np.repeat(np.arange(len(found)), size))
-        grams = [window_hashes(words.of(i), p.words)[x] for i, x in enumerate(found)]
+        found, grams = [], []
+        for i in range(len(words)):
+            hashes = window_hashes(words.of(i), p.words)
+            found.append(seeds(hashes, p))
+            grams.append(hashes[found[-1]])
+        row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
         flat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)]).astype(kind)
         return pa.RecordBatch.from_arrays([pa.array(flat(grams, np.uint64).view(np.int64)), batch.column(0).take(row), pa.array(flat(found, np.int32))], ["seed", "id", "pos"])
 
@@ -184,10 +194,12 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     no passages. Rows of one id are taken for one document's: none of them is an earlier one of another. Other columns are not read; an empty
     table gives no rows. Ids are integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    found = _seed_rows(rows, p)
+    # read twice, for the first places and for the matches: hashing all words again would cost more than reading
+    found = saved(_seed_rows(rows, p), "seeds")
     # sums are taken before rows move: a seed in all documents is one row a task; the order of a struct is that of its fields
     first = found.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("seed", F.col("first.id").alias("source"), F.col("first.pos").alias("place"))
+    # written, so that both sides of the join are plain exchanges: Spark then splits a seed that very many documents have
+    first = saved(first.select("seed", F.col("first.id").alias("source"), F.col("first.pos").alias("place")), "first")
     matches = found.join(first, "seed").where("id <> source").select("id", "source", "pos", "place")
     pairs = matches.groupBy("id", "source").agg(F.collect_list(F.struct("pos", "place")).alias("matches"))
     # of a passage of the least length, or of what its ends leave of it, seeds are this far apart at least

@@ -152,37 +152,38 @@ def align(here: np.ndarray, there: np.ndarray, chain: list[tuple[int, int]], p:
 
 
 def _seed_rows(rows: DataFrame, p: Passages) -> DataFrame:
+    """(seed, id, pos, low, high): low and high are the bytes of the text from `edge` words before the seed to `edge` words behind it."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = BatchWords(batch.column(1))
-        found, grams = [], []
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         for i in range(len(words)):
             hashes = window_hashes(words.of(i), p.words)
-            found.append(seeds(hashes, p))
-            grams.append(hashes[found[-1]])
-        row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            at = seeds(hashes, p)
+            first, n = words.bounds[i], words.bounds[i + 1] - words.bounds[i]
+            low = words.starts[first + np.maximum(at - p.edge, 0)] - words.rows[i]
+            high = words.ends[first + np.minimum(at + p.words + p.edge, n) - 1] - words.rows[i]
+            for column, part in zip(columns, (hashes[at], at, low, high), strict=True):
+                column.append(part)
+        row = pa.array(np.repeat(np.arange(len(words)), [len(x) for x in columns[1]]))
         flat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)]).astype(kind)
-        return pa.RecordBatch.from_arrays([pa.array(flat(grams, np.uint64).view(np.int64)), batch.column(0).take(row), pa.array(flat(found, np.int32))], ["seed", "id", "pos"])
+        places = [pa.array(flat(parts, np.int32)) for parts in columns[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(flat(columns[0], np.uint64).view(np.int64)), batch.column(0).take(row), *places], ["seed", "id", "pos", "low", "high"])
 
-    return over_batches(rows, run, "seed bigint, id bigint, pos int")
+    return over_batches(rows, run, "seed bigint, id bigint, pos int, low int, high int")
 
 
-def _windows(rows: DataFrame, spans: DataFrame, key: str, low: str, high: str, out: str, p: Passages) -> DataFrame:
-    """Add `out`: the word hashes of a stretch of the text of the row whose id is in `key`, with `edge` words around it."""
-    joined = rows.withColumnsRenamed({"id": key}).join(spans, key)
-    names = [c for c in joined.columns if c != "text"]
-    joined = joined.select(*names[:1], "text", *names[1:])
-    at = {c: joined.columns.index(c) for c in (low, high)}
+#: What chain() and verify() of repeated_passages return.
+SPANS = "here bigint, there bigint, a bigint, c bigint, low bigint, high bigint, low_there bigint, high_there bigint, chain array<bigint>"
+FOUND = ["id", "first_word", "end_word", "source_id", "source_first", "source_end", "likeness"]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # a text may come with many spans: its words are found once
-        texts = batch.column(1).dictionary_encode()
-        words = BatchWords(texts.dictionary)
-        cut = [words.of(t)[max(0, a - p.edge) : b + p.edge].tobytes() for t, a, b in zip(texts.indices.to_pylist(), batch.column(at[low]).to_pylist(), batch.column(at[high]).to_pylist(), strict=True)]
-        rest = [batch.column(i) for i in range(batch.num_columns) if i != 1]
-        return pa.RecordBatch.from_arrays([*rest, pa.array(cut, pa.binary())], [*names, out])
 
-    kinds = dict(joined.dtypes)
-    return over_batches(joined, run, ", ".join(f"{c} {kinds[c]}" for c in names) + f", {out} binary")
+def _with_stretch(rows: DataFrame, spans: DataFrame, key: str, low: str, high: str, out: str) -> DataFrame:
+    """spans with the bytes of a stretch of the text of the row whose id is in `key`, in place of the stretch's bounds. Spark
+    cuts it: whole texts go no further than the join."""
+    joined = rows.withColumnsRenamed({"id": key}).join(spans, key)
+    cut = F.substring(F.col("text").cast("binary"), (F.col(low) + 1).cast("int"), (F.col(high) - F.col(low)).cast("int"))
+    return joined.withColumn(out, cut).drop("text", low, high)
 
 
 def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,41 +198,46 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     # read twice, for the first places and for the matches: hashing all words again would cost more than reading
     found = saved(_seed_rows(rows, p), "seeds")
     # sums are taken before rows move: a seed in all documents is one row a task; the order of a struct is that of its fields
-    first = found.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = found.groupBy("seed").agg(F.min(F.struct("id", "pos", "low", "high")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # written, so that both sides of the join are plain exchanges: Spark then splits a seed that very many documents have
-    first = saved(first.select("seed", F.col("first.id").alias("source"), F.col("first.pos").alias("place")), "first")
-    matches = found.join(first, "seed").where("id <> source").select("id", "source", "pos", "place")
-    pairs = matches.groupBy("id", "source").agg(F.collect_list(F.struct("pos", "place")).alias("matches"))
+    first = saved(first.select("seed", F.col("first.id").alias("source"), F.col("first.pos").alias("place"), F.col("first.low").alias("low_there"), F.col("first.high").alias("high_there")), "first")
+    match = F.struct("pos", "place", "low", "high", "low_there", "high_there")
+    pairs = found.join(first, "seed").where("id <> source").groupBy("id", "source").agg(F.collect_list(match).alias("matches"))
     # of a passage of the least length, or of what its ends leave of it, seeds are this far apart at least
     short = max(p.words, p.least - 2 * (p.words + p.window))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2):
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            all_matches = np.column_stack([x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten()]).astype(np.int64)
             out = []
-            for doc, source, found in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                for c in chains([(m["pos"], m["place"]) for m in found], p):
+            for doc, source, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.split(all_matches, ends[:-1]), strict=True):
+                bounds = {(i, j): rest for i, j, *rest in m.tolist()}
+                for c in chains(list(bounds), p):
                     if c[-1][0] + p.words - c[0][0] >= short:
-                        out.append((doc, source, c[0][0], c[-1][0] + p.words, c[0][1], c[-1][1] + p.words, [x for m in c for x in m]))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:6]), pa.array(columns[6], pa.list_(pa.int64()))], ["here", "there", "a", "b", "c", "d", "chain"])
+                        (low, _, low_there, _), (_, high, _, high_there) = bounds[c[0]], bounds[c[-1]]
+                        out.append((doc, source, c[0][0], c[0][1], low, high, low_there, high_there, [x for m in c for x in m]))
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            names = [x.split()[0] for x in SPANS.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:8]), pa.array(columns[8], pa.list_(pa.int64()))], names)
 
-    spans = Saved(pairs.mapInArrow(chain, "here bigint, there bigint, a bigint, b bigint, c bigint, d bigint, chain array<bigint>"), "chains")
-    ours = _windows(rows, spans.df, "here", "a", "b", "ours", p)
-    both = _windows(rows, ours, "there", "c", "d", "theirs", p).select("here", "theirs", "ours", "there", "a", "b", "c", "d", "chain")
+    spans = Saved(pairs.mapInArrow(chain, SPANS), "chains").df
+    ours = _with_stretch(rows, spans, "here", "low", "high", "ours")
+    both = _with_stretch(rows, ours, "there", "low_there", "high_there", "theirs").select("ours", "theirs", "here", "there", "a", "c", "chain")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            out = []
-            for here, theirs, ours, there, a, _, c, _, chain in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for batch in small_batches(batches, 0, 1 << 20):
+            ours, theirs, out = BatchWords(batch.column(0)), BatchWords(batch.column(1)), []
+            for k, (here, there, a, c, chain) in enumerate(zip(*(x.to_pylist() for x in batch.columns[2:]), strict=True)):
                 x, y = max(0, a - p.edge), max(0, c - p.edge)
                 path = [(i - x, j - y) for i, j in zip(chain[::2], chain[1::2], strict=True)]
-                i, j, k, m, alike = align(np.frombuffer(ours, np.uint64), np.frombuffer(theirs, np.uint64), path, p)
+                i, j, n, m, alike = align(ours.of(k), theirs.of(k), path, p)
                 if j - i >= p.least and alike >= p.alike:
-                    out.append((here, i + x, j + x, there, k + y, m + y, alike))
+                    out.append((here, i + x, j + x, there, n + y, m + y, alike))
             columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if n == 6 else pa.int64()) for n, v in enumerate(columns)], ["id", "first_word", "end_word", "source_id", "source_first", "source_end", "likeness"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if n == 6 else pa.int64()) for n, v in enumerate(columns)], FOUND)
 
-    done = both.mapInArrow(verify, "id bigint, first_word bigint, end_word bigint, source_id bigint, source_first bigint, source_end bigint, likeness double")
+    done = both.mapInArrow(verify, ", ".join(f"{c} {'double' if c == 'likeness' else 'bigint'}" for c in FOUND))
     return done.withColumnsRenamed({"id": id_col}).distinct()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe.operators import bars, studies, trades, windows
+from tradeframe.operators import bars, signals, studies, trades, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
 
@@ -213,3 +213,74 @@ SELECT coin_id, p AS positives, q AS negatives, {r("(s - p * (p + 1) / 2e0) / nu
 by_scored("score_bins", studies.score_bins, f"SELECT CAST(floor(score * 20) AS BIGINT) AS bin, count(*) AS n, {r('avg(y)', 'positive_share')}, {r('avg(forward_buy - forward_sell)', 'mean_net')} FROM scored GROUP BY ALL")
 by_scored("confidence_bands", studies.confidence_bands, f"SELECT CASE WHEN score >= 0.8 THEN 'high' WHEN score <= 0.2 THEN 'low' ELSE 'between' END AS band, count(*) AS n, {r('avg(CASE WHEN CAST(score >= 0.5 AS INTEGER) = y THEN 1e0 ELSE 0e0 END)', 'accuracy')} FROM scored GROUP BY ALL")
 by_scored("hours_since_start", studies.hours_since_start, f", h AS (SELECT coin_id, sample_us, (sample_us - min(sample_us) OVER (PARTITION BY coin_id)) / 3.6e9 AS hours FROM scored) SELECT coin_id, sample_us, {r('hours', 'hours')}, hours BETWEEN 1 AND 10 AS in_window FROM h")
+
+SHAPE = ", s AS (SELECT *, high - low AS spread, (high - low) / nullif(close, 0) * 100 AS pct, lag(close) OVER w AS before FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY us))"
+by_bars("bar_shape", signals.bar_shape, f"{SHAPE} SELECT symbol, us, {r('spread', 'hl_spread')}, {r('pct', 'hl_spread_pct')}, {r('(high + low) / 2', 'midpoint')} FROM s")
+MINUTE = "us // 60000000 % 1440"
+by_bars("calendar", signals.calendar, f"SELECT symbol, us, {MINUTE} // 60 AS hour, {MINUTE} AS minute, CAST(dayofweek(make_timestamp(us)) + 1 AS INTEGER) AS weekday, CAST(quarter(make_timestamp(us)) AS INTEGER) AS quarter, CASE WHEN {MINUTE} >= 570 AND {MINUTE} < 960 THEN 'regular' ELSE 'extended' END AS session FROM bars")
+by_bars("spread_bounce", signals.spread_bounce, f"""{SHAPE}, c AS (SELECT symbol, quantile_cont(pct, 0.25) AS low_cut, quantile_cont(pct, 0.75) AS high_cut FROM s GROUP BY symbol)
+, a AS (SELECT s.*, low_cut, high_cut, min(pct) OVER w AS least, count(*) OVER w AS behind FROM s JOIN c USING (symbol) WINDOW w AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
+, b AS (SELECT *, pct > high_cut AS wide, pct > high_cut AND behind = 3 AND least < low_cut AS bounced FROM a)
+SELECT symbol, {r("avg(spread)", "mean")}, {r("quantile_cont(spread, 0.5)", "median")}, {r("stddev_samp(spread)", "std")}, {r("avg(pct)", "mean_pct")}, {r("corr(pct, volume)", "volume_corr")}, count(CASE WHEN wide THEN 1 END) AS wide,
+  count(CASE WHEN bounced THEN 1 END) AS bounced, {r("count(CASE WHEN bounced THEN 1 END) * 1e0 / nullif(count(CASE WHEN wide THEN 1 END), 0)", "bounce_rate")} FROM b GROUP BY symbol""")
+LAGGED = (1, 2, 3, 5, 10)
+by_bars("volatility_clustering", signals.volatility_clustering, f"""{SHAPE}, l AS (SELECT *, {", ".join(f"lag(r, {k}) OVER w AS r_{k}" for k in LAGGED)},
+  {", ".join(f"CASE WHEN count(r) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {n} THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS vol_{n}" for n in (5, 20))}
+  FROM s WINDOW w AS (PARTITION BY symbol ORDER BY us))
+SELECT symbol, {", ".join(r(f"corr(abs(r), abs(r_{k}))", f"abs_autocorr_{k}") for k in LAGGED)}, {", ".join(r(f"corr(r * r, r_{k} * r_{k})", f"square_autocorr_{k}") for k in LAGGED)}, {", ".join(r(f"corr(vol_{n}, pct)", f"vol_{n}_spread_corr") for n in (5, 20))} FROM l GROUP BY symbol""")
+by_bars("price_impact", signals.price_impact, f"""{SHAPE}, n AS (SELECT *, lead(abs(r)) OVER w AS next_size, lead(pct) OVER w AS next_spread FROM s WINDOW w AS (PARTITION BY symbol ORDER BY us))
+SELECT symbol, {r("corr(volume, abs(r))", "return_corr")}, {r("corr(volume, next_size)", "next_return_corr")}, {r("corr(volume, next_spread)", "next_spread_corr")} FROM n GROUP BY symbol""")
+by_bars("volume_quartiles", signals.volume_quartiles, f"""{SHAPE}, c AS (SELECT symbol, quantile_cont(volume, 0.25) AS a, quantile_cont(volume, 0.5) AS b, quantile_cont(volume, 0.75) AS d FROM s GROUP BY symbol)
+SELECT symbol, 1 + CAST(volume > a AS INTEGER) + CAST(volume > b AS INTEGER) + CAST(volume > d AS INTEGER) AS quartile, count(*) AS n, {r("avg(abs(r))", "mean_abs_return")}, {r("avg(pct)", "mean_spread_pct")} FROM s JOIN c USING (symbol) GROUP BY ALL""")
+by_bars("volume_entries", signals.volume_entries, f""", q AS (SELECT symbol, us, close, volume, CASE WHEN count(close) OVER a >= 20 THEN avg(close) OVER a END AS ma, CASE WHEN count(close) OVER a >= 20 THEN stddev_samp(close) OVER a END AS sd, list(volume) OVER b AS past, lead(close, 5) OVER (PARTITION BY symbol ORDER BY us) AS later
+  FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+, z AS (SELECT *, (close - ma) / nullif(sd, 0) AS zscore, CASE WHEN len(past) = 100 THEN len(list_filter(past, lambda v: v < volume)) + (len(list_filter(past, lambda v: v = volume)) + 1) / 2e0 END AS volume_rank FROM q)
+, g AS (SELECT *, CASE WHEN volume_rank >= 80 AND zscore <= -2 THEN 1 WHEN volume_rank >= 80 AND zscore >= 2 THEN -1 ELSE 0 END AS signal FROM z)
+SELECT symbol, us, {r("zscore", "zscore")}, {r("volume_rank", "volume_rank")}, signal, {r("signal * (later / nullif(close, 0) - 1)", "signal_return")} FROM g""")
+by_bars("daily_strategies", signals.daily_strategies, f""", d AS (SELECT symbol, us // {DAY} AS day, arg_min(open, us) AS open, arg_max(close, us) AS close, arg_max(close, us) FILTER (us % {DAY} < {6 * HOUR}) AS early_close, sum(volume) FILTER (us % {DAY} < {6 * HOUR}) AS early_volume FROM bars GROUP BY ALL)
+, e AS (SELECT *, lead(open) OVER w AS next_open, lag(close) OVER w AS before, avg(early_volume) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean_volume FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day))
+, f AS (SELECT *, close / nullif(before, 0) - 1 AS held, close / nullif(open, 0) - 1 AS intraday, close / nullif(early_close, 0) - 1 AS rest, open / nullif(before, 0) - 1 AS gap FROM e)
+, g AS (SELECT *, CASE WHEN count(held) OVER w >= 10 THEN stddev_samp(held) OVER w END AS vol FROM f WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT symbol, day, {r("intraday", "open_close")}, {r("next_open / nullif(close, 0) - 1", "close_open")}, {r("CASE WHEN early_close < open THEN rest ELSE 0e0 END", "reversal")}, {r("CASE WHEN gap > 0.01e0 THEN 1 WHEN gap < -0.01e0 THEN -1 ELSE 0 END * intraday", "gap_and_go")},
+  {r("CASE WHEN early_volume > mean_volume THEN intraday ELSE 0e0 END", "volume_filter")}, {r("CASE WHEN early_close > before * (1 + vol) OR early_close < before * (1 - vol) THEN rest ELSE 0e0 END", "breakout")} FROM g""")
+by_bars("time_scales", signals.time_scales, f""", v AS (SELECT symbol, CAST(h AS INTEGER) AS hours, us // (h * {HOUR}) AS slot, sum(volume) AS volume FROM bars, (SELECT unnest([1, 2, 4, 8, 24]) AS h) GROUP BY ALL)
+, l AS (SELECT *, lag(volume) OVER (PARTITION BY symbol, hours ORDER BY slot) AS before FROM v)
+SELECT symbol, hours, count(*) AS slots, {r("corr(volume, before)", "autocorr")}, {r("avg(volume) / nullif(stddev_samp(volume), 0)", "signal_noise")} FROM l GROUP BY ALL""")
+POINTS = ", ".join(f"quantile_cont(close, {p}) AS p{round(p * 100):02}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+by_bars("describe_close", lambda b: signals.describe(b, "close"), f""", q AS (SELECT symbol, {POINTS}, count(close) AS n, avg(close) AS mean, stddev_samp(close) AS std, min(close) AS least, max(close) AS greatest FROM bars GROUP BY symbol)
+, o AS (SELECT symbol, count(CASE WHEN close < p25 - 1.5 * (p75 - p25) OR close > p75 + 1.5 * (p75 - p25) THEN 1 END) AS outliers FROM bars JOIN q USING (symbol) GROUP BY symbol)
+SELECT symbol, n, {", ".join(r(c, c) for c in ("mean", "std", "least", "greatest", "p01", "p05", "p25", "p50", "p75", "p95", "p99"))}, outliers FROM q JOIN o USING (symbol)""")
+by_bars("filled_grid", signals.filled_grid, f""", t AS (SELECT symbol, unnest(range(min(us), max(us) + 1, {HOUR})) AS us FROM bars GROUP BY symbol)
+SELECT t.symbol, t.us, {", ".join(r(f"CASE WHEN b.us = t.us THEN b.{c} ELSE b.close END", c) for c in ("open", "high", "low"))}, {r("b.close", "close")}, {r("CASE WHEN b.us = t.us THEN b.volume ELSE 0e0 END", "volume")} FROM t ASOF JOIN bars b ON t.symbol = b.symbol AND t.us >= b.us""")
+
+by_norm("trader_size_class", signals.trader_size_class, f"SELECT swapper, {r('max(sol_amount)', 'largest')}, {CLASS.replace('sol_amount', 'max(sol_amount)')} AS size_class FROM norm GROUP BY swapper")
+LEG = lambda c: f"CASE WHEN {c} = mint THEN 'coin' WHEN {c} = 'SOL' THEN 'base' ELSE 'other' END"
+by_norm("pair_breakdown", lambda n: signals.pair_breakdown(n, "SOL"), f"SELECT mint, {LEG('swap_from_mint')} AS from_kind, {LEG('swap_to_mint')} AS to_kind, CASE WHEN swap_from_mint = mint THEN swap_to_mint ELSE swap_from_mint END AS counter, count(*) AS trades, count(DISTINCT swapper) AS traders, {r('sum(sol_amount)', 'base_volume')} FROM norm GROUP BY ALL")
+by_norm("first_day", signals.first_day, f""", legs AS (SELECT swap_from_mint AS token, us // {DAY} AS day, swapper, sol_amount FROM norm UNION ALL SELECT swap_to_mint, us // {DAY}, swapper, sol_amount FROM norm WHERE swap_to_mint <> swap_from_mint)
+SELECT token, day, count(*) AS trades, count(DISTINCT swapper) AS traders, {r("sum(sol_amount)", "base_volume")} FROM legs WHERE (token, day) IN (SELECT (token, min(day)) FROM legs GROUP BY token) GROUP BY ALL""")
+add("trader_sequences", lambda spark, d: signals.trader_sequences(priced(spark, d), BLOCK_MS), TRADES_SQL + f""", p AS (SELECT mint, us // {HOUR} AS block, us, row_index, swapper, {SIDE} AS side, lag(swapper) OVER (PARTITION BY mint, us // {HOUR} ORDER BY us, row_index) AS before FROM priced_pairs)
+SELECT mint, block, CAST(count(*) AS INTEGER) AS trades, count(DISTINCT swapper) AS traders, CAST(count(CASE WHEN swapper = before THEN 1 END) AS INTEGER) AS same, count(DISTINCT swapper) = 2 AND count(CASE WHEN swapper <> before THEN 1 END) >= count(*) - 2 AS alternating,
+  string_agg(CASE WHEN before IS NULL THEN 'T1' WHEN swapper = before THEN 'Same' ELSE 'New' END || side, '' ORDER BY us, row_index) AS sequence FROM p GROUP BY mint, block HAVING count(*) >= 3""")
+IMPACT_SQL = TRADES_SQL + """, m AS (SELECT *, (price - lag(price) OVER w) / lag(price) OVER w AS change FROM priced_pairs WINDOW w AS (PARTITION BY mint ORDER BY us, row_index))
+, near AS (SELECT e.mint, e.row_index AS event, threshold, window_s, e.change, e.price AS p, q.price, q.us, q.row_index, q.sol_amount FROM m e, (SELECT unnest([0.1e0, 0.3e0]) AS threshold), (SELECT unnest([3600, 43200]) AS window_s), priced_pairs q
+  WHERE abs(e.change) >= threshold AND q.mint = e.mint AND q.us >= e.us AND q.us <= e.us + CAST(window_s AS BIGINT) * 1000000)
+, g AS (SELECT mint, event, threshold, CAST(window_s AS INTEGER) AS window_s, change, (arg_max(price, (us, row_index)) - p) / p AS reversion, CASE WHEN change > 0 THEN (p - min(price)) / p ELSE (max(price) - p) / p END AS best_move, count(*) AS trades, sum(sol_amount) AS volume FROM near GROUP BY mint, event, threshold, window_s, change, p)
+, i AS (SELECT *, CASE WHEN change > 0 THEN -reversion ELSE reversion END AS strength FROM g)
+"""
+
+
+def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.impact_events(priced(spark, sf_dir), (0.1, 0.3), (3_600, 43_200))
+
+
+add("impact_events", impacts, IMPACT_SQL + f"SELECT mint, event, threshold, window_s, {', '.join(r(c, c) for c in ('change', 'reversion', 'strength', 'best_move'))}, trades, {r('volume', 'volume')} FROM i")
+add("impact_summary", lambda spark, d: signals.impact_summary(impacts(spark, d)), IMPACT_SQL + f"SELECT threshold, window_s, count(*) AS events, {r('avg(strength)', 'mean_strength')}, {r('avg(best_move)', 'mean_best')}, {r('count(CASE WHEN strength > 0 THEN 1 END) * 1e0 / count(*)', 'win_rate')} FROM i GROUP BY ALL")
+YES, NO = "CASE WHEN is_buy THEN sol_amount END", "CASE WHEN NOT is_buy THEN sol_amount END"
+by_norm("buy_sell_t", lambda n: signals.two_sample_t(n, "mint", "is_buy", "sol_amount"), f""", g AS (SELECT mint, count({YES}) AS n, count({NO}) AS m, avg({YES}) AS a, avg({NO}) AS b, var_samp({YES}) AS v, var_samp({NO}) AS u FROM norm GROUP BY mint)
+SELECT mint, n AS n_yes, m AS n_no, {r("a", "mean_yes")}, {r("b", "mean_no")}, {r("CASE WHEN n > 1 AND m > 1 THEN (a - b) / nullif(sqrt(((n - 1) * v + (m - 1) * u) / (n + m - 2) * (1e0 / n + 1e0 / m)), 0) END", "t")} FROM g""")
+by_norm("size_side_chi_square", lambda n: signals.chi_square(n, trades.size_category(F.col("sol_amount")), F.col("mint")), f""", c AS (SELECT {CLASS} AS "row", mint AS "column", count(*) AS n FROM norm GROUP BY ALL)
+, e AS (SELECT *, sum(n) OVER (PARTITION BY "row") * 1e0 * sum(n) OVER (PARTITION BY "column") / sum(n) OVER () AS expected, sum(n) OVER () AS every FROM c)
+SELECT "row", "column", n, {r("expected", "expected")}, {r("sum(n * n / expected) OVER () - every", "chi_square")} FROM e""")
+by_scored("every_fifth_sample", lambda s: signals.every_nth(s.select("coin_id", "sample_us", "score"), "coin_id", "sample_us", 5), f"SELECT coin_id, sample_us, {r('score', 'score')} FROM scored QUALIFY (row_number() OVER (PARTITION BY coin_id ORDER BY sample_us) - 1) % 5 = 0")
+FEATURES, TARGETS = ("score",), ("y", "forward_buy", "forward_sell")
+by_scored("score_correlations", lambda s: signals.corr_screen(s, FEATURES, TARGETS), ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, corr({f}, {t}) AS r, count({f} + {t}) AS n FROM scored" for f in FEATURES for t in TARGETS) + f") SELECT feature, target, {r('r', 'r')}, n, {r('r * sqrt(n - 2) / nullif(sqrt(1 - r * r), 0)', 't')} FROM c")

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, and votes weighted by distance.
 
-Terms are words and beginnings of words. Of them those count whose presence goes with toxicity (log-likelihood ratio,
-and so many times the usual share of toxic rows); the others would only make unlike documents look alike."""
+Terms are words and beginnings of words. Of them those count whose presence goes with one of the labels, toxic or clean
+(log-likelihood ratio, and so many times as often within the one label as within the other: neither depends on the
+labels' shares); the others would only make unlike documents look alike."""
 
 from __future__ import annotations
 
@@ -23,6 +24,9 @@ PREFIXES = (4, 5)
 #: Examples in a block.
 BLOCK = 64
 
+#: Blocks that are looked at one by one.
+FEW = 4
+
 
 def term_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, term) of every occurrence of a term."""
@@ -56,10 +60,14 @@ class Examples:
     none: float
     ids: list = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.empty(0))
+    #: per example: labelled rows that it stands for
+    stands: np.ndarray = field(default_factory=lambda: np.empty(0))
     #: per block: (term, example in block, weight), ordered by term
     blocks: list = field(default_factory=list)
     #: per term: (blocks, greatest weights)
     lists: dict = field(default_factory=dict)
+    #: per term: (examples, weights), for where bounds tell few blocks apart
+    rows: dict = field(default_factory=dict)
 
     def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term number, weight), rows of length one, ordered by row."""
@@ -83,6 +91,9 @@ class Examples:
             for k, top in zip(*np.unique(t, return_index=True), strict=True):
                 end = np.searchsorted(t, k, "right")
                 most.setdefault(int(k), []).append((b, float(w[top:end].max())))
+        order = np.argsort(terms, kind="stable")
+        known, at = np.unique(terms[order], return_index=True)
+        self.rows = {int(k): (rows[x], weights[x]) for k, x in zip(known, np.split(order, at[1:]), strict=True)}
         self.lists = {k: (np.array([b for b, _ in v]), np.array([w for _, w in v])) for k, v in most.items()}
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -92,10 +103,14 @@ class Examples:
             if t in self.lists:
                 at, top = self.lists[t]
                 bound[at] += w * top
+        # a cosine is 1 at most; rounded up, so that no rounded score is above its block's bound, and equal bounds stay in order
+        bound = np.minimum(np.ceil(bound * 1e12) / 1e12, 1.0)
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
+        for n, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
+            if bound[b] <= 0 or len(best) == k and (bound[b], -b * BLOCK) < (best[-1][0], -best[-1][1]):
                 break
+            if n == FEW:
+                return self._of_all(terms, weights, k)
             t, e, w = self.blocks[b]
             lo, hi = np.searchsorted(t, terms, "left"), np.searchsorted(t, terms, "right")
             score = np.zeros(BLOCK)
@@ -105,6 +120,18 @@ class Examples:
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
+    def _of_all(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """nearest() by adding up each term's list: costs less than many blocks one by one."""
+        score = np.zeros(len(self.ids))
+        for t, q in zip(terms.tolist(), weights.tolist(), strict=True):
+            if t in self.rows:
+                e, w = self.rows[t]
+                score[e] += q * w
+        # all that rounding may put level with the k-th
+        least = np.partition(score, -k)[-k] - 1e-11 if len(score) > k else 0.0
+        some = [(round(float(score[x]), 12), x) for x in np.flatnonzero((score >= least) & (score > 0)).tolist()]
+        return sorted(some, key=lambda x: (-x[0], x[1]))[:k]
+
 
 def log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """G squared of a term's presence against the label."""
@@ -117,11 +144,13 @@ def log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return total
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, least_ratio: float = 20.0, least_lift: float = 3.0, least_rows: int = 4) -> Examples:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, least_ratio: float = 20.0, least_rate: float = 3.0, least_rows: int = 4) -> Examples:
     """Fit on the labelled rows (id, label 0/1) of docs (id, text): `most` of them, half of each label at most, chosen
-    by a hash of the id, so that the examples sent to the machines have a bounded size whatever the table's."""
+    by a hash of the id, so that the examples sent to the machines have a bounded size whatever the table's. Where a
+    label has more rows than that, each of its examples stands for several in votes and shares."""
     # one row an id: the greater label where two differ
     rows = labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
+    labelled = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     chosen = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most // 2).collect()]
     spark = docs.sparkSession
     sample = spark.createDataFrame([(r.id, r.label) for r in chosen], "id bigint, label int")
@@ -137,14 +166,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, least_ratio: flo
         return pa.RecordBatch.from_arrays([pa.array(terms[at].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(y.astype(np.int64))], ["term", "n", "toxic"])
 
     n_toxic, n_all = train.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    prior = (n_toxic + 0.5) / (n_all + 1)
+    # labelled rows that an example stands for
+    stands = np.array([max(1.0, labelled.get(y, 0) / (most // 2)) for y in (0, 1)])
+    prior = float((n_toxic * stands[1] + 0.5) / (n_toxic * stands[1] + (n_all - n_toxic) * stands[0] + 1))
     if not n_all:
         return Examples(np.empty(0, np.uint64), np.empty(0), prior, prior)
     per_term = over_batches(train, stats, "term bigint, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     # terms in at least so many rows of a bounded sample
     frame = per_term.where(F.col("n") >= least_rows).toPandas()
     n, toxic = frame["n"].to_numpy(float), frame["toxic"].to_numpy(float)
-    keep = (log_ratio(toxic, n - toxic, n_toxic, n_all - n_toxic) >= least_ratio) & (toxic / n >= least_lift * prior)
+    keep = log_ratio(toxic, n - toxic, n_toxic, n_all - n_toxic) >= least_ratio
+    # rates within each label: they stay as they are whatever the labels' shares in the sample
+    rates = np.array([toxic / max(n_toxic, 1), (n - toxic) / max(n_all - n_toxic, 1)])
+    keep &= rates.max(axis=0) >= least_rate * rates.min(axis=0)
     terms = frame["term"].to_numpy(np.int64)[keep].view(np.uint64)
     order = np.argsort(terms)
     model = Examples(terms[order], np.log((1 + n_all) / (1 + n[keep][order])) + 1, prior, prior)
@@ -157,9 +191,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, least_ratio: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p[0] for p in parts], pa.list_(pa.int64())), pa.array([p[1] for p in parts], pa.list_(pa.float64()))], ["id", "label", "terms", "weights"])
 
     got = train.mapInArrow(vectors, "id bigint, label int, terms array<bigint>, weights array<double>").toPandas().sort_values("id", kind="stable")
+    # rows of one strongest term next to each other: blocks hold like rows, and their bounds are near their best
+    first = [(t[i], -w[i]) if (i := int(np.argmax(w)) if len(w) else -1) >= 0 else (-1, 0.0) for t, w in zip(got["terms"], got["weights"], strict=True)]
+    got = got.assign(strongest=[a for a, _ in first], least=[b for _, b in first]).sort_values(["strongest", "least", "id"], kind="stable")
     some = got[got["terms"].map(len) > 0]
     without = got[got["terms"].map(len) == 0]["label"]
-    model.none = float((without.sum() + prior) / (len(without) + 1))
+    model.none = float((without.sum() * stands[1] + prior) / (stands[without.to_numpy(int)].sum() + 1))
+    model.stands = stands[some["label"].to_numpy(int)]
     if len(some):
         size = some["terms"].map(len).to_numpy()
         model.build(some["id"].tolist(), some["label"].to_numpy(float), np.repeat(np.arange(len(some)), size), np.concatenate(some["terms"].tolist()), np.concatenate(some["weights"].tolist()))
@@ -171,7 +209,7 @@ PRIOR_WEIGHT = 0.5
 
 
 def score(docs: DataFrame, model: Examples, k: int = 15) -> DataFrame:
-    """(id, score, evidence) of each row of docs (id, text): the nearest examples vote, each with its cosine; evidence
+    """(id, score, evidence) of each row of docs (id, text): the nearest examples vote, each with its cosine and the rows it stands for; evidence
     lists the three nearest. Rows without a term of the model get the share of toxic rows among such examples."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["id"].dataType.simpleString()
@@ -188,8 +226,8 @@ def score(docs: DataFrame, model: Examples, k: int = 15) -> DataFrame:
                 key = at[i:j].tobytes() + weight[i:j].tobytes()
                 if key not in seen:
                     near = model.nearest(at[i:j], weight[i:j], k)
-                    votes = sum(s for s, _ in near)
-                    yes = sum(s * model.labels[e] for s, e in near)
+                    votes = sum(s * model.stands[e] for s, e in near)
+                    yes = sum(s * model.stands[e] * model.labels[e] for s, e in near)
                     if len(seen) > 100_000:
                         seen.clear()
                     seen[key] = (float((yes + PRIOR_WEIGHT * model.prior) / (votes + PRIOR_WEIGHT)), [{"id": model.ids[e], "similarity": s, "toxic": int(model.labels[e])} for s, e in near[:3]])

@@ -3,12 +3,13 @@
 Of each window of neighbouring word k-mers the one of least hash is a seed (so texts that share a window share its
 seed). Each seed of a document is matched to the first place that has it: one match a seed, however many places have
 it. A document's matches with one earlier document are chained: in both texts in order, at a cost for the gaps, found
-with a Fenwick tree. Chains are aligned with both texts, extended at their ends, and kept if long and alike enough."""
+with a Fenwick tree. Chains are aligned with both texts, extended at their ends, and kept if long and alike enough; of one
+that isn't alike enough as a whole, the parts that are."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 
 import numpy as np
@@ -151,6 +152,32 @@ def align(here: np.ndarray, there: np.ndarray, chain: list[tuple[int, int]], p:
     return start, end, start_there, end_there, (same + s + t) / max(end - start, end_there - start_there, 1)
 
 
+def aligned(here: np.ndarray, there: np.ndarray, chain: list[tuple[int, int]], p: Passages) -> list[tuple[int, int, int, int, float]]:
+    """align() of a chain if it is long and alike enough; of one that isn't alike enough, the same of its parts: the part
+    whose words in common exceed `alike` of its length by most, then those of what is left on both sides."""
+    out, left = [], [chain]
+    while left:
+        part = left.pop()
+        found = align(here, there, part, p)
+        if found[4] >= p.alike:
+            out.append(found)
+            continue
+        steps = [common(here[i:a], there[j:b]) - p.alike * max(a - i, b - j) for (i, j), (a, b) in zip(part, part[1:], strict=False)]
+        # the greatest sum of neighbouring steps; a single match has none
+        best, first, last, total, start = 0.0, 0, 0, 0.0, 0
+        for k, step in enumerate(steps, 1):
+            total += step
+            if total > best:
+                best, first, last = total, start, k
+            if total <= 0:
+                total, start = 0.0, k
+        # its ends without the extension, where only that makes it too unlike
+        core = [align(here, there, part[first : last + 1], q) for q in (p, replace(p, edge=0))]
+        out += [x for x in core if x[4] >= p.alike][:1]
+        left += [x for x in (part[:first], part[last + 1 :]) if x]
+    return [x for x in out if x[1] - x[0] >= p.least]
+
+
 def _seed_rows(rows: DataFrame, p: Passages) -> DataFrame:
     """(seed, id, pos, low, high): low and high are the bytes of the text from `edge` words before the seed to `edge` words behind it."""
 
@@ -231,8 +258,7 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
             for k, (here, there, a, c, chain) in enumerate(zip(*(x.to_pylist() for x in batch.columns[2:]), strict=True)):
                 x, y = max(0, a - p.edge), max(0, c - p.edge)
                 path = [(i - x, j - y) for i, j in zip(chain[::2], chain[1::2], strict=True)]
-                i, j, n, m, alike = align(ours.of(k), theirs.of(k), path, p)
-                if j - i >= p.least and alike >= p.alike:
+                for i, j, n, m, alike in aligned(ours.of(k), theirs.of(k), path, p):
                     out.append((here, i + x, j + x, there, n + y, m + y, alike))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if n == 6 else pa.int64()) for n, v in enumerate(columns)], FOUND)

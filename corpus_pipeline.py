@@ -17,9 +17,10 @@ from tradeframe.llm.toxicity import toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples don't call toxic."""
+    """Documents that the nearest labelled examples don't call toxic: of a score of one half, which all have where there
+    are no labels, or less. Of repeated ids all rows go if one is toxic; rows of null id stay."""
     scored = toxicity(docs, queries.table(spark, sf_dir, "labels"), held_out=None)
-    rejected = scored.where("predicted = 1").select("doc_id").distinct()
+    rejected = scored.where("score > 0.5").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 

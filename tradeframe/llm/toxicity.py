@@ -1,21 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, and votes weighted by distance.
 
-Terms are words and beginnings of words. Of them those count whose presence goes with one of the labels, toxic or clean
-(log-likelihood ratio, and so many times as often within the one label as within the other: neither depends on the
-labels' shares); the others would only make unlike documents look alike."""
+Terms are words and beginnings of words, and all of an example's terms are in its vector. A term's weight is its TF-IDF
+times its relevance: 1 where its presence goes clearly with one of the labels (log-likelihood ratio, and how many times
+as often within the one label as within the other: neither depends on the labels' shares), FLOOR where it doesn't."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.shared import over_batches, small_batches
+from tradeframe.llm.shared import Saved, over_batches, small_batches
 from tradeframe.llm.words import BETWEEN, LOWER, BatchWords, prefix_hashes
 
 #: Beginnings that are terms, in bytes.
@@ -24,8 +24,11 @@ PREFIXES = (4, 5)
 #: Examples in a block.
 BLOCK = 64
 
-#: Blocks that are looked at one by one.
-FEW = 4
+#: Blocks scored before the others' bounds are held against the k-th nearest.
+FEW = 2
+
+#: Relevance of a term that says nothing about the label.
+FLOOR = 0.05
 
 
 def term_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,24 +53,33 @@ def counted(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[at], terms[at], np.diff(np.concatenate([at, [len(rows)]]))
 
 
+def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first[0], ..., end[0] - 1, first[1], ...; and how many of each."""
+    size = end - first
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size), size
+
+
 @dataclass
 class Examples:
-    """Unit vectors of labelled rows in blocks, and for each term the blocks that have it with the greatest weight there."""
+    """Unit vectors of labelled rows, dealt into blocks, as inverted lists: a term's postings are ordered by example, and
+    those of one block are a run, with the greatest of their weights."""
 
     terms: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray
     prior: float
-    none: float
     ids: list = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.empty(0))
     #: per example: labelled rows that it stands for
     stands: np.ndarray = field(default_factory=lambda: np.empty(0))
-    #: per block: (term, example in block, weight), ordered by term
-    blocks: list = field(default_factory=list)
-    #: per term: (blocks, greatest weights)
-    lists: dict = field(default_factory=dict)
-    #: per term: (examples, weights), for where bounds tell few blocks apart
-    rows: dict = field(default_factory=dict)
+    #: per posting
+    example: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.empty(0))
+    #: per run: its block, greatest weight, and first posting, with the end
+    block: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    top: np.ndarray = field(default_factory=lambda: np.empty(0))
+    posting: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    #: per term: its first run, with the end
+    run: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term number, weight), rows of length one, ordered by row."""
@@ -75,62 +87,53 @@ class Examples:
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
-        rows, at, n = counted(rows[known], at[known])
-        weight = (1 + np.log(n)) * self.idf[at]
-        norm = np.sqrt(np.bincount(rows, weight**2, len(column)))
+        return self.unit(*counted(rows[known], at[known]), len(column))
+
+    def unit(self, rows: np.ndarray, at: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        weight = (1 + np.log(n)) * self.weight[at]
+        norm = np.sqrt(np.bincount(rows, weight**2, size))
         return rows, at, weight / norm[rows]
 
     def build(self, ids: list, labels: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """From the vectors of the examples, ordered by example."""
         self.ids, self.labels = ids, labels
-        cuts = np.searchsorted(rows, np.arange(0, len(ids) + BLOCK, BLOCK))
-        most: dict[int, list[tuple[int, float]]] = {}
-        for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            order = np.argsort(terms[i:j], kind="stable")
-            t, e, w = terms[i:j][order], rows[i:j][order] - b * BLOCK, weights[i:j][order]
-            self.blocks.append((t, e, w))
-            for k, top in zip(*np.unique(t, return_index=True), strict=True):
-                end = np.searchsorted(t, k, "right")
-                most.setdefault(int(k), []).append((b, float(w[top:end].max())))
-        order = np.argsort(terms, kind="stable")
-        known, at = np.unique(terms[order], return_index=True)
-        self.rows = {int(k): (rows[x], weights[x]) for k, x in zip(known, np.split(order, at[1:]), strict=True)}
-        self.lists = {k: (np.array([b for b, _ in v]), np.array([w for _, w in v])) for k, v in most.items()}
+        order = np.lexsort((rows, terms))
+        terms, self.example, self.value = terms[order], rows[order].astype(np.int32), weights[order]
+        block = self.example // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        self.block = block[at]
+        self.posting = np.append(at, len(terms))
+        self.top = np.maximum.reduceat(self.value, at) if len(at) else np.empty(0)
+        self.run = np.searchsorted(terms[at], np.arange(len(self.terms) + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine, (cosine, number), exactly: blocks in the order of their bounds, until none left can hold a nearer one."""
-        bound = np.zeros(len(self.blocks))
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            if t in self.lists:
-                at, top = self.lists[t]
-                bound[at] += w * top
-        # a cosine is 1 at most; rounded up, so that no rounded score is above its block's bound, and equal bounds stay in order
-        bound = np.minimum(np.ceil(bound * 1e12) / 1e12, 1.0)
-        best: list[tuple[float, int]] = []
-        for n, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
-            if bound[b] <= 0 or len(best) == k and (bound[b], -b * BLOCK) < (best[-1][0], -best[-1][1]):
-                break
-            if n == FEW:
-                return self._of_all(terms, weights, k)
-            t, e, w = self.blocks[b]
-            lo, hi = np.searchsorted(t, terms, "left"), np.searchsorted(t, terms, "right")
-            score = np.zeros(BLOCK)
-            for i, j, q in zip(lo.tolist(), hi.tolist(), weights.tolist(), strict=True):
-                score[e[i:j]] += q * w[i:j]
-            best += [(round(float(score[x]), 12), b * BLOCK + x) for x in np.flatnonzero(score > 0).tolist()]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def _of_all(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """nearest() by adding up each term's list: costs less than many blocks one by one."""
-        score = np.zeros(len(self.ids))
-        for t, q in zip(terms.tolist(), weights.tolist(), strict=True):
-            if t in self.rows:
-                e, w = self.rows[t]
-                score[e] += q * w
-        # all that rounding may put level with the k-th
-        least = np.partition(score, -k)[-k] - 1e-11 if len(score) > k else 0.0
-        some = [(round(float(score[x]), 12), x) for x in np.flatnonzero((score >= least) & (score > 0)).tolist()]
-        return sorted(some, key=lambda x: (-x[0], x[1]))[:k]
+        """The k examples of greatest cosine above 0, (cosine, number), exactly; of equal ones, those of least number.
+
+        A block's bound adds the greatest weight that each term has there. The blocks of highest bounds are scored, then
+        those of the others that may still hold one of the k."""
+        runs, many = ranges(self.run[terms], self.run[terms + 1])
+        q, block = np.repeat(weights, many), self.block[runs]
+        n_blocks = -(-len(self.ids) // BLOCK)
+        bound = np.bincount(block, q * self.top[runs], n_blocks)
+        score, seen, least = np.zeros(len(self.ids)), np.zeros(n_blocks, bool), 0.0
+        for first in (True, False):
+            # of a block that can only draw level, all but rounding may be the better
+            want = (bound > 0) & ~seen & (bound >= least - 1e-11)
+            if first and n_blocks > FEW:
+                some = np.zeros(n_blocks, bool)
+                some[np.argpartition(-bound, FEW)[:FEW]] = True
+                want &= some
+            if not want.any():
+                continue
+            here = want[block]
+            postings, size = ranges(self.posting[runs[here]], self.posting[runs[here] + 1])
+            score += np.bincount(self.example[postings], np.repeat(q[here], size) * self.value[postings], len(score))
+            seen |= want
+            least = float(np.partition(score, -k)[-k]) if len(score) > k else 0.0
+        some = np.flatnonzero((score > 0) & (score >= least - 1e-11))
+        return sorted(((round(float(score[x]), 12), x) for x in some.tolist()), key=lambda x: (-x[0], x[1]))[:k]
 
 
 def log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -144,93 +147,131 @@ def log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return total
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, least_ratio: float = 20.0, least_rate: float = 3.0, least_rows: int = 4) -> Examples:
-    """Fit on the labelled rows (id, label 0/1) of docs (id, text): `most` of them, half of each label at most, chosen
-    by a hash of the id, so that the examples sent to the machines have a bounded size whatever the table's. Where a
-    label has more rows than that, each of its examples stands for several in votes and shares."""
+def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """From FLOOR to 1, of terms in so many rows of either label."""
+    sure = np.clip((log_ratio(toxic, clean, n_toxic, n_clean) - 10) / 10, 0, 1)
+    rates = np.array([(toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)])
+    times = np.clip(np.log(rates.max(axis=0) / rates.min(axis=0)) / np.log(3), 0, 1)
+    return FLOOR + (1 - FLOOR) * sure * times
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> tuple[DataFrame, list, dict]:
+    """(id, text, label) of the rows to learn from, saved; (id, label) of each in the order of choice; labelled ids in all, by label."""
     # one row an id: the greater label where two differ
     rows = labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     labelled = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     chosen = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most // 2).collect()]
+    sample = docs.sparkSession.createDataFrame([(r.id, r.label) for r in chosen], "id bigint, label int")
+    found = docs.join(F.broadcast(sample), "id").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
+    train = Saved(found, "train").df
+    size = {r.id: r.size for r in train.select("id", F.octet_length("text").alias("size")).collect()}
+    kept, left = [], {0: most_bytes // 2, 1: most_bytes // 2}
+    for r in chosen:
+        if size.get(r.id, most_bytes) <= left[r.label]:
+            left[r.label] -= size[r.id]
+            kept.append((r.id, r.label))
+    some = docs.sparkSession.createDataFrame(kept, "id bigint, label int").select("id")
+    return train.join(F.broadcast(some), "id"), kept, labelled
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, most_bytes: int = 128 << 20, most_examples: int = 1_024) -> Examples:
+    """Fit on labelled rows (id, label 0/1) of docs (id, text): `most` of them and `most_bytes` of text, half of each
+    label at most, chosen by a hash of the id, give the terms' relevance; the first `most_examples` of those, half of each
+    label, are the examples. So what is sent to the machines has a bounded size whatever the table's. Where a label has
+    more rows than examples, each of these stands for several in votes."""
+    train, chosen, labelled = _learnt(docs, labels, most, most_bytes)
+    n_all, n_toxic = len(chosen), sum(y for _, y in chosen)
+    total = {y: max(labelled.get(y, 0), 0) if any(c == y for _, c in chosen) else 0 for y in (0, 1)}
+    prior = (total[1] + 0.5) / (total[0] + total[1] + 1)
+    if not n_all:
+        return Examples(np.empty(0, np.uint64), np.empty(0), prior)
     spark = docs.sparkSession
-    sample = spark.createDataFrame([(r.id, r.label) for r in chosen], "id bigint, label int")
-    train = docs.join(F.broadcast(sample), "id").select("id", "text", "label")
+    label = dict(x for y in (0, 1) for x in [c for c in chosen if c[1] == y][: most_examples // 2])
+    some = spark.createDataFrame([(i,) for i in label], "id bigint")
 
-    def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, terms, _ = counted(*term_rows(batch.column(1)))
-        label = batch.column(2).to_numpy(zero_copy_only=False)[rows]
-        order = np.argsort(terms)
-        terms, label = terms[order], label[order]
-        at = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
-        n, y = np.diff(np.concatenate([at, [len(terms)]])), np.add.reduceat(label, at) if len(at) else at
-        return pa.RecordBatch.from_arrays([pa.array(terms[at].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(y.astype(np.int64))], ["term", "n", "toxic"])
-
-    n_toxic, n_all = train.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    # labelled rows that an example stands for
-    stands = np.array([max(1.0, labelled.get(y, 0) / (most // 2)) for y in (0, 1)])
-    prior = float((n_toxic * stands[1] + 0.5) / (n_toxic * stands[1] + (n_all - n_toxic) * stands[0] + 1))
-    if not n_all:
-        return Examples(np.empty(0, np.uint64), np.empty(0), prior, prior)
-    per_term = over_batches(train, stats, "term bigint, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    # terms in at least so many rows of a bounded sample
-    frame = per_term.where(F.col("n") >= least_rows).toPandas()
-    n, toxic = frame["n"].to_numpy(float), frame["toxic"].to_numpy(float)
-    keep = log_ratio(toxic, n - toxic, n_toxic, n_all - n_toxic) >= least_ratio
-    # rates within each label: they stay as they are whatever the labels' shares in the sample
-    rates = np.array([toxic / max(n_toxic, 1), (n - toxic) / max(n_all - n_toxic, 1)])
-    keep &= rates.max(axis=0) >= least_rate * rates.min(axis=0)
-    terms = frame["term"].to_numpy(np.int64)[keep].view(np.uint64)
-    order = np.argsort(terms)
-    model = Examples(terms[order], np.log((1 + n_all) / (1 + n[keep][order])) + 1, prior, prior)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            rows, at, weight = model.vectors(batch.column(1))
-            cut = np.searchsorted(rows, np.arange(len(batch.column(1)) + 1))
-            parts = [(at[i:j].tolist(), weight[i:j].tolist()) for i, j in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p[0] for p in parts], pa.list_(pa.int64())), pa.array([p[1] for p in parts], pa.list_(pa.float64()))], ["id", "label", "terms", "weights"])
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, terms, n = counted(*term_rows(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(terms.view(np.int64)), pa.array(n, pa.int32())], ["id", "term", "n"])
 
-    got = train.mapInArrow(vectors, "id bigint, label int, terms array<bigint>, weights array<double>").toPandas().sort_values("id", kind="stable")
+    # of rows and bytes that are bounded
+    vectors = over_batches(train.join(F.broadcast(some), "id").select("id", "text"), own, "id bigint, term bigint, n int").toArrow()
+    ids, term, many = (vectors[c].to_numpy() for c in ("id", "term", "n"))
+    terms, at = np.unique(term.view(np.uint64), return_inverse=True)
+    del vectors, term
+    sent = spark.sparkContext.broadcast(terms)
+
+    def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = sent.value
+        rows, found, _ = counted(*term_rows(batch.column(1)))
+        place = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+        good = known[place] == found if len(known) else np.zeros(len(found), bool)
+        toxic = batch.column(2).to_numpy(zero_copy_only=False)[rows[good]]
+        n, y = np.bincount(place[good], minlength=len(known)), np.bincount(place[good], toxic, len(known))
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(y[at].astype(np.int64))], ["term", "n", "toxic"])
+
+    per_term = over_batches(train.select("id", "text", "label"), stats, "term bigint, n bigint, toxic bigint")
+    frame = per_term.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    n, toxic = np.zeros((2, len(terms)))
+    place = frame["term"].to_numpy()
+    n[place], toxic[place] = frame["n"].to_numpy(), frame["toxic"].to_numpy()
+    idf = np.log((1 + n_all) / (1 + n)) + 1
+    model = Examples(terms, idf * relevance(toxic, n - toxic, n_toxic, n_all - n_toxic), prior)
+    ids, row = np.unique(ids, return_inverse=True)
+    order = np.lexsort((at, row))
+    row, at, weight = model.unit(row[order], at[order], many[order], len(ids))
     # rows of one strongest term next to each other: blocks hold like rows, and their bounds are near their best
-    first = [(t[i], -w[i]) if (i := int(np.argmax(w)) if len(w) else -1) >= 0 else (-1, 0.0) for t, w in zip(got["terms"], got["weights"], strict=True)]
-    got = got.assign(strongest=[a for a, _ in first], least=[b for _, b in first]).sort_values(["strongest", "least", "id"], kind="stable")
-    some = got[got["terms"].map(len) > 0]
-    without = got[got["terms"].map(len) == 0]["label"]
-    model.none = float((without.sum() * stands[1] + prior) / (stands[without.to_numpy(int)].sum() + 1))
-    model.stands = stands[some["label"].to_numpy(int)]
-    if len(some):
-        size = some["terms"].map(len).to_numpy()
-        model.build(some["id"].tolist(), some["label"].to_numpy(float), np.repeat(np.arange(len(some)), size), np.concatenate(some["terms"].tolist()), np.concatenate(some["weights"].tolist()))
+    first = np.searchsorted(row, np.arange(len(ids)))
+    heavy = np.lexsort((at, -weight, row))[first]
+    by = np.lexsort((ids, -weight[heavy], at[heavy]))
+    place = np.empty(len(ids), np.int64)
+    place[by] = np.arange(len(ids))
+    order = np.lexsort((at, place[row]))
+    named = [int(x) for x in ids[by]]
+    model.build(named, np.array([label[x] for x in named], float), place[row][order], at[order], weight[order])
+    rows_of = np.array([sum(1 for y in label.values() if y == c) for c in (0, 1)])
+    stands = np.array([total[c] / max(rows_of[c], 1) for c in (0, 1)])
+    model.stands = stands[model.labels.astype(int)] if named else np.empty(0)
     return model
 
 
 #: Weight of the share of toxic rows among all, in units of a neighbour of cosine 1.
 PRIOR_WEIGHT = 0.5
 
+#: Vectors whose answers a task remembers: copies are looked up once.
+REMEMBERED = 20_000
+
 
 def score(docs: DataFrame, model: Examples, k: int = 15) -> DataFrame:
-    """(id, score, evidence) of each row of docs (id, text): the nearest examples vote, each with its cosine and the rows it stands for; evidence
-    lists the three nearest. Rows without a term of the model get the share of toxic rows among such examples."""
+    """(id, score, evidence) of each row of docs (id, text): the nearest examples vote, each with its cosine squared times the
+    rows it stands for, against the share of toxic rows among all; evidence lists the three nearest. Rows without a term of
+    the model get that share."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["id"].dataType.simpleString()
     evidence = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
+    def answer(model: Examples, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list]:
+        near = model.nearest(terms, weights, k)
+        votes = sum(s * s * model.stands[e] for s, e in near)
+        yes = sum(s * s * model.stands[e] * model.labels[e] for s, e in near)
+        why = [{"id": model.ids[e], "similarity": s, "toxic": int(model.labels[e])} for s, e in near[:3]]
+        return float((yes + PRIOR_WEIGHT * model.prior) / (votes + PRIOR_WEIGHT)), why
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         seen: dict[bytes, tuple[float, list]] = {}
         for batch in small_batches(batches):
             rows, at, weight = model.vectors(batch.column(1))
-            scores, why = np.full(batch.num_rows, model.none), [[] for _ in range(batch.num_rows)]
-            some = np.unique(rows)
-            for row, i, j in zip(some.tolist(), np.searchsorted(rows, some), np.searchsorted(rows, some, "right"), strict=True):
-                key = at[i:j].tobytes() + weight[i:j].tobytes()
+            scores, why = np.full(batch.num_rows, model.prior), [[] for _ in range(batch.num_rows)]
+            cut = np.searchsorted(rows, np.arange(batch.num_rows + 1)).tolist()
+            for row, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+                if i == j:
+                    continue
+                key = xxhash.xxh3_128_digest(at[i:j].tobytes() + weight[i:j].tobytes())
                 if key not in seen:
-                    near = model.nearest(at[i:j], weight[i:j], k)
-                    votes = sum(s * model.stands[e] for s, e in near)
-                    yes = sum(s * model.stands[e] * model.labels[e] for s, e in near)
-                    if len(seen) > 100_000:
+                    if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen[key] = (float((yes + PRIOR_WEIGHT * model.prior) / (votes + PRIOR_WEIGHT)), [{"id": model.ids[e], "similarity": s, "toxic": int(model.labels[e])} for s, e in near[:3]])
+                    seen[key] = answer(model, at[i:j], weight[i:j])
                 scores[row], why[row] = seen[key]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(why, evidence)], ["id", "score", "evidence"])
 

@@ -62,6 +62,32 @@ def test_jaccard(spark, copies, width, threshold):
     assert jaccard_components(copies.limit(0), width, threshold).count() == 0
 
 
+def test_jaccard_of_a_large_group(spark):
+    """Copies of one text, edited each in its way: alike to the text, but seldom to each other; and chains of edits."""
+    base = words(200, 77)
+    texts = [edited(base, 3, 1000 + k) for k in range(500)] + [base]
+    for k in range(40):
+        texts.append(edited(texts[-1] if k % 10 else edited(base, 9, 3000 + k), 2, 2000 + k))
+    draw = random.Random(9)
+    draw.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(7)
+    sets = [shingles(" ".join(t), 5) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {i: find(i) for i in range(len(sets))}
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (103, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).df.collect()}

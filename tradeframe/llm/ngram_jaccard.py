@@ -116,15 +116,15 @@ def _first_pairs(keys: DataFrame) -> DataFrame:
     return mine.select(F.col("sig").alias("a"), F.explode(F.array_distinct(F.transform(rarest, lambda x: x["b"]))).alias("b")).where("a <> b").distinct()
 
 
-def _sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sig, n, items) of the wanted signatures: each from the text of its least document."""
-    first = signed.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-    texts = docs.join(first, "id").select("sig", "text")
+def _sets_of(docs: DataFrame, first: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sig, n, items) of the wanted signatures: each from the text of its least document. first: (sig, id)."""
+    texts = docs.join(first.join(wanted, "sig"), "id").select("sig", "text")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = BatchWords(batch.column(1))
-        found = [shingle_set(words.of(i), width) for i in range(len(words))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([pack_set(x) for x in found], pa.binary())], ["sig", "n", "items"])
+        found = [(sig, x) for i, sig in enumerate(batch.column(0).to_pylist()) if signature(x := shingle_set(words.of(i), width)) == sig]
+        # rows of that id with another text are left out
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([pack_set(x) for _, x in found], pa.binary())], ["sig", "n", "items"])
 
     return over_batches(texts, sets, "sig bigint, n bigint, items binary").dropDuplicates(["sig"])
 
@@ -161,24 +161,57 @@ def _apart_items(rows: DataFrame) -> DataFrame:
     return over_batches(rows.select("pair", "apart", "b"), run, "item bigint, pair bigint")
 
 
-def _second_pairs(compared: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of one group that may be similar, aren't in one component yet, and share what tells them from the centre."""
-    label = labels.select(F.col("node").alias("a"), F.col("component").alias("own"))
-    known = compared.join(label, "a", "left").withColumn("component", F.coalesce("own", "a"))
+#: Sets of a group that are paired by what they share; a larger group first goes through rounds of new centres.
+PAIRED = 64
+
+#: Rounds of new centres at most. What they leave open is paired all the same: they save work, not links.
+ROUNDS = 4
+
+
+def _members(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(b, a, n, size, alone, items) of the sets of groups that aren't one component: items are what tells a set from the
+    centre and other sets of the group have too, (df, item), rarest first; `alone` more are its own."""
+    label = labels.select(F.col("node").alias("a"), "component")
+    known = compared.join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
     # a group whose sets, beside the centre, are in one component has no pair left
     open_groups = known.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
-    members = known.join(open_groups, "b", "left_semi")
     size = (F.length("apart") / 8).cast("int")
-    members = members.select(F.xxhash64("a", "b").alias("pair"), "b", "a", F.col("n_a").alias("n"), "component", size.alias("size"), "apart")
+    members = known.join(open_groups, "b", "left_semi").select(F.xxhash64("a", "b").alias("pair"), "b", "a", F.col("n_a").alias("n"), size.alias("size"), "apart")
     items = _apart_items(members)
-    # what one set alone has meets nobody: it only takes the first places of the order, rarest first
+    # what one set alone has meets nobody: it only takes the first places of the order
     common = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     lists = items.join(common, "item").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    # no set of a group is without items: at most the centre has its shingles
+    return members.drop("apart").join(lists, "pair").drop("pair").withColumn("alone", F.col("size") - F.size("items"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of groups that are still not one component, each with its component."""
+    label = labels.select(F.col("node").alias("a"), "component")
+    known = members.join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    groups = known.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
+    return known.join(groups, "b", "left_semi")
+
+
+def _new_centres(members: DataFrame) -> DataFrame:
+    """(a, b): in each large group, its sets with a new centre that is in another component. It is the set that differs
+    least from what most sets have: of copies of one text, edited each in its way, one that is near to all. From
+    the second round on the sets of the component that most are in have no say: another part of the group gets a centre."""
+    sizes = members.groupBy("b", "component").count()
+    most = sizes.groupBy("b").agg(F.sum("count").alias("many"), F.max_by("component", F.struct("count", "component")).alias("first")).where(F.col("many") > PAIRED)
+    known = members.join(most, "b")
+    far = F.aggregate("items", F.col("alone").cast("long"), lambda s, x: s + F.when(x["df"] * 2 > F.col("many"), F.lit(-1)).otherwise(F.lit(1)))
+    centre = known.where(~F.col("settled") | (F.col("component") != F.col("first"))).groupBy("b").agg(F.min_by(F.struct("a", "component"), F.struct(far, F.col("a"))).alias("centre"))
+    pairs = members.join(centre, "b").where(F.col("component") != F.col("centre.component"))
+    return pairs.select("a", F.col("centre.a").alias("b")).distinct()
+
+
+def _second_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of one group that may be similar, aren't in one component yet, and share what tells them from the centre."""
     t = float((1 - threshold) / threshold)
-    ranked = members.drop("apart").join(lists, "pair").withColumn("alone", F.col("size") - F.size("items"))
     # two sets that differ by d at most, d <= n (1 - t) / t, share all but d of what either has apart: one of its first d + 1
     first = F.greatest(F.floor(F.col("n") * t + 1e-6).cast("int") + 1 - F.col("alone"), F.lit(0))
-    prefix = ranked.select("b", "a", "n", "component", "size", "alone", F.posexplode(F.slice("items", F.lit(1), first)).alias("nth", "it"))
+    prefix = members.select("b", "a", "n", "component", "size", "alone", F.posexplode(F.slice("items", F.lit(1), first)).alias("nth", "it"))
     prefix = prefix.select(F.col("it.item").alias("item"), "a", "n", "component", "size", (F.col("alone") + F.col("nth")).alias("rank"))
     x, y = prefix.alias("x"), prefix.alias("y")
     # d <= (n_x + n_y) (1 - t) / (1 + t): they share (size_x + size_y - d) / 2 at least, so one of each prefix that leaves fewer out
@@ -190,6 +223,32 @@ def _second_pairs(compared: DataFrame, labels: DataFrame, threshold: Fraction) -
     return x.join(y, where).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
 
 
+def _closed(compared: DataFrame, sets: DataFrame, links: Saved, labels: Saved, threshold: Fraction) -> Saved:
+    """The components with the links between sets of one group that are not links to its centre."""
+    members = Saved(_members(compared, labels.df), "members")
+    for settled in range(ROUNDS):
+        some = Saved(_new_centres(_open(members.df, labels.df).withColumn("settled", F.lit(settled > 0))), "centres")
+        new = None if some.df.isEmpty() else Saved(_compare(some.df, sets, threshold).where("linked").select("a", "b"), "star")
+        some.drop()
+        if new is None or new.df.isEmpty():
+            break
+        links, labels = _joined(links, new, labels)
+    more = Saved(_second_pairs(_open(members.df, labels.df), threshold), "second")
+    if not more.df.isEmpty():
+        links, labels = _joined(links, Saved(_compare(more.df, sets, threshold).where("linked").select("a", "b"), "star"), labels)
+    for x in (members, more, links):
+        x.drop()
+    return labels
+
+
+def _joined(links: Saved, new: Saved, labels: Saved) -> tuple[Saved, Saved]:
+    """The links with more of them, and the components that they make."""
+    both = Saved(links.df.union(new.df), "links")
+    for x in (links, new, labels):
+        x.drop()
+    return both, components(both.df)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row: documents link when the Jaccard similarity of their sets of `width`-word
     shingles is `threshold` or more; component_id is the least id that links lead to, the row's own included.
@@ -202,22 +261,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fr
     bands = Bands(threshold)
     signed = Saved(_signed_sets(rows, width, None), "signed")
     known = rows.where(F.col("id").isNotNull())
+    # by sums over parts: of a text that a third of all rows have, each task sends one row on
+    first = Saved(signed.df.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("id")), "first")
     keys = _signed_sets(known, width, bands)
     pairs = Saved(_first_pairs(keys), "pairs")
     wanted = pairs.df.select(F.col("a").alias("sig")).union(pairs.df.select(F.col("b").alias("sig"))).distinct()
-    sets = Saved(_sets_of(known, signed.df.where("id is not null"), wanted, width), "sets")
+    sets = Saved(_sets_of(known, first.df, wanted, width), "sets")
     compared = Saved(_compare(pairs.df, sets.df, threshold), "compared")
     links = Saved(compared.df.where("linked").select("a", "b"), "star")
-    labels = components(links.df)
-    more = Saved(_second_pairs(compared.df, labels.df, threshold), "second")
-    if not more.df.isEmpty():
-        second = _compare(more.df, sets.df, threshold).where("linked").select("a", "b")
-        first = labels
-        labels = components(links.df.union(second))
-        first.drop()
-    for x in (pairs, sets, compared, links, more):
+    labels = _closed(compared.df, sets.df, links, components(links.df), threshold)
+    # written tables on both sides of the joins: Spark then splits a component that very many sets are in
+    part = Saved(first.df.join(labels.df, first.df.sig == labels.df.node, "left").select("sig", "id", F.coalesce("component", "sig").alias("part")), "parts")
+    least = Saved(part.df.groupBy("part").agg(F.min("id").alias("least")), "least")
+    named = Saved(part.df.join(least.df, "part").select("sig", "least"), "named")
+    for x in (first, pairs, sets, compared, labels, part, least):
         x.drop()
-    named = signed.df.join(labels.df, signed.df.sig == labels.df.node, "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "sig")).alias("part"))
-    least = named.where("part is not null and id is not null").groupBy("part").agg(F.min("id").alias("least"))
-    out = named.join(least, "part", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
+    # a set of no shingles is in no component; a row of null id has none
+    out = signed.df.join(named.df, "sig", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))).alias("component_id"))

@@ -138,6 +138,26 @@ def test_contaminated(spark):
     assert broken != item
 
 
+def test_contaminated_by_other_readings(spark, monkeypatch):
+    """Numbers with marks, words put in, names at sentences' beginnings, number tables and short items."""
+    from tradeframe.llm import decontaminate
+
+    item = "Anna bought 12 pens in the small shop at the corner for the children. Bernd paid 40 dollars for all of them and then they walked home along the wide river"
+    put_in = item.replace("12", "1,250.75").replace("40", "3.50").replace("small shop", "very small old shop").replace("wide river", "wide slow river")
+    names = item.replace("Anna", "Clara").replace("Bernd", "Dieter")
+    table = " ".join(str(7 * i % 23) for i in range(40))
+    docs = [(1, put_in), (2, names), (3, item.lower()), (4, "x y " + table + " z"), (5, table.replace("7", "8")), (6, "we saw blue moon rising there"), (7, "we saw a blue and moon rising"), (8, item.replace(" 40 ", " 12 "))]
+    docs += [(9, ("word " * 3000) + item + (" other" * 3000)), (9, None), (10, item), (10, item)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, size string")
+    bench = spark.createDataFrame([(1, item, 1), (1, item, 2), (2, table, 1), (3, "Blue moon rising", 1), (4, "", 1), (None, item, 1)], "item_id bigint, text string, words int")
+    for sent in (decontaminate.SENT, 3):
+        monkeypatch.setattr(decontaminate, "SENT", sent)
+        got = {(r.doc_id, r.item_id): r for r in contaminated(frame, bench).collect()}
+        assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 3), (8, 1), (9, 1), (10, 1)}
+        assert got[9, 1].exact and (got[9, 1].first_word, got[9, 1].end_word) == (3000, 3000 + len(item.split())) and not got[1, 1].exact
+        assert got[8, 1].coverage < 1 and got[10, 1].coverage == 1
+
+
 def test_toxicity(spark):
     bad = ["vile", "rotten", "vileness"]
     draw = random.Random(4)

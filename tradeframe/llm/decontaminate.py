@@ -3,7 +3,7 @@ template words are joined, and what stands in the placeholders must correspond t
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,60 +33,90 @@ def _unit_hashes() -> np.ndarray:
 
 _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 _UPPER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_STOP = np.isin(np.arange(256), list(b".!?:\n\"'([{-*#"))
+
+
+_JOINS = np.isin(np.arange(256), list(b".,"))
 
 
 class Templates:
-    """kinds: of each word of a batch, 0 for a word that stands for itself; values: hashes of the words in lower case; hashes: of their templates."""
+    """values: hash of each word of a batch in lower case; bounds: each row's first word, with the end; and kinds of each
+    word, 0 for one that stands for itself: in `plain` numbers and units are placeholders, in `wide` words with a
+    capital are too.
+
+    A number goes on over a mark between digits: 12.50 and 1,250 are one word. Which words are names is seldom sure, at the
+    beginning of a sentence or in lower case: texts are held against each other in both ways."""
 
     def __init__(self, column: pa.Array, units: np.ndarray):
-        self.words = w = BatchWords(column, BETWEEN)
-        raw = w.raw
-        n = len(w.starts)
-        self.values, self.kinds = w.hashes, np.zeros(n, np.uint8)
-        if n:
-            first = np.zeros(n, bool)
-            first[w.bounds[:-1][w.bounds[1:] > w.bounds[:-1]]] = True
-            head = raw[w.starts]
-            number = _DIGIT[head]
-            # a capital, then a small letter, in the midst of a sentence: after a space and no mark that ends or opens one
-            second = raw[np.minimum(w.starts + 1, w.ends - 1)]
-            before = raw[np.maximum(w.starts - 1, 0)]
-            ahead = raw[np.maximum(w.starts - 2, 0)]
-            name = _UPPER[head] & ~_UPPER[second] & (w.ends - w.starts > 1) & ~first & _SPACE[before] & (before != 0x0A) & ~_STOP[ahead] & ~_SPACE[ahead]
-            at = np.minimum(np.searchsorted(units, w.hashes), len(units) - 1)
-            unit = (units[at] == w.hashes) & np.concatenate([[False], number[:-1]]) & ~first
-            self.kinds[number], self.kinds[name], self.kinds[unit] = NUMBER, NAME, UNIT
-        self.hashes = np.where(self.kinds > 0, mix(self.kinds + np.uint64(77)), self.values)
-
-
-def _window_frame(rows: DataFrame, widths: list[int], sizes_matter: bool, kept=None) -> DataFrame:
+        w = BatchWords(column, BETWEEN)
+        raw, n = w.raw, len(w.starts)
+        self.values, self.bounds = w.hashes, w.bounds
+        self.plain, self.wide = np.zeros((2, n), np.uint8)
+        if not n:
+            return
+        first = np.zeros(n, bool)
+        first[w.bounds[:-1][w.bounds[1:] > w.bounds[:-1]]] = True
+        head = raw[w.starts]
+        number = _DIGIT[head]
+        # a capital, then a small letter
+        name = _UPPER[head] & ~_UPPER[raw[np.minimum(w.starts + 1, w.ends - 1)]] & (w.ends - w.starts > 1)
+        at = np.minimum(np.searchsorted(units, w.hashes), len(units) - 1)
+        unit = (units[at] == w.hashes) & np.concatenate([[False], number[:-1]]) & ~first
+        self.plain[number], self.plain[unit] = NUMBER, UNIT
+        self.wide[name], self.wide[number], self.wide[unit] = NAME, NUMBER, UNIT
+        before = np.concatenate([[0], w.ends[:-1]])
+        more = number & np.concatenate([[False], _DIGIT[raw[w.ends[:-1] - 1]]]) & (w.starts - before == 1) & _JOINS[raw[np.maximum(w.starts - 1, 0)]] & ~first
+        if more.any():
+            start = np.flatnonzero(~more)
+            nth = np.arange(n) - start[np.cumsum(~more) - 1]
+            self.values = np.add.reduceat(self.values * (2 * nth + 1).astype(np.uint64), start)
+            self.plain, self.wide = self.plain[start], self.wide[start]
+            self.bounds = np.searchsorted(start, self.bounds)
+
+    def windows(self, width: int, literal: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, hashes, kinds of all words) of the windows, in each way that a text is read. A window of fewer than two
+        words that stand for themselves, as in a table of numbers, says nothing as a template: it is taken word for word,
+        and so are all if `literal`."""
+        n = max(0, len(self.values) - width + 1)
+        none = np.zeros(len(self.values), np.uint8)
+        free = lambda kinds: np.convolve(kinds == 0, np.ones(width, np.int64), "valid")[:n] if n else np.zeros(0, np.int64)
+        of = lambda kinds: window_hashes(np.where(kinds > 0, mix(kinds + np.uint64(77)), self.values), width)
+        free_plain = free(self.plain)
+        some = np.flatnonzero((free_plain < 2) | literal)
+        if len(some):
+            yield some, mix(window_hashes(self.values, width) + np.uint64(1))[some], none
+        if not literal:
+            some = np.flatnonzero(free_plain >= 2)
+            yield some, of(self.plain)[some], self.plain
+            free_wide = free(self.wide)
+            some = np.flatnonzero((free_wide >= 2) & (free_wide < free_plain))
+            yield some, of(self.wide)[some], self.wide
+
+
+def _window_frame(rows: DataFrame, widths: list[int], least: int, of_items: bool, kept=None) -> DataFrame:
     """(id, hash, width, pos, size, words, kinds) of the windows of each row: all of them, or those whose hash `kept` holds.
 
-    sizes_matter: a window narrower than the widest is only that of a row that has no more words."""
+    of_items: a window narrower than the widest is only that of a row that has no more words."""
     widest = max(widths)
     units = _unit_hashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             t = Templates(batch.column(1), units)
-            bounds = t.words.bounds
-            parts = []
+            bounds, value, parts = t.bounds, t.values.tobytes(), []
             for width in widths:
-                hashes = window_hashes(t.hashes, width)
-                at = np.arange(len(hashes))
-                row = np.searchsorted(bounds, at, "right") - 1
-                good = at + width <= bounds[row + 1]
-                if sizes_matter and width < widest:
-                    good &= bounds[row + 1] - bounds[row] == width
-                if kept is not None:
-                    found = np.minimum(np.searchsorted(kept.value, hashes), max(len(kept.value) - 1, 0))
-                    good &= kept.value[found] == hashes if len(kept.value) else False
-                at = at[good]
-                parts.append((row[good], hashes[good], np.full(len(at), width), at))
-            row, hashes, width, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            value, kind = t.values.tobytes(), t.kinds.tobytes()
+                for at, hashes, kinds in t.windows(width, width < least):
+                    if kept is not None:
+                        known = kept.value
+                        found = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+                        good = known[found] == hashes if len(known) else np.zeros(len(hashes), bool)
+                        at, hashes = at[good], hashes[good]
+                    row = np.searchsorted(bounds, at, "right") - 1
+                    good = at + width <= bounds[row + 1]
+                    if of_items and width < widest:
+                        good &= bounds[row + 1] - bounds[row] == width
+                    at, kind = at[good], kinds.tobytes()
+                    parts.append((row[good], hashes[good], np.full(len(at), width), at, [kind[i : i + width] for i in at.tolist()]))
+            row, hashes, width, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(row)),
@@ -95,7 +125,7 @@ def _window_frame(rows: DataFrame, widths: list[int], sizes_matter: bool, kept=N
                     pa.array(at - bounds[row], pa.int64()),
                     pa.array(bounds[row + 1] - bounds[row], pa.int64()),
                     pa.array([value[8 * i : 8 * (i + w)] for i, w in zip(at.tolist(), width.tolist(), strict=True)], pa.binary()),
-                    pa.array([kind[i : i + w] for i, w in zip(at.tolist(), width.tolist(), strict=True)], pa.binary()),
+                    pa.array([k for p in parts for k in p[4]], pa.binary()),
                 ],
                 ["id", "hash", "width", "pos", "size", "words", "kinds"],
             )
@@ -103,31 +133,44 @@ def _window_frame(rows: DataFrame, widths: list[int], sizes_matter: bool, kept=N
     return rows.mapInArrow(run, "id bigint, hash bigint, width int, pos bigint, size bigint, words binary, kinds binary")
 
 
-def consistent(windows: list[tuple]) -> tuple[set[int], int, int, bool]:
+def consistent(windows: list[tuple], size: int) -> tuple[set[int], int, int, bool]:
     """Of the common windows of a document and an item, (pos, item pos, width, item's words, document's words, kinds):
     the item's words covered by those that agree, the passage in the document, and whether all words are the same.
 
-    Windows are taken by the shift between the two texts, the commonest first. A placeholder's word in the item always
-    goes with one word in the document, and the other way round; a window that breaks this is left out."""
-    shifts = Counter(p - q for p, q, *_ in windows)
+    Windows of one shift between the two texts make a start, the commonest first; those of other shifts, `size` at most
+    from it, go on from there where both texts are in the same order: words put in or left out change the shift. A
+    placeholder's word in the item always goes with one word in the document, and the other way round; a window that
+    breaks this is left out."""
+    by: dict[int, list[tuple]] = {}
+    for x in sorted(set(windows)):
+        by.setdefault(x[0] - x[1], []).append(x)
+    order = sorted(by, key=lambda s: (-len(by[s]), s))
     best: tuple[set[int], int, int, bool] = (set(), 0, 0, False)
-    for shift, number in sorted(shifts.items(), key=lambda x: (-x[1], x[0])):
-        if best[0] and number + 64 < len(best[0]):
-            break
+    for start in order:
+        near = [s for s in order if abs(s - start) <= size]
+        if len(best[0]) >= min(size, sum(x[2] for s in near for x in by[s])):
+            continue
         there: dict[tuple[int, int], int] = {}
         back: dict[tuple[int, int], int] = {}
-        covered, low, high, same = set(), None, 0, True
-        for p, q, width, item, doc, kinds in sorted(x for x in windows if x[0] - x[1] == shift):
-            a, b = np.frombuffer(item, np.uint64).tolist(), np.frombuffer(doc, np.uint64).tolist()
-            slots = [(k, x, y) for k, x, y in zip(kinds, a, b, strict=True) if k]
-            if all(there.get((k, x), y) == y and back.get((k, y), x) == x for k, x, y in slots):
+        covered, path, same = set(), [], True
+        for shift in [start, *(s for s in near if s != start)]:
+            for p, q, width, item, doc, kinds in by[shift]:
+                at = bisect_left(path, (q, p))
+                if at < len(path) and path[at] != (q, p) and (path[at][0] == q or path[at][1] <= p) or at and (path[at - 1][0] == q and path[at - 1] != (q, p) or path[at - 1][1] >= p):
+                    continue
+                a, b = np.frombuffer(item, np.uint64).tolist(), np.frombuffer(doc, np.uint64).tolist()
+                slots = [(k, x, y) for k, x, y in zip(kinds, a, b, strict=True) if k]
+                if not all(there.get((k, x), y) == y and back.get((k, y), x) == x for k, x, y in slots):
+                    continue
                 there |= {(k, x): y for k, x, y in slots}
                 back |= {(k, y): x for k, x, y in slots}
                 covered.update(range(q, q + width))
-                low, high = p if low is None else low, p + width
                 same &= a == b
+                if at == len(path) or path[at] != (q, p):
+                    path.insert(at, (q, p))
         if len(covered) > len(best[0]):
-            best = (covered, low or 0, high, same)
+            widths = {(x[1], x[0]): x[2] for s in near for x in by[s]}
+            best = (covered, min(p for _, p in path), max(p + widths[q, p] for q, p in path), same)
     return best
 
 
@@ -136,22 +179,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
     template form, the document has for `coverage` of the item or more, in windows of `width` words with corresponding
     numbers, names and units. Words are runs of letters and digits; case and marks between words don't matter.
 
-    An item of fewer than `width` words is one window; one of fewer than `least` words says nothing and isn't looked
-    for. Null ids and null or empty texts are in no pair; repeated rows of a document or an item count once; other
+    An item of fewer than `width` words is one window; one of fewer than `least` words is looked for word for word, as
+    are windows with hardly a word beside placeholders. Items without a word are in no pair. Null ids and null or empty texts are in no pair; repeated rows of a document or an item count once; other
     columns are not read; an empty table on either side gives no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text")).where("id is not null and text is not null")
-    widths = [width, *range(least, width)]
-    sought = _window_frame(items, widths, True)
+    widths = [width, *range(1, width)]
+    sought = _window_frame(items, widths, least, True)
     known = sought.select("hash").distinct()
     kept = None
     # one more than the bound tells which way to take
     some = known.limit(SENT + 1).toPandas()["hash"].to_numpy(np.int64)
     if len(some) <= SENT:
         kept = spark.sparkContext.broadcast(np.sort(some.view(np.uint64)))
-    found = _window_frame(rows, widths, False, kept).select("id", "hash", "width", "pos", F.col("words").alias("doc_words"))
-    sought = sought.select(F.col("id").alias("item"), "hash", "width", F.col("pos").alias("item_pos"), "size", "words", "kinds").dropDuplicates(["item", "hash", "width", "item_pos"])
+    # of narrow windows only those that are a whole item
+    there = sorted({r["width"] for r in sought.select("width").distinct().collect()}, reverse=True) or [width]
+    found = _window_frame(rows, there, least, False, kept).select("id", "hash", "width", "pos", F.col("words").alias("doc_words"))
+    sought = sought.select(F.col("id").alias("item"), "hash", "width", F.col("pos").alias("item_pos"), "size", "words", "kinds").dropDuplicates(["item", "hash", "width", "item_pos", "words"])
     both = found.join(sought, ["hash", "width"])
     grouped = both.groupBy("id", "item").agg(F.max("size").alias("size"), F.collect_set(F.struct("pos", "item_pos", "width", "words", "doc_words", "kinds")).alias("windows"))
 
@@ -159,7 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
         for batch in small_batches(batches, 3):
             out = []
             for doc, item, size, windows in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                covered, low, high, same = consistent([tuple(x.values()) for x in windows])
+                covered, low, high, same = consistent([tuple(x.values()) for x in windows], size)
                 if len(covered) >= coverage * size:
                     out.append((doc, item, len(covered) / size, low, high, same))
             columns = list(zip(*out, strict=True)) or [[]] * 6

@@ -212,6 +212,6 @@ def test_warc(spark):
     meta = next(r for r in got if r.page == 1 and r.record_type == "metadata")
     assert text.block == "One two\nthree" and text.refers_to == meta.refers_to and text.record_id != meta.record_id
     assert "title: A & B\r\n" in meta.block and "language: de\r\n" in meta.block and "outlink: /next\r\n" in meta.block
-    back = read_warc(gzip.compress(record_bytes(text.asDict())))
+    back = list(read_warc(gzip.compress(record_bytes(text.asDict()))))
     assert back[0][0]["WARC-Refers-To"] == [text.refers_to] and back[0][1] == text.block.encode()
     assert derivative_records(responses(pages.limit(0))).count() == 0

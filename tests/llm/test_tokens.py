@@ -74,6 +74,20 @@ def test_token_files(spark, docs):
     assert read_tokens(spark, path, write_tokens(docs.limit(0), path, vocabulary())).count() == 0
 
 
+def test_token_files_are_rolled(spark, docs):
+    many = docs.select("doc_id", "text").union(docs.select("doc_id", "text").where("doc_id < 50").selectExpr("9223372036854775807", "text")).union(docs.select("doc_id", "text").where("doc_id < 50").selectExpr("-9223372036854775807", "text"))
+    path = scratch(spark, "tokens")
+    manifest = write_tokens(many, path, vocabulary(), most_bytes=2_000)
+    assert manifest.count() > 4 and manifest.agg({"n_docs": "sum"}).first()[0] == many.count()
+    got = sorted(read_tokens(spark, path, manifest).collect(), key=lambda r: r.start)
+    rows = sorted(many.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    codes, start = encoder(vocabulary()), 0
+    for r, g in zip(rows, got, strict=True):
+        ids = np.array([*codes.whole(r.text or ""), 2], "<u4")
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_packing(spark, docs):
     got = pack_documents(docs.where("doc_id is not null and doc_id <> 3"), vocabulary(), capacity=128).collect()
     codes, seen, filled = encoder(vocabulary()), {}, {}

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe.llm.shared import small_batches
+from tradeframe.llm.shared import BATCH_BYTES, small_batches
 from tradeframe.llm.tokenizing import encoder
 
 MAGIC, VERSION, BLOCK = b"TFPF", 1, 256
@@ -91,7 +91,7 @@ class FileWriter:
 
     def __init__(self):
         self.blocks, self.sizes, self.rest = [], [], np.empty(0, np.uint32)
-        self.ids, self.lengths, self.total = [], [], 0
+        self.ids, self.lengths, self.total, self.size = [], [], 0, 0
 
     def add(self, ids: list, flat: np.ndarray, lengths: np.ndarray) -> None:
         self.ids += ids
@@ -106,6 +106,7 @@ class FileWriter:
         blocks, sizes = pack(ids)
         self.blocks += blocks
         self.sizes.append(sizes)
+        self.size += int(sizes.sum())
 
     def close(self) -> bytes:
         self._pack(self.rest)
@@ -146,31 +147,46 @@ def put(path: str, content: bytes) -> None:
     store.move(part, name)
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Bytes of blocks at which a file is closed and the next begun.
+MOST_BYTES = 64 << 20
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts and write them to `path` (a folder that all machines see), in ascending id order; returns the
     manifest: (file, first long: ids in all files before, n_ids, n_docs), a row for each file.
 
-    Documents are dealt by ranges of ids, so that file n holds smaller ids than file n + 1; each task writes one file.
-    end_id is appended to each document. A null text is empty: its end alone; null ids come first; rows of equal id
+    Documents are dealt by ranges of ids and, of many rows of one id, of how their texts begin, so that file n holds
+    smaller ids than file n + 1; a task writes files of about `most_bytes`, whatever it is dealt. A document is in one
+    file. end_id is appended to each document. A null text is empty: its end alone; null ids come first; rows of equal id
     stand in the order of their texts; other columns are not read; an empty table writes no file."""
     spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, out = encoder(vocabulary), FileWriter()
+        codes, out, files = encoder(vocabulary), FileWriter(), 0
         tail = [] if end_id is None else [end_id]
-        for batch in small_batches(batches):
+
+        def roll() -> pa.RecordBatch:
+            nonlocal out, files
+            name = f"part-{TaskContext.get().partitionId():06d}-{files:06d}.tokens"
+            put(f"{path}/{name}", out.close())
+            row = pa.RecordBatch.from_pydict({"file": [name], "n_ids": [out.total], "n_docs": [len(out.ids)]})
+            out, files = FileWriter(), files + 1
+            return row
+
+        for batch in small_batches(batches, most=min(BATCH_BYTES, most_bytes)):
             flat, at = codes.encode(batch.column(1))
             if tail:
                 flat = np.insert(flat.astype(np.uint32), at[1:], end_id)
             out.add(batch.column(0).to_pylist(), flat, np.diff(at) + len(tail))
+            if out.size >= most_bytes:
+                yield roll()
         if out.ids:
-            name = f"part-{TaskContext.get().partitionId():06d}.tokens"
-            put(f"{path}/{name}", out.close())
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_ids": [out.total], "n_docs": [len(out.ids)]})
+            yield roll()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    # a row for each file: as many as partitions
+    # the beginnings of texts are in the order of the texts
+    ranged = rows.repartitionByRange("id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
+    # a row for each file
     files = sorted((r.file, r.n_ids, r.n_docs) for r in ranged.mapInArrow(write, "file string, n_ids bigint, n_docs bigint").collect())
     first, manifest = 0, []
     for name, n_ids, n_docs in files:

@@ -197,7 +197,7 @@ def _seed_rows(rows: DataFrame, p: Passages) -> DataFrame:
         places = [pa.array(flat(parts, np.int32)) for parts in columns[1:]]
         return pa.RecordBatch.from_arrays([pa.array(flat(columns[0], np.uint64).view(np.int64)), batch.column(0).take(row), *places], ["seed", "id", "pos", "low", "high"])
 
-    return over_batches(rows, run, "seed bigint, id bigint, pos int, low int, high int")
+    return over_batches(rows, run, "seed bigint, id bigint, pos int, low int, high int", most=2 << 20)
 
 
 #: What chain() and verify() of repeated_passages return.

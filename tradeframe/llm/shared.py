@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set (tests), a new local one."""
+    """The folder named by spark.checkpoint.dir; where none is set, a new local one, which only a local session can use."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
         named = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named
@@ -65,11 +67,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, most: int
             yield batch.slice(at, step)
 
 
-def over_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 1) -> DataFrame:
+def over_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 1, most: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow with batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, column):
+        for batch in small_batches(batches, column, most):
             yield step(batch)
 
     return df.mapInArrow(run, schema)

@@ -27,6 +27,9 @@ BLOCK = 64
 #: Blocks scored before the others' bounds are held against the k-th nearest.
 FEW = 2
 
+#: Bytes of texts whose terms are found at once: an occurrence takes some fifty bytes for a while.
+BATCH = 1 << 20
+
 #: Relevance of a term that says nothing about the label.
 FLOOR = 0.05
 
@@ -194,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, most_bytes: int
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(terms.view(np.int64)), pa.array(n, pa.int32())], ["id", "term", "n"])
 
     # of rows and bytes that are bounded
-    vectors = over_batches(train.join(F.broadcast(some), "id").select("id", "text"), own, "id bigint, term bigint, n int").toArrow()
+    vectors = over_batches(train.join(F.broadcast(some), "id").select("id", "text"), own, "id bigint, term bigint, n int", most=BATCH).toArrow()
     ids, term, many = (vectors[c].to_numpy() for c in ("id", "term", "n"))
     terms, at = np.unique(term.view(np.uint64), return_inverse=True)
     del vectors, term
@@ -210,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, most_bytes: int
         at = np.flatnonzero(n)
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(y[at].astype(np.int64))], ["term", "n", "toxic"])
 
-    per_term = over_batches(train.select("id", "text", "label"), stats, "term bigint, n bigint, toxic bigint")
+    per_term = over_batches(train.select("id", "text", "label"), stats, "term bigint, n bigint, toxic bigint", most=BATCH)
     frame = per_term.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
     n, toxic = np.zeros((2, len(terms)))
     place = frame["term"].to_numpy()
@@ -260,7 +263,7 @@ def score(docs: DataFrame, model: Examples, k: int = 15) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         seen: dict[bytes, tuple[float, list]] = {}
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH):
             rows, at, weight = model.vectors(batch.column(1))
             scores, why = np.full(batch.num_rows, model.prior), [[] for _ in range(batch.num_rows)]
             cut = np.searchsorted(rows, np.arange(batch.num_rows + 1)).tolist()

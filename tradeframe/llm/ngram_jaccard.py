@@ -168,45 +168,46 @@ PAIRED = 64
 ROUNDS = 4
 
 
-def _members(compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(b, a, n, size, alone, items, many, far) of the sets of groups that aren't one component: items are what tells a set
-    from the centre and other sets of the group have too, (df, item), rarest first; `alone` more are its own. many: sets
-    of the group; far: how far the set is from what most of these have."""
+def _named(compared: DataFrame, labels: DataFrame) -> Saved:
+    """(b, a, component, far): the sets of each group, and in how many shingles each differs from the centre; written, for it
+    is read many times."""
     label = labels.select(F.col("node").alias("a"), "component")
-    known = compared.join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
-    # a group whose sets, beside the centre, are in one component has no pair left
-    groups = known.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high").select("b", "many")
-    size = (F.length("apart") / 8).cast("int")
-    members = known.join(groups, "b").select(F.xxhash64("a", "b").alias("pair"), "b", "a", F.col("n_a").alias("n"), size.alias("size"), "many", "apart")
-    items = _apart_items(members)
-    # what one set alone has meets nobody: it only takes the first places of the order
-    common = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    lists = items.join(common, "item").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
-    # no set of a group is without items: at most the centre has its shingles
-    out = members.drop("apart").join(lists, "pair").drop("pair").withColumn("alone", F.col("size") - F.size("items"))
-    far = F.aggregate("items", F.col("alone"), lambda s, x: s + F.when(x["df"] * 2 > F.col("many"), F.lit(-1)).otherwise(F.lit(1)))
-    return out.withColumn("far", far)
+    rows = compared.select("b", "a", F.length("apart").alias("far"))
+    return Saved(rows.join(label, "a", "left").withColumn("component", F.coalesce("component", "a")), "named")
 
 
-def _named(members: DataFrame, labels: DataFrame) -> Saved:
-    """(b, a, component, many, far): what a round needs of the members; written, for it is read many times."""
-    label = labels.select(F.col("node").alias("a"), "component")
-    return Saved(members.select("b", "a", "many", "far").join(label, "a", "left").withColumn("component", F.coalesce("component", "a")), "named")
+def _open_groups(named: DataFrame) -> DataFrame:
+    """(b) of the groups whose sets, beside the centre, aren't one component; there is no pair left in the others."""
+    return named.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
 
 
 def _new_centres(named: DataFrame, settled: bool) -> DataFrame:
     """(a, b): in each large group that is not one component, its sets with a new centre that is in another component. It is
-    the set that differs least from what most sets have: of copies of one text, edited each in its way, one that is
-    near to all. Once that is `settled` the sets of the component that most are in have no say: another part of the
-    group gets a centre."""
-    sizes = named.where(F.col("many") > PAIRED).groupBy("b", "component").count()
-    groups = sizes.groupBy("b").agg(F.max_by("component", F.struct("count", "component")).alias("first"), F.count("*").alias("parts")).where("parts > 1").select("b", "first")
-    known = named.join(groups, "b")
+    the set that differs least from the old centre: of copies of one text, edited each in its way, one that hardly is, so
+    that it is near to all. Once that is `settled` the sets of the component that most are in have no say: another part
+    of the group gets a centre."""
+    sizes = named.groupBy("b", "component").count()
+    groups = sizes.groupBy("b").agg(F.sum("count").alias("many"), F.max_by("component", F.struct("count", "component")).alias("first"), F.count("*").alias("parts"))
+    known = named.join(groups.where((F.col("many") > PAIRED) & (F.col("parts") > 1)).select("b", "first"), "b")
     centre = known.where((F.col("component") != F.col("first")) if settled else F.lit(True)).groupBy("b").agg(F.min_by(F.struct("a", "component"), F.struct("far", "a")).alias("centre"))
     pairs = named.join(centre, "b").where(F.col("component") != F.col("centre.component"))
     return pairs.select("a", F.col("centre.a").alias("b")).distinct()
 
 
+def _members(compared: DataFrame, named: DataFrame) -> DataFrame:
+    """(b, a, n, component, size, alone, items) of the sets of open groups: items are what tells a set from the centre and
+    other sets of the group have too, (df, item), rarest first; `alone` more are its own."""
+    some = named.join(_open_groups(named), "b").select("b", "a", "component")
+    size = (F.length("apart") / 8).cast("int")
+    members = compared.join(some, ["b", "a"]).select(F.xxhash64("a", "b").alias("pair"), "b", "a", F.col("n_a").alias("n"), "component", size.alias("size"), "apart")
+    items = _apart_items(members)
+    # what one set alone has meets nobody: it only takes the first places of the order
+    common = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    lists = items.join(common, "item").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    # no set of a group is without items: at most the centre has its shingles
+    return members.drop("apart").join(lists, "pair").drop("pair").withColumn("alone", F.col("size") - F.size("items"))
+
+
 def _second_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs of one group that may be similar, aren't in one component yet, and share what tells them from the centre."""
     t = float((1 - threshold) / threshold)
@@ -226,9 +227,8 @@ def _second_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
 
 def _closed(compared: DataFrame, sets: DataFrame, links: Saved, labels: Saved, threshold: Fraction) -> Saved:
     """The components with the links between sets of one group that are not links to its centre."""
-    members = Saved(_members(compared, labels.df), "members")
     for nth in range(ROUNDS):
-        named = _named(members.df, labels.df)
+        named = _named(compared, labels.df)
         some = Saved(_new_centres(named.df, nth > 0), "centres")
         named.drop()
         new = None if some.df.isEmpty() else Saved(_compare(some.df, sets, threshold).where("linked").select("a", "b"), "star")
@@ -236,14 +236,12 @@ def _closed(compared: DataFrame, sets: DataFrame, links: Saved, labels: Saved, t
         if new is None or new.df.isEmpty():
             break
         links, labels = _joined(links, new, labels)
-    named = _named(members.df, labels.df)
-    open_groups = named.df.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
-    left = members.df.join(named.df.join(open_groups, "b").select("b", "a", "component"), ["b", "a"])
-    more = Saved(_second_pairs(left, threshold), "second")
+    named = _named(compared, labels.df)
+    more = Saved(_second_pairs(_members(compared, named.df), threshold), "second")
     named.drop()
     if not more.df.isEmpty():
         links, labels = _joined(links, Saved(_compare(more.df, sets, threshold).where("linked").select("a", "b"), "star"), labels)
-    for x in (members, more, links):
+    for x in (more, links):
         x.drop()
     return labels
 

@@ -59,16 +59,19 @@ FROM priced_pairs GROUP BY ALL""",
 SPENT = "coalesce(sum(CASE WHEN is_buy THEN sol_amount END), 0e0)"
 BACK = "coalesce(sum(CASE WHEN is_sell THEN sol_amount END), 0e0)"
 SIZE = "CASE WHEN sol_amount > 0 THEN sol_amount END"
-by_norm("trader_volume", trades.trader_volume, f"""SELECT swapper, {r(SPENT, "sol_spent")}, {r(BACK, "sol_received")}, {r(f"avg({SIZE})", "avg_size")}, {r(f"quantile_cont({SIZE}, 0.5)", "median_size")},
-  {r(f"max({SIZE})", "max_size")}, {r(f"min({SIZE})", "min_size")}, {r(f"stddev_samp({SIZE})", "std_size")}, {r(f"{BACK} - {SPENT}", "net_sol")} FROM norm GROUP BY swapper""")
+OUT, IN = "CASE WHEN swap_from_mint = 'SOL' THEN swap_from_amount END", "CASE WHEN swap_to_mint = 'SOL' THEN swap_to_amount END"
+by_norm("trader_volume", trades.trader_volume, f"""SELECT swapper, count(*) AS trades, {r(f"coalesce(sum({OUT}), 0e0)", "sol_spent")}, {r(f"coalesce(sum({IN}), 0e0)", "sol_received")}, {r(f"avg({OUT})", "avg_size")},
+  {r(f"quantile_cont({OUT}, 0.5)", "median_size")}, {r(f"coalesce(max({OUT}), 0e0)", "max_size")}, {r(f"min(CASE WHEN swap_from_mint = 'SOL' AND swap_from_amount > 0 THEN swap_from_amount END)", "min_size")},
+  {r(f"stddev_samp({OUT})", "std_size")}, {r(f"stddev_samp({OUT}) / nullif(avg({OUT}), 0)", "size_cv")}, {r(f"coalesce(sum({IN}), 0e0) - coalesce(sum({OUT}), 0e0)", "net_sol")} FROM norm GROUP BY swapper""")
 by_norm("trader_diversification", trades.trader_diversification, f"""SELECT swapper, count(*) AS coins, CAST(sum(n) AS BIGINT) AS trades, {r("sum(n) * 1e0 / count(*)", "trades_per_coin")}, {r("max(n) * 1e0 / sum(n)", "max_share")}
 FROM (SELECT swapper, mint, count(*) AS n FROM norm GROUP BY ALL) GROUP BY swapper""")
 by_norm("trader_timing", trades.trader_timing, f"""SELECT swapper, {r("(max(us) - min(us)) / 3.6e9", "span_hours")}, count(DISTINCT us // {HOUR}) AS active_hours, count(DISTINCT us // {DAY}) AS active_days,
   {r("(max(us) - min(us)) / 3.6e9 / nullif(count(*) - 1, 0)", "mean_gap_hours")}, {r(f"count(*) * 1e0 / count(DISTINCT us // {HOUR})", "trades_per_active_hour")} FROM norm GROUP BY swapper""")
-ROUNDS = "0.01, 0.02, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 40.0, 50.0, 75.0, 100.0, 200.0, 250.0, 500.0, 1000.0, 2000.0, 2500.0, 5000.0, 10000.0"
-IS_ROUND = f"sol_amount > 0 AND floor(sol_amount) IN ({ROUNDS})"
-by_norm("trader_round_numbers", trades.trader_round_numbers, f"""SELECT swapper, count(CASE WHEN sol_amount > 0 THEN 1 END) AS base_trades, count(CASE WHEN {IS_ROUND} THEN 1 END) AS round_trades,
-  {r(f"count(CASE WHEN {IS_ROUND} THEN 1 END) * 1e0 / nullif(count(CASE WHEN sol_amount > 0 THEN 1 END), 0)", "round_share")} FROM norm GROUP BY swapper""")
+ROUNDS = """0.01, 0.05, 0.1, 0.2, 0.25, 0.5, 0.75, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 15.0, 20.0, 25.0, 50.0, 75.0, 100.0,
+  150.0, 200.0, 250.0, 500.0, 750.0, 1000.0, 1500.0, 2000.0, 2500.0, 5000.0, 10000.0"""
+IS_ROUND = f"swap_from_amount IN ({ROUNDS})"
+by_norm("trader_round_numbers", trades.trader_round_numbers, f"""SELECT swapper, count(*) FILTER (swap_from_mint = 'SOL') AS base_trades, count(*) FILTER (swap_from_mint = 'SOL' AND {IS_ROUND}) AS round_trades,
+  {r(f"count(*) FILTER (swap_from_mint = 'SOL' AND {IS_ROUND}) * 1e0 / nullif(count(*) FILTER (swap_from_mint = 'SOL'), 0)", "round_share")} FROM norm GROUP BY swapper""")
 by_norm("trader_trade_types", trades.trader_trade_types, f"""SELECT swapper, count(CASE WHEN swap_from_mint = 'SOL' THEN 1 END) AS base_to_token, count(CASE WHEN swap_to_mint = 'SOL' THEN 1 END) AS token_to_base,
   count(CASE WHEN swap_from_mint <> 'SOL' AND swap_to_mint <> 'SOL' THEN 1 END) AS token_to_token, count(DISTINCT CASE WHEN swap_to_mint <> 'SOL' THEN swap_to_mint END) AS tokens_bought,
   count(DISTINCT CASE WHEN swap_from_mint <> 'SOL' THEN swap_from_mint END) AS tokens_sold,
@@ -82,10 +85,15 @@ by_norm("trader_pnl", lambda n: trades.trader_pnl(trades.positions(n)), HELD + f
   {r("avg(CASE WHEN spent > 0 THEN (back - spent) / spent END)", "avg_roi")}, {r("sum(buys) * 1e0 / nullif(sum(sells), 0)", "buy_sell_ratio")} FROM held GROUP BY swapper""")
 by_norm("coin_pnl", lambda n: trades.coin_pnl(trades.positions(n)), HELD + f"""SELECT mint, count(*) AS traders, {r("sum(back - spent)", "total_pnl")}, {r("avg(back - spent)", "avg_pnl")}, count(CASE WHEN back - spent > 0 THEN 1 END) AS winners FROM held GROUP BY mint""")
 CLASS = "CASE WHEN sol_amount >= 100 THEN 'Whale' WHEN sol_amount >= 10 THEN 'Big' WHEN sol_amount >= 1 THEN 'Medium' WHEN sol_amount > 0 THEN 'Small' ELSE 'Unknown' END"
-by_norm("early_features", lambda n: trades.early_features(n, 48.0), f""", good AS (SELECT * FROM norm WHERE succeeded), launch AS (SELECT mint, min(us) AS launch_us FROM good GROUP BY mint)
-SELECT swapper, g.mint, count(*) AS trades, {r(f"coalesce(sum({SIZE}), 0e0)", "volume")}, count(DISTINCT swap_from_mint || '|' || swap_to_mint) AS pairs, {r("count(CASE WHEN is_buy THEN 1 END) * 1e0 / count(*)", "buy_ratio")},
-  {r(f"coalesce(max({SIZE}) / sum({SIZE}), 0e0)", "concentration")}, count(DISTINCT {CLASS}) AS size_classes, {r("(min(us) - min(launch_us)) / 1e6", "entry_delay_s")}
-FROM good g JOIN launch USING (mint) WHERE us < launch_us + {48 * HOUR} GROUP BY swapper, g.mint""")
+SPAN = "((max(us) - min(us)) / 6e7)"
+by_norm("early_features", lambda n: trades.early_features(n, 48.0), f""", launch AS (SELECT mint, min(us) AS launch_us FROM norm GROUP BY mint)
+SELECT swapper, g.mint, count(*) AS trade_count, {r("count(*) / 48e0", "trades_per_hour")}, {r(SPAN, "time_span_minutes")}, {r("sum(swap_from_amount)", "total_volume_traded")}, {r("avg(swap_from_amount)", "avg_trade_size")},
+  {r("CASE WHEN avg(swap_from_amount) > 0 THEN stddev_samp(swap_from_amount) / avg(swap_from_amount) ELSE 0e0 END", "trade_size_cv")}, {r("max(swap_from_amount)", "largest_trade_size")},
+  {r("CASE WHEN sum(swap_from_amount) > 0 THEN max(swap_from_amount) / sum(swap_from_amount) ELSE 0e0 END", "volume_concentration")}, count(DISTINCT swap_from_mint || '|' || swap_to_mint) AS unique_trading_pairs,
+  {r("count(*) FILTER (swap_from_mint = 'SOL' OR swap_to_mint = 'SOL') * 1e0 / count(*)", "sol_involvement_ratio")}, {r("count(*) FILTER (swap_to_mint = g.mint) * 1e0 / count(*)", "buy_ratio")},
+  {r(f"count(*) FILTER ({IS_ROUND}) * 1e0 / count(*)", "round_number_ratio")}, {r("count(DISTINCT swap_from_amount) * 1e0 / count(*)", "trade_size_diversity")},
+  {r(f"CASE WHEN count(*) > 1 AND {SPAN} > 0 THEN {SPAN} * 60 / (count(*) - 1) ELSE 0e0 END", "avg_seconds_between_trades")}, {r("(min(us) - min(launch_us)) / 6e7", "first_trade_minutes")}
+FROM norm g JOIN launch USING (mint) WHERE us < launch_us + {48 * HOUR} GROUP BY swapper, g.mint""")
 by_norm("coin_summary", trades.coin_summary, f"""SELECT mint, count(*) AS trades, count(DISTINCT swapper) AS traders, {r("(max(us) - min(us)) / 3.6e9", "span_hours")}, {r("sum(CASE WHEN is_buy THEN sol_amount END)", "sol_in")},
   {r("sum(CASE WHEN is_sell THEN sol_amount END)", "sol_out")}, {r(f"quantile_cont({SIZE}, 0.5)", "median_size")}, count(CASE WHEN is_buy THEN 1 END) AS buys, count(CASE WHEN is_sell THEN 1 END) AS sells FROM norm GROUP BY mint""")
 OTHER = "CASE WHEN mint = swap_to_mint THEN swap_from_mint ELSE swap_to_mint END"

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 #: Amounts that count as round.
 ROUND_AMOUNTS = (
-    0.01, 0.02, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0, 15.0, 20.0,
-    25.0, 30.0, 40.0, 50.0, 75.0, 100.0, 200.0, 250.0, 500.0, 1000.0, 2000.0, 2500.0, 5000.0, 10000.0,
+    0.01, 0.05, 0.1, 0.2, 0.25, 0.5, 0.75,
+    1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0,
+    15.0, 20.0, 25.0, 50.0, 75.0, 100.0,
+    150.0, 200.0, 250.0, 500.0, 750.0, 1000.0,
+    1500.0, 2000.0, 2500.0, 5000.0, 10000.0,
 )
 
 

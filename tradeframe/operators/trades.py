@@ -49,19 +49,22 @@ def spent(norm: DataFrame) -> tuple:
     return F.when(F.col("is_buy"), F.col("sol_amount")), F.when(F.col("is_sell"), F.col("sol_amount"))
 
 
-def trader_volume(norm: DataFrame) -> DataFrame:
-    """Base asset spent and received by each trader, sizes, spread and net result."""
-    out, back = spent(norm)
-    traded = F.when(F.col("sol_amount") > 0, F.col("sol_amount"))
+def trader_volume(norm: DataFrame, base: str = "SOL") -> DataFrame:
+    """Base asset spent and received by each trader; size and spread of what is spent in a trade."""
+    out = F.when(F.col("swap_from_mint") == base, F.col("swap_from_amount"))
+    back = F.when(F.col("swap_to_mint") == base, F.col("swap_to_amount"))
+    spent_sum, back_sum = (F.coalesce(F.sum(x), F.lit(0.0)) for x in (out, back))
     return norm.groupBy("swapper").agg(
-        F.coalesce(F.sum(out), F.lit(0.0)).alias("sol_spent"),
-        F.coalesce(F.sum(back), F.lit(0.0)).alias("sol_received"),
-        F.avg(traded).alias("avg_size"),
-        F.percentile(traded, F.lit(0.5)).alias("median_size"),
-        F.max(traded).alias("max_size"),
-        F.min(traded).alias("min_size"),
-        F.stddev_samp(traded).alias("std_size"),
-        (F.coalesce(F.sum(back), F.lit(0.0)) - F.coalesce(F.sum(out), F.lit(0.0))).alias("net_sol"),
+        F.count("*").alias("trades"),
+        spent_sum.alias("sol_spent"),
+        back_sum.alias("sol_received"),
+        F.avg(out).alias("avg_size"),
+        F.percentile(out, F.lit(0.5)).alias("median_size"),
+        F.coalesce(F.max(out), F.lit(0.0)).alias("max_size"),
+        F.min(F.when(out > 0, out)).alias("min_size"),
+        F.stddev_samp(out).alias("std_size"),
+        F.try_divide(F.stddev_samp(out), F.avg(out)).alias("size_cv"),
+        (back_sum - spent_sum).alias("net_sol"),
     )
 
 
@@ -90,14 +93,11 @@ def trader_timing(norm: DataFrame) -> DataFrame:
     )
 
 
-def trader_round_numbers(norm: DataFrame) -> DataFrame:
-    """Share of a trader's base amounts that are round."""
-    has = F.col("sol_amount") > 0
-    return norm.groupBy("swapper").agg(
-        F.count_if(has).alias("base_trades"),
-        F.count_if(has & is_round_amount(F.floor(F.col("sol_amount")))).alias("round_trades"),
-        F.try_divide(F.count_if(has & is_round_amount(F.floor(F.col("sol_amount")))), F.count_if(has)).alias("round_share"),
-    )
+def trader_round_numbers(norm: DataFrame, base: str = "SOL") -> DataFrame:
+    """Share of round amounts among those that a trader spends of the base asset; null where none are spent."""
+    spends = F.col("swap_from_mint") == base
+    round_ones = F.count_if(spends & is_round_amount(F.col("swap_from_amount")))
+    return norm.groupBy("swapper").agg(F.count_if(spends).alias("base_trades"), round_ones.alias("round_trades"), F.try_divide(round_ones, F.count_if(spends)).alias("round_share"))
 
 
 def trader_trade_types(norm: DataFrame, base: str = "SOL") -> DataFrame:
@@ -150,18 +150,28 @@ def first_n_hours(norm: DataFrame, hours: float) -> DataFrame:
     return norm.join(start, "mint").where(F.col("us") < F.col("launch_us") + int(hours * 3_600_000_000))
 
 
-def early_features(norm: DataFrame, hours: float = 2.0) -> DataFrame:
-    """What each trader did in each coin's first hours, of successful trades."""
-    early = first_n_hours(norm.where("succeeded"), hours)
-    has = F.when(F.col("sol_amount") > 0, F.col("sol_amount"))
+def early_features(norm: DataFrame, hours: float = 2.0, base: str = "SOL") -> DataFrame:
+    """What each trader did in each coin's first hours: activity, volume, variety, habits and timing."""
+    early = first_n_hours(norm, hours)
+    n, size = F.count("*"), F.col("swap_from_amount")
+    minutes = (F.max("us") - F.min("us")) / 6e7
+    share = lambda condition: F.count_if(condition) / n
     return early.groupBy("swapper", "mint").agg(
-        F.count("*").alias("trades"),
-        F.coalesce(F.sum(has), F.lit(0.0)).alias("volume"),
-        F.countDistinct(F.concat_ws("|", "swap_from_mint", "swap_to_mint")).alias("pairs"),
-        ratio(F.count_if("is_buy").cast("double"), F.count("*").cast("double")).alias("buy_ratio"),
-        ratio(F.max(has), F.sum(has)).alias("concentration"),
-        F.countDistinct(size_category(F.col("sol_amount"))).alias("size_classes"),
-        ((F.min("us") - F.min("launch_us")) / 1e6).alias("entry_delay_s"),
+        n.alias("trade_count"),
+        (n / hours).alias("trades_per_hour"),
+        minutes.alias("time_span_minutes"),
+        F.sum(size).alias("total_volume_traded"),
+        F.avg(size).alias("avg_trade_size"),
+        F.when(F.avg(size) > 0, F.stddev_samp(size) / F.avg(size)).otherwise(0.0).alias("trade_size_cv"),
+        F.max(size).alias("largest_trade_size"),
+        F.when(F.sum(size) > 0, F.max(size) / F.sum(size)).otherwise(0.0).alias("volume_concentration"),
+        F.countDistinct(F.concat_ws("|", "swap_from_mint", "swap_to_mint")).alias("unique_trading_pairs"),
+        share((F.col("swap_from_mint") == base) | (F.col("swap_to_mint") == base)).alias("sol_involvement_ratio"),
+        share(F.col("swap_to_mint") == F.col("mint")).alias("buy_ratio"),
+        share(is_round_amount(size)).alias("round_number_ratio"),
+        (F.countDistinct(size) / n).alias("trade_size_diversity"),
+        F.when((n > 1) & (minutes > 0), minutes * 60 / (n - 1)).otherwise(0.0).alias("avg_seconds_between_trades"),
+        ((F.min("us") - F.min("launch_us")) / 6e7).alias("first_trade_minutes"),
     )
 
 

@@ -21,7 +21,7 @@ def plain(rows, names):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "orders", "lineitem"):
+    for t in ("events", "orders", "lineitem", "customer", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, SF)
     want = con.execute(catalog.ORACLE_SQL[name])

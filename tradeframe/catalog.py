@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeframe import catalog_tables
 from tradeframe.operators import bars, signals, studies, trades, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
@@ -292,3 +293,5 @@ SELECT "row", "column", n, {r("expected", "expected")}, {r("sum(n * n / expected
 by_scored("every_fifth_sample", lambda s: signals.every_nth(s.select("coin_id", "sample_us", "score"), "coin_id", "sample_us", 5), f"SELECT coin_id, sample_us, {r('score', 'score')} FROM scored QUALIFY (row_number() OVER (PARTITION BY coin_id ORDER BY sample_us) - 1) % 5 = 0")
 FEATURES, TARGETS = ("score",), ("y", "forward_buy", "forward_sell")
 by_scored("score_correlations", lambda s: signals.corr_screen(s, FEATURES, TARGETS), ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, corr({f}, {t}) AS r, count({f} + {t}) AS n FROM scored" for f in FEATURES for t in TARGETS) + f") SELECT feature, target, {r('r', 'r')}, n, {r('r * sqrt(n - 2) / nullif(sqrt(1 - r * r), 0)', 't')} FROM c")
+
+catalog_tables.register(add, r)

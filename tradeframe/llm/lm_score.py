@@ -1,90 +1,38 @@
-"""Log-probabilities of whole texts under an n-gram model kept as a weighted backoff automaton.
+"""Log-probabilities of whole texts under an n-gram model of all training texts, kept as a weighted backoff automaton.
 
-States are contexts: the start of a text, words, and word pairs and so on that the corpus has often enough. An n-gram
-that is kept is an arc from its context. Where a state has no arc for the next word, its failure arc leads to the
-context less its first word, at a backoff weight; the last state has an arc for every word. One traversal of a text,
-from left to right, goes from state to state and adds the weights.
+States are contexts: the start of a text, words, pairs of words and so on that the training texts have. Each n-gram that
+they have, however rare, is an arc from its context. Where a state has no arc for the next word, its failure arc leads to
+the context less its first word; the last state has an arc for every word. One traversal of a text, from left to right,
+carries the state on from word to word and adds the weights.
 
-An n-gram is kept if it makes up `share` of the training tokens or more, so at most 1 / share are, whatever the
-corpus's size, and the automaton can be sent to all machines. Every other word's count is joined in, exactly."""
+The automaton is never in one place. Texts are dealt into batches of a few megabytes; a batch asks for the counts of its
+n-grams, so that its own part of the automaton is whole. Counts are summed by ranges of n-gram hashes: what moves is a
+row for each batch and range, with packed keys, and it grows as the texts do."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.shared import Saved, small_batches
-from tradeframe.llm.words import BatchWords, mix
+from tradeframe.llm.shared import Saved
+from tradeframe.llm.words import BatchWords, mix, text_bytes
 
 #: The end of a text, counted as a word, and the context at its start: hashes of their own.
-END = mix(np.array([3], np.uint64))[0]
-START = 0
-
-
-@dataclass
-class Automaton:
-    """States: 0 is a text's start, 1... are kept words by `words` (sorted hashes), then kept pairs, and so on. The
-    state below all, without context, is -1.
-
-    levels: for each order from 2 on: keys (state << 21 | word), sorted; log10 weights of the arcs; first state of its
-    n-grams. fail: the state each state's failure arc leads to; backoff: log10 of that arc's weight."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    tokens: int = 0
-    distinct: int = 0
-    levels: list[tuple[np.ndarray, np.ndarray, int]] = field(default_factory=list)
-    fail: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    backoff: np.ndarray = field(default_factory=lambda: np.empty(0))
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each kept word from 1 on, 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, 0)
-
-    def arcs(self, level: int, states: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The arcs of a level from states for words: which places have one, and where in the level it is."""
-        keys = self.levels[level][0]
-        if not len(keys):
-            return np.zeros(len(states), bool), np.zeros(len(states), np.int64)
-        want = states << 21 | numbers
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return (states >= 0) & (numbers > 0) & (keys[at] == want), at
-
-    def walk(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Traverse texts laid end to end: numbers of their words, and whether each is a text's first. Returns for each
-        word the state before it, the state after it, and the log10 weight of the arcs taken; a word that no state but
-        the last has an arc for adds the backoff weights alone. All places step at once, order by order: the state
-        after a word is that of the longest kept n-gram that ends there."""
-        n = len(numbers)
-        # after: state at each place for contexts of one word, then two, ...
-        after = np.where(numbers > 0, numbers, -1)
-        for level, (_, _, start) in enumerate(self.levels[:-1] if len(self.levels) else []):
-            before = np.concatenate([[-1], after[:-1]]) if n else after
-            before = np.where(first, START, before)
-            held, at = self.arcs(level, before, numbers)
-            after = np.where(held, start + at, after)
-        before = np.concatenate([[-1], after[:-1]]) if n else after
-        before = np.where(first, START, before)
-        total, state, open_ = np.zeros(n), before.copy(), np.ones(n, bool)
-        for level in range(len(self.levels) - 1, -1, -1):
-            low = self.levels[level - 1][2] if level else 0
-            here = np.flatnonzero(open_ & (state >= low) & (state >= 0))
-            held, at = self.arcs(level, state[here], numbers[here])
-            taken = here[held]
-            total[taken] += self.levels[level][1][at[held]]
-            open_[taken] = False
-            missed = here[~held]
-            total[missed] += self.backoff[state[missed]]
-            state[missed] = self.fail[state[missed]]
-        return before, open_, total
+END, START = mix(np.array([3, 5], np.uint64))
+
+#: Bytes of text in a batch; a longer text is one by itself.
+BATCH = 4 << 20
+
+#: Bytes of text for each range of hashes, about.
+RANGE = 8 << 20
+
+#: How much an n-gram's probability in its context leans on that in the shorter one, in occurrences of the context.
+LEAN = 20.0
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,169 +45,185 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, row, first
 
 
-def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
-def _counts(rows: DataFrame, make) -> DataFrame:
-    """(key, n) summed over what make(texts) gives for each batch."""
+def gram_keys(hashes: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the places that have an n-gram ending there, and its key: words' keys are odd, all others even."""
+    keys, places = hashes | np.uint64(1), np.arange(len(hashes))
+    out, since = [(places, keys)], np.arange(len(hashes)) - np.maximum.accumulate(np.where(first, np.arange(len(hashes)), 0))
+    for n in range(2, order + 1):
+        before = np.concatenate([[START], keys[:-1]]) if len(keys) else keys
+        if n == 2:
+            before = np.where(first, START, before)
+        keys = mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes) & ~np.uint64(1)
+        some = np.flatnonzero(since >= n - 2)
+        out.append((some, keys[some]))
+    return out
+
+
+def walk(counts: list[np.ndarray], first: np.ndarray, texts: int, tokens: int, distinct: int, lean: float = LEAN) -> tuple[np.ndarray, np.ndarray]:
+    """log10 weights of the arcs taken for each word, and of the last state's arc alone.
+
+    counts: for each order, how often training has the n-gram that ends at a place, so counts[n][i - 1] is how often it
+    has the context of the one that ends at i. All places step at once, from the longest context down: a place whose
+    state has an arc for the word takes it, the others take the failure arc. What a context keeps for words that never
+    followed it, lean / (context + lean), is the failure arc's weight; a word that did follow it has its share beside."""
+    p = (counts[0] + 1) / (tokens + distinct + 1)
+    base = np.log10(p)
+    weights, fails = [base], []
+    for n in range(1, len(counts)):
+        context = np.concatenate([[0], counts[n - 1][:-1]]) if len(first) else counts[n - 1]
+        context = np.where(first, texts if n == 1 else 0, context)
+        p = (counts[n] + lean * p) / (context + lean)
+        weights.append(np.log10(p))
+        fails.append(np.log10(lean / (context + lean)))
+    total, open_ = np.zeros(len(first)), np.ones(len(first), bool)
+    for n in range(len(counts) - 1, 0, -1):
+        arc = open_ & (counts[n] > 0)
+        total[arc] += weights[n][arc]
+        open_ &= ~arc
+        total[open_] += fails[n - 1][open_]
+    return total + np.where(open_, base, 0), base
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
+    """A partition's rows (id, text, ...) in batches, each with its number: cut by the bytes before a row, so the same
+    rows always make the same batches."""
+    number, done, held = 0, 0, []
+    task = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        _, at = text_bytes(batch.column(1))
+        nth = (done + at[:-1]) // most
+        done += int(at[-1])
+        cuts = np.flatnonzero(np.diff(nth, prepend=nth[:1])).tolist() if len(nth) else []
+        for i, j in zip([0, *cuts], [*cuts, len(nth)], strict=True):
+            if i == j:
+                continue
+            if held and nth[i] != number:
+                yield task | number, pa.Table.from_batches(held)
+                held = []
+            number = int(nth[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield task | number, pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    got = table[name].combine_chunks()
+    return pa.concat_arrays(got.chunks) if isinstance(got, pa.ChunkedArray) else got
+
+
+def _asked(rows: DataFrame, order: int, bits: int, most: int) -> DataFrame:
+    """(part, batch, keys, n): the distinct n-grams of each batch by ranges of their keys, in order, and how often its
+    training texts have each; whole batches of rows (id, text, learn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            keys, n = make(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    return rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-#: Taken from each count of a kept n-gram and given to its failure arc.
-DISCOUNT = 0.75
-
-
-def train(rows: DataFrame, unigrams: DataFrame, order: int, word_share: float, share: float) -> Automaton:
-    """Fit on rows (id, text); unigrams: (key, n) of their tokens."""
-    spark = rows.sparkSession
-    tokens, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # at most 1 / word_share words reach this
-    words = unigrams.where(F.col("n") >= max(2, word_share * tokens)).toPandas()
-    keys = words["key"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(keys)
-    model = Automaton(keys[by], words["n"].to_numpy(np.int64)[by], tokens, distinct)
-    n_texts = int(model.counts[model.words == END].sum())
-    model.fail, model.backoff = np.full(len(keys) + 1, -1), np.zeros(len(keys) + 1)
-    context = np.concatenate([[n_texts], model.counts])
-    below = lambda states, numbers: (model.counts[numbers - 1] + 1) / (tokens + distinct + 1)
-    for level in range(order - 1):
-        sent = spark.sparkContext.broadcast(model)
-        low = model.levels[level - 1][2] if level else 0
-        high = len(model.fail)
-
-        def grams(column: pa.Array, sent=sent, low=low, high=high) -> tuple[np.ndarray, np.ndarray]:
-            m = sent.value
-            hashes, _, first = tokens_of(column)
-            numbers = m.numbers(hashes)
-            probe = Automaton(m.words, m.counts, levels=[*m.levels, (np.empty(0, np.int64), np.empty(0), high)], fail=m.fail, backoff=m.backoff)
-            before, _, _ = probe.walk(numbers, first)
-            good = (before >= low) & (before < high) & (numbers > 0)
-            return tally(before[good] << 21 | numbers[good])
-
-        # at most 1 / share n-grams reach this
-        kept = _counts(rows, grams).where(F.col("n") >= max(2, share * tokens)).toPandas().sort_values("key")
-        keys, n = kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
-        states, numbers = keys >> 21, keys & ((1 << 21) - 1)
-        p = (n - DISCOUNT) / context[states]
-        lower = below(states, numbers)
-        used, given = np.zeros(high), np.zeros(high)
-        np.add.at(used, states, p)
-        np.add.at(given, states, lower)
-        spare = np.maximum(1 - used, 1e-9) / np.maximum(1 - given, 1e-9)
-        model.backoff[low:high] = np.log10(spare[low:high])
-        # the n-gram's own state fails to the state of its last words
-        model.levels.append((keys, np.log10(p), high))
-        if level == order - 2:
-            break
-        fails = numbers if level == 0 else np.array([_after(model, level - 1, s, w) for s, w in zip(model.fail[states], numbers, strict=True)], np.int64)
-        model.fail = np.concatenate([model.fail, fails])
-        model.backoff = np.concatenate([model.backoff, np.zeros(len(keys))])
-        context = np.concatenate([context, n])
-
-        def below(states: np.ndarray, numbers: np.ndarray, model=model, level=level) -> np.ndarray:
-            return 10.0 ** _weigh(model, level, model.fail[states], numbers)
-
-    return model
-
-
-def _after(model: Automaton, level: int, state: int, number: int) -> int:
-    while level >= 0 and state >= 0:
-        held, at = model.arcs(level, np.array([state]), np.array([number]))
-        if held[0]:
-            return int(model.levels[level][2] + at[0])
-        state, level = int(model.fail[state]), level - 1
-    return int(number)
-
-
-def _weigh(model: Automaton, level: int, states: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """log10 probability of kept words after states of up to level + 1 words."""
-    total, open_, states = np.zeros(len(states)), np.ones(len(states), bool), states.copy()
-    for k in range(level, -1, -1):
-        low = model.levels[k - 1][2] if k else 0
-        here = np.flatnonzero(open_ & (states >= low) & (states >= 0))
-        held, at = model.arcs(k, states[here], numbers[here])
-        total[here[held]] += model.levels[k][1][at[held]]
-        open_[here[held]] = False
-        missed = here[~held]
-        total[missed] += model.backoff[states[missed]]
-        states[missed] = model.fail[states[missed]]
-    base = np.log10((model.counts[numbers - 1] + 1) / (model.tokens + model.distinct + 1))
-    return total + np.where(open_, base, 0)
-
-
-def lm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, order: int = 3, word_share: float = 1e-6, share: float = 5e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
-
-    The model learns from rows whose crc32(id as text) mod `folds` is not `held_out`. Tokens are words
-    `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, and one end for each text. base_score: add-one unigrams; score: the
-    automaton. A null or empty text is its end alone; a row of null id is scored and not learnt from (its held_out is
-    null); repeated rows count and are scored each; other columns are not read; an empty table gives no rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fold = F.crc32(F.col("id").cast("string")) % folds == held_out
-    learn = rows.where(~fold)
-    unigrams = Saved(_counts(learn, lambda column: tally(tokens_of(column)[0])), "unigrams")
-    model = train(learn, unigrams.df, order, word_share, share)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    norm = float(np.log10(model.tokens + model.distinct + 1))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and one for each of its rare words: their counts aren't in the automaton."""
-        m = sent.value
-        known = np.log10(m.counts + 1) if len(m.counts) else np.zeros(1)
-        for batch in small_batches(batches):
-            hashes, row, first = tokens_of(batch.column(1))
-            numbers = m.numbers(hashes)
-            _, open_, weight = m.walk(numbers, first)
-            have = numbers > 0
-            unigram = np.where(have, known[np.maximum(numbers, 1) - 1], 0)
-            k = batch.num_rows
-            base = np.bincount(row, unigram, k)
-            score = np.bincount(row, weight + np.where(open_, unigram - norm, 0), k)
-            n, in_model = np.bincount(row, minlength=k), np.bincount(row, have, k).astype(np.int64)
-            rare = ~have
-            # a row's rare words, each once with its count
-            order = np.lexsort((hashes[rare], row[rare]))
-            r, h = row[rare][order], hashes[rare][order]
-            at = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])) if len(r) else np.empty(0, np.int64)
-            times = np.diff(np.concatenate([at, [len(r)]])).astype(np.int64)
-            # a row's number stands for it: ids may be null or repeat
-            key = batch.column(2)
-            some = lambda x, kind: pa.array(np.concatenate([x, np.zeros(len(at), x.dtype)]), kind)
-            none = pa.nulls(len(at), pa.int64())
+        for number, table in _in_batches(batches, most):
+            hashes, row, first = tokens_of(_column(table, "text"))
+            learn = _column(table, "learn").to_numpy(zero_copy_only=False)[row]
+            grams = gram_keys(hashes, first, order)
+            keys = np.unique(np.concatenate([k for _, k in grams]))
+            known, times = np.unique(np.concatenate([k[learn[at]] for at, k in grams]), return_counts=True)
+            n = np.zeros(len(keys), np.uint32)
+            n[np.searchsorted(keys, known)] = times
+            part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(cuts[1:], len(keys))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([key, key.take(pa.array(r[at]))]),
-                    pa.concat_arrays([batch.column(0), none]),
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(h[at].view(np.int64))]),
-                    pa.array(np.concatenate([n, times]), pa.int64()),
-                    some(in_model, pa.int64()),
-                    some(base, pa.float64()),
-                    some(score, pa.float64()),
+                    pa.array(part[cuts]),
+                    pa.array(np.full(len(cuts), number), pa.int64()),
+                    pa.array([keys[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                    pa.array([n[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
                 ],
-                ["row", "id", "word", "n", "known", "base", "score"],
+                ["part", "batch", "keys", "n"],
             )
 
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    walked = Saved(keyed.mapInArrow(walk, "row bigint, id bigint, word bigint, n bigint, known bigint, base double, score double"), "walked")
-    texts = walked.df.where("word is null")
-    rare = walked.df.where("word is not null").select("row", "word", "n")
-    counts = unigrams.df.select(F.col("key").alias("word"), F.col("n").alias("c"))
-    added = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"))
-    out = texts.join(added, "row", "left").fillna({"more": 0.0, "more_known": 0})
-    return out.select(
+    return rows.mapInArrow(run, "part bigint, batch bigint, keys binary, n binary")
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Of one range: to each batch's n-grams how often all training texts have them; and, once, the sum over the range's words,
+    how many of them training has, and the number of texts if their end is here."""
+    parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in table["n"].to_pylist()]), len(keys)).astype(np.int64)
+    words = (keys & np.uint64(1)).astype(bool)
+    ends = np.cumsum([len(x) for x in parts])
+    found = total[at]
+    once = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
+    return pa.table(
+        {
+            "part": table["part"], "batch": table["batch"], "sums": pa.array([found[e - len(x) : e].tobytes() for x, e in zip(parts, ends.tolist(), strict=True)], pa.binary()),
+            "tokens": once(total[words].sum()), "known": once((total[words] > 0).sum()), "texts": once(total[keys == END | np.uint64(1)].sum()),
+        }
+    )
+
+
+def lm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, order: int = 3, lean: float = LEAN, most: int = BATCH, range_bytes: int = RANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
+
+    The model learns from rows whose crc32(id as text) mod `folds` is not `held_out`, all their n-grams up to `order`
+    words. Tokens are words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, and one end for each text. base_score: add-one
+    unigrams; score: the automaton. A null or empty text is its end alone; a row of null id is scored and not learnt from
+    (its held_out is null); repeated rows count and are scored each; other columns are not read; an empty table gives no
+    rows. docs must give the same rows in the same order when read again, as files do; if it doesn't, the query fails."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("learn", F.coalesce(F.crc32(F.col("id").cast("string")) % folds != held_out, F.lit(False)))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(0, (-(-size // range_bytes) - 1).bit_length())
+    sums = Saved(_asked(rows, order, bits, most).groupBy("part").applyInArrow(_sums, "part bigint, batch bigint, sums binary, tokens bigint, known bigint, texts bigint"), "sums").df
+    tokens, distinct, texts = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("known"), F.sum("texts")).first())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in _in_batches(batches, most):
+            n = table.num_rows
+            for batch in table.to_batches():
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.full(n, -1)), batch.column(0), batch.column(1), pa.nulls(n, pa.binary())], ["batch", "part", "id", "text", "sums"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def one() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            of_text = np.asarray(table["part"]) < 0
+            asked = table.filter(pa.array(of_text))
+            hashes, row, first = tokens_of(_column(asked, "text"))
+            grams = gram_keys(hashes, first, order)
+            keys, at = np.unique(np.concatenate([k for _, k in grams]), return_inverse=True)
+            total = np.frombuffer(b"".join(table.filter(pa.array(~of_text))["sums"].to_pylist()), np.int64)
+            if len(total) != len(keys):
+                raise RuntimeError("docs gave other rows when they were read again: write them to a table first")
+            found, counts = np.split(total[at], np.cumsum([len(k) for _, k in grams])[:-1]), []
+            for (places, _), c in zip(grams, found, strict=True):
+                counts.append(np.zeros(len(hashes), np.int64))
+                counts[-1][places] = c
+            best, base = walk(counts, first, texts, tokens, distinct, lean)
+            k = asked.num_rows
+            number = lambda w: np.bincount(row, w, k)
+            return pa.RecordBatch.from_arrays([_column(asked, "id"), pa.array(np.bincount(row, minlength=k)), pa.array(number(counts[0] > 0).astype(np.int64)), pa.array(number(base)), pa.array(number(best))], ["id", "n", "known", "base", "score"])
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = (np.flatnonzero(np.diff(numbers)) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+                if i < j:
+                    if held and held[-1].column(0)[0].as_py() != numbers[i]:
+                        yield one()
+                        held = []
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield one()
+
+    schema = "batch bigint, part bigint, id bigint, text string, sums binary"
+    null = F.lit(None)
+    both = rows.mapInArrow(numbered, schema).union(sums.select("batch", "part", null.cast("bigint"), null.cast("string"), "sums"))
+    scored = both.repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(score, "id bigint, n bigint, known bigint, base double, score double")
+    return scored.select(
         F.col("id").alias(id_col),
         (F.crc32(F.col("id").cast("string")) % folds == held_out).alias("held_out"),
         F.col("n").alias("n_tokens"),
-        (F.col("known") + F.col("more_known")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more") - F.col("n") * norm).alias("base_score"),
-        (F.col("score") + F.col("more")).alias("score"),
+        F.col("known").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )

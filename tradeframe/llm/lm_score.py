@@ -26,7 +26,7 @@ from tradeframe.llm.words import BatchWords, mix, text_bytes
 END, START = mix(np.array([3, 5], np.uint64))
 
 #: Bytes of text in a batch; a longer text is one by itself.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 #: Bytes of text for each range of hashes, about.
 RANGE = 8 << 20
@@ -45,17 +45,40 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, row, first
 
 
-def gram_keys(hashes: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the places that have an n-gram ending there, and its key: words' keys are odd, all others even."""
-    keys, places = hashes | np.uint64(1), np.arange(len(hashes))
-    out, since = [(places, keys)], np.arange(len(hashes)) - np.maximum.accumulate(np.where(first, np.arange(len(hashes)), 0))
+#: Bits of an n-gram's hash that are kept beside those that name its range.
+KEPT = 48
+
+
+def gram_keys(hashes: np.ndarray, first: np.ndarray, order: int, cut: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the places that have an n-gram ending there, and its key: the hash without its `cut` last bits, of
+    which the last that is left tells words (1) from longer n-grams."""
+    end, one = np.uint64(cut + 1), np.uint64(1 << cut)
+    keys, places = hashes, np.arange(len(hashes))
+    out, since = [(places, keys >> end << end | one)], places - np.maximum.accumulate(np.where(first, places, 0))
     for n in range(2, order + 1):
         before = np.concatenate([[START], keys[:-1]]) if len(keys) else keys
         if n == 2:
             before = np.where(first, START, before)
-        keys = mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes) & ~np.uint64(1)
+        keys = mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
         some = np.flatnonzero(since >= n - 2)
-        out.append((some, keys[some]))
+        out.append((some, keys[some] >> end << end))
+    return out
+
+
+def pack(numbers: np.ndarray, size: int) -> bytes:
+    """Numbers from 0 in `size` bytes each; larger ones follow in eight."""
+    most = np.uint64((1 << 8 * size) - 1)
+    numbers = numbers.astype("<u8")
+    low = np.minimum(numbers, most)
+    return np.uint32(len(numbers)).tobytes() + low.view(np.uint8).reshape(-1, 8)[:, :size].tobytes() + numbers[low == most].tobytes()
+
+
+def unpack(data: bytes, size: int) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, n * size, 4).reshape(n, size)
+    out = out.view("<u8")[:, 0]
+    out[out == np.uint64((1 << 8 * size) - 1)] = np.frombuffer(data[4 + n * size :], "<u8")
     return out
 
 
@@ -114,25 +137,28 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 def _asked(rows: DataFrame, order: int, bits: int, most: int) -> DataFrame:
     """(part, batch, keys, n): the distinct n-grams of each batch by ranges of their keys, in order, and how often its
     training texts have each; whole batches of rows (id, text, learn)."""
+    cut = max(0, 64 - KEPT - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in _in_batches(batches, most):
             hashes, row, first = tokens_of(_column(table, "text"))
             learn = _column(table, "learn").to_numpy(zero_copy_only=False)[row]
-            grams = gram_keys(hashes, first, order)
+            grams = gram_keys(hashes, first, order, cut)
             keys = np.unique(np.concatenate([k for _, k in grams]))
             known, times = np.unique(np.concatenate([k[learn[at]] for at, k in grams]), return_counts=True)
-            n = np.zeros(len(keys), np.uint32)
+            n = np.zeros(len(keys), np.uint64)
             n[np.searchsorted(keys, known)] = times
             part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             ends = np.append(cuts[1:], len(keys))
+            own = keys << np.uint64(bits) >> np.uint64(bits + cut)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(part[cuts]),
                     pa.array(np.full(len(cuts), number), pa.int64()),
-                    pa.array([keys[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
-                    pa.array([n[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                    # steps from key to key, which take five bytes
+                    pa.array([pack(np.diff(own[i:j], prepend=np.uint64(0)), 5) for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                    pa.array([pack(n[i:j], 1) for i, j in zip(cuts, ends, strict=True)], pa.binary()),
                 ],
                 ["part", "batch", "keys", "n"],
             )
@@ -140,20 +166,24 @@ def _asked(rows: DataFrame, order: int, bits: int, most: int) -> DataFrame:
     return rows.mapInArrow(run, "part bigint, batch bigint, keys binary, n binary")
 
 
-def _sums(table: pa.Table) -> pa.Table:
+def _sums(table: pa.Table, bits: int) -> pa.Table:
     """Of one range: to each batch's n-grams how often all training texts have them; and, once, the sum over the range's words,
     how many of them training has, and the number of texts if their end is here."""
-    parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    parts = [np.cumsum(unpack(x.as_py(), 5), dtype=np.uint64) for x in table["keys"]]
     keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in table["n"].to_pylist()]), len(keys)).astype(np.int64)
+    total = np.bincount(at, np.concatenate([unpack(x.as_py(), 1) for x in table["n"]]), len(keys)).astype(np.int64)
     words = (keys & np.uint64(1)).astype(bool)
     ends = np.cumsum([len(x) for x in parts])
     found = total[at]
+    cut = max(0, 64 - KEPT - bits)
+    end = gram_keys(np.array([END]), np.array([True]), 1, cut)[0][1]
+    here = int(end[0]) >> (64 - bits) if bits else 0
+    end = end << np.uint64(bits) >> np.uint64(bits + cut) if here == table["part"][0].as_py() else np.empty(0, np.uint64)
     once = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
     return pa.table(
         {
-            "part": table["part"], "batch": table["batch"], "sums": pa.array([found[e - len(x) : e].tobytes() for x, e in zip(parts, ends.tolist(), strict=True)], pa.binary()),
-            "tokens": once(total[words].sum()), "known": once((total[words] > 0).sum()), "texts": once(total[keys == END | np.uint64(1)].sum()),
+            "part": table["part"], "batch": table["batch"], "sums": pa.array([pack(found[e - len(x) : e], 1) for x, e in zip(parts, ends.tolist(), strict=True)], pa.binary()),
+            "tokens": once(total[words].sum()), "known": once((total[words] > 0).sum()), "texts": once(total[np.isin(keys, end)].sum()),
         }
     )
 
@@ -170,7 +200,7 @@ def lm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, order: int = 3
     rows = rows.withColumn("learn", F.coalesce(F.crc32(F.col("id").cast("string")) % folds != held_out, F.lit(False)))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(0, (-(-size // range_bytes) - 1).bit_length())
-    sums = Saved(_asked(rows, order, bits, most).groupBy("part").applyInArrow(_sums, "part bigint, batch bigint, sums binary, tokens bigint, known bigint, texts bigint"), "sums").df
+    sums = Saved(_asked(rows, order, bits, most).groupBy("part").applyInArrow(lambda table: _sums(table, bits), "part bigint, batch bigint, sums binary, tokens bigint, known bigint, texts bigint"), "sums").df
     tokens, distinct, texts = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("known"), F.sum("texts")).first())
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +218,9 @@ def lm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, order: int = 3
             of_text = np.asarray(table["part"]) < 0
             asked = table.filter(pa.array(of_text))
             hashes, row, first = tokens_of(_column(asked, "text"))
-            grams = gram_keys(hashes, first, order)
+            grams = gram_keys(hashes, first, order, max(0, 64 - KEPT - bits))
             keys, at = np.unique(np.concatenate([k for _, k in grams]), return_inverse=True)
-            total = np.frombuffer(b"".join(table.filter(pa.array(~of_text))["sums"].to_pylist()), np.int64)
+            total = np.concatenate([np.empty(0, np.uint64), *(unpack(x.as_py(), 1) for x in table.filter(pa.array(~of_text))["sums"])]).astype(np.int64)
             if len(total) != len(keys):
                 raise RuntimeError("docs gave other rows when they were read again: write them to a table first")
             found, counts = np.split(total[at], np.cumsum([len(k) for _, k in grams])[:-1]), []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tradeframe.llm.components import components
-from tradeframe.llm.shared import Saved, over_batches, small_batches
+from tradeframe.llm.shared import Saved, over_batches, release, small_batches
 from tradeframe.llm.words import BatchWords, mix, shingle_set
 
 
@@ -239,6 +239,7 @@ def _closed(compared: DataFrame, sets: DataFrame, links: Saved, labels: Saved, t
     named = _named(compared, labels.df)
     more = Saved(_second_pairs(_members(compared, named.df), threshold), "second")
     named.drop()
+    release(more.spark)
     if not more.df.isEmpty():
         links, labels = _joined(links, Saved(_compare(more.df, sets, threshold).where("linked").select("a", "b"), "star"), labels)
     for x in (more, links):
@@ -251,6 +252,7 @@ def _joined(links: Saved, new: Saved, labels: Saved) -> tuple[Saved, Saved]:
     both = Saved(links.df.union(new.df), "links")
     for x in (links, new, labels):
         x.drop()
+    release(both.spark)
     return both, components(both.df)
 
 
@@ -270,9 +272,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fr
     first = Saved(signed.df.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("id")), "first")
     keys = _signed_sets(known, width, bands)
     pairs = Saved(_first_pairs(keys), "pairs")
+    release(docs.sparkSession)
     wanted = pairs.df.select(F.col("a").alias("sig")).union(pairs.df.select(F.col("b").alias("sig"))).distinct()
     sets = Saved(_sets_of(known, first.df, wanted, width), "sets")
     compared = Saved(_compare(pairs.df, sets.df, threshold), "compared")
+    release(docs.sparkSession)
     links = Saved(compared.df.where("linked").select("a", "b"), "star")
     labels = _closed(compared.df, sets.df, links, components(links.df), threshold)
     # written tables on both sides of the joins: Spark then splits a component that very many sets are in
@@ -281,6 +285,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fr
     named = Saved(part.df.join(least.df, "part").select("sig", "least"), "named")
     for x in (first, pairs, sets, compared, labels, part, least):
         x.drop()
+    release(docs.sparkSession)
     # a set of no shingles is in no component; a row of null id has none
     out = signed.df.join(named.df, "sig", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))).alias("component_id"))

@@ -46,6 +46,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended: it does so when their plans are collected, which on a
+    driver with memory to spare may be long after a chain of queries has filled the disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path with the file system that Spark has for it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

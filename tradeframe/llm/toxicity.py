@@ -158,15 +158,16 @@ def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return FLOOR + (1 - FLOOR) * sure * times
 
 
-def _learnt(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> tuple[DataFrame, list, dict]:
-    """(id, text, label) of the rows to learn from, saved; (id, label) of each in the order of choice; labelled ids in all, by label."""
+def _learnt(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> tuple[Saved, DataFrame, list, dict]:
+    """A saved table; (id, text, label) of the rows of it to learn from; (id, label) of each in the order of choice; labelled ids in all, by label."""
     # one row an id: the greater label where two differ
     rows = labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     labelled = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     chosen = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most // 2).collect()]
     sample = docs.sparkSession.createDataFrame([(r.id, r.label) for r in chosen], "id bigint, label int")
     found = docs.join(F.broadcast(sample), "id").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
-    train = Saved(found, "train").df
+    kept_rows = Saved(found, "train")
+    train = kept_rows.df
     size = {r.id: r.size for r in train.select("id", F.octet_length("text").alias("size")).collect()}
     kept, left = [], {0: most_bytes // 2, 1: most_bytes // 2}
     for r in chosen:
@@ -174,7 +175,7 @@ def _learnt(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> t
             left[r.label] -= size[r.id]
             kept.append((r.id, r.label))
     some = docs.sparkSession.createDataFrame(kept, "id bigint, label int").select("id")
-    return train.join(F.broadcast(some), "id"), kept, labelled
+    return kept_rows, train.join(F.broadcast(some), "id"), kept, labelled
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, most_bytes: int = 128 << 20, most_examples: int = 1_024) -> Examples:
@@ -182,11 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, most_bytes: int
     label at most, chosen by a hash of the id, give the terms' relevance; the first `most_examples` of those, half of each
     label, are the examples. So what is sent to the machines has a bounded size whatever the table's. Where a label has
     more rows than examples, each of these stands for several in votes."""
-    train, chosen, labelled = _learnt(docs, labels, most, most_bytes)
+    rows_kept, train, chosen, labelled = _learnt(docs, labels, most, most_bytes)
     n_all, n_toxic = len(chosen), sum(y for _, y in chosen)
     total = {y: max(labelled.get(y, 0), 0) if any(c == y for _, c in chosen) else 0 for y in (0, 1)}
     prior = (total[1] + 0.5) / (total[0] + total[1] + 1)
     if not n_all:
+        rows_kept.drop()
         return Examples(np.empty(0, np.uint64), np.empty(0), prior)
     spark = docs.sparkSession
     label = dict(x for y in (0, 1) for x in [c for c in chosen if c[1] == y][: most_examples // 2])
@@ -215,6 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, most_bytes: int
 
     per_term = over_batches(train.select("id", "text", "label"), stats, "term bigint, n bigint, toxic bigint", most=BATCH)
     frame = per_term.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    # nothing reads the texts again
+    rows_kept.drop()
     n, toxic = np.zeros((2, len(terms)))
     place = frame["term"].to_numpy()
     n[place], toxic[place] = frame["n"].to_numpy(), frame["toxic"].to_numpy()

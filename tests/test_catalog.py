@@ -18,7 +18,7 @@ def plain(rows, names):
     return sorted(out, key=str), [names[i] for i in order]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem", "customer", "documents"):

@@ -11,6 +11,7 @@ from pyspark.ml import Model
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,19 +54,23 @@ def fit_kmeans(df: DataFrame, k: int, seed: int = 42) -> Model:
     return KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(df)
 
 
-def fit_gmm(df: DataFrame, k: int, seed: int = 42) -> tuple[Model, float, float]:
-    """The mixture with its AIC and BIC: full covariances."""
-    model = GaussianMixture(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster", probabilityCol="cluster_probability").fit(df)
-    d, likelihood = len(model.gaussiansDF.head()["mean"]), model.summary.logLikelihood
+def fit_gmm(df: DataFrame, k: int, seed: int = 42, starts: int = 1) -> tuple[Model, float, float]:
+    """The mixture with its AIC and BIC: full covariances. MLlib starts at random rows and can end in a poor optimum: of
+    several starts the likeliest is kept."""
+    made = [GaussianMixture(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster", probabilityCol="cluster_probability").fit(df) for i in range(starts)]
+    model = max(made, key=lambda m: m.summary.logLikelihood)
+    d, likelihood = len(model.gaussians[0].mean), model.summary.logLikelihood
     free, n = k * (d + d * (d + 1) / 2) + k - 1, df.count()
     return model, 2 * free - 2 * likelihood, free * math.log(max(n, 1)) - 2 * likelihood
 
 
-
-
-def fit_bisecting(df: DataFrame, k: int, seed: int = 42) -> Model:
-    """A hierarchy from the top down: merging upwards needs all distances."""
-    return BisectingKMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(df)
+def bisecting_labels(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """Add cluster by a hierarchy from the top down: merging upwards needs all distances. MLlib parts a cluster by moving
+    its centre in proportion to the centre's length, which is none in centred rows: they are moved by one first, which
+    leaves all distances as they are."""
+    moved = df.withColumn("__moved", array_to_vector(F.transform(vector_to_array("scaled"), lambda x: x + 1)))
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="__moved", predictionCol="cluster").fit(moved)
+    return model.transform(moved).drop("__moved")
 
 
 def silhouette(labelled: DataFrame) -> float:

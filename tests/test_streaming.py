@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tradeframe import catalog
 from tradeframe.operators import trades
+from tradeframe.streaming.features import stream_actions, stream_forward_label, stream_segments, stream_trades, stream_window_features
 from tradeframe.streaming.trades import stream_dedup, stream_ohlc
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,49 @@ def test_copies_in_a_stream_go(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     got = collected(spark, stream_dedup(stream, ["row_index"], "60 days"), tmp_path)
     assert got.count() == rows.count()
+
+
+def stream_of(spark, tmp_path):
+    """Trades with a last one some days on, so that the watermark passes all others; and the table itself."""
+    rows = catalog.pairs(spark, SF).withColumn("block_timestamp", F.col("block_timestamp").cast("timestamp"))
+    last = rows.orderBy(F.col("us").desc()).limit(1).withColumn("block_timestamp", F.col("block_timestamp") + F.expr("interval 9 days"))
+    rows.unionByName(last).write.parquet(str(tmp_path / "in"))
+    return rows, stream_trades(spark, str(tmp_path / "in"), rows.schema)
+
+
+def test_window_features_of_a_stream(spark, tmp_path):
+    rows, stream = stream_of(spark, tmp_path)
+    got = {(r.mint, r.sample_ts): r for r in collected(spark, stream_window_features(stream, (3600, 14_400), 7200), tmp_path).collect()}
+    want = {}
+    for r in rows.collect():
+        s = r.block_timestamp.timestamp()
+        end = (s // 7200 + 1) * 7200
+        while end - 14_400 <= s:
+            for width in (3600, 14_400):
+                n, v, b = want.setdefault((r.mint, end), {}).get(width, (0, 0.0, 0.0))
+                hit = end - s <= width
+                want[r.mint, end][width] = (n + hit, v + hit * r.sol_amount, b + hit * r.is_buy * r.sol_amount)
+            end += 7200
+    assert {(m, t.timestamp()) for m, t in got} == set(want)
+    for (m, t), r in got.items():
+        for width in (3600, 14_400):
+            n, v, b = want[m, t.timestamp()][width]
+            assert r[f"trades_{width}s"] == n and abs(r[f"volume_{width}s"] - v) < 1e-6 and abs(r[f"buy_ratio_{width}s"] - (b / v if v else 0)) < 1e-9
+
+
+def test_labels_of_a_stream(spark, tmp_path):
+    rows, stream = stream_of(spark, tmp_path)
+    got = collected(spark, stream_forward_label(stream, 36_000, 7200), tmp_path)
+    want = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("us") / 7.2e9) - 4, F.floor(F.col("us") / 7.2e9)))).groupBy("mint", "k").agg(F.round(F.sum(F.when(F.col("is_buy"), F.col("sol_amount")).otherwise(0.0)), 6).alias("b"))
+    key = lambda df: sorted((r[0], r[1], r[2]) for r in df.collect())
+    assert key(got.select("mint", (F.unix_micros("sample_ts") / 7.2e9).cast("long"), F.round("forward_buy", 6))) == key(want)
+
+
+def test_actions_and_segments(spark, tmp_path):
+    rows = spark.createDataFrame([("u1", "calm", 0.7), ("u2", "calm", 0.3), ("u3", "wild", 0.9), ("u4", "calm", 0.5), ("u5", None, 0.9)], "swapper string, regime string, score double")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = stream_trades(spark, str(tmp_path / "in"), rows.schema)
+    profiles = spark.createDataFrame([("u1", 0.0), ("u2", 9.0)], "swapper string, x double")
+    out = stream_segments(stream_actions(stream, spark.createDataFrame([("calm",)], "regime string")), profiles, ["x"], [[0.0], [10.0]], {0: "small"})
+    got = {r.swapper: (r.action, r.segment) for r in collected(spark, out, tmp_path).collect()}
+    assert got == {"u1": ("BUY", "small"), "u2": ("SELL", "Cluster 1"), "u3": ("HOLD", None), "u4": ("HOLD", None), "u5": ("HOLD", None)}

@@ -295,5 +295,5 @@ FEATURES, TARGETS = ("score",), ("y", "forward_buy", "forward_sell")
 by_scored("score_correlations", lambda s: signals.corr_screen(s, FEATURES, TARGETS), ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, corr({f}, {t}) AS r, count({f} + {t}) AS n FROM scored" for f in FEATURES for t in TARGETS) + f") SELECT feature, target, {r('r', 'r')}, n, {r('r * sqrt(n - 2) / nullif(sqrt(1 - r * r), 0)', 't')} FROM c")
 
 catalog_tables.register(add, r)
-catalog_flow.register(add, r)
+catalog_flow.register(add, r, by_bars)
 catalog_models.register(add, r, by_scored, QUERIES)

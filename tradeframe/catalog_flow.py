@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeframe.operators import flow, impact, trades
+from tradeframe.operators import flow, impact, reversal, studies, trades
 from tradeframe.sources.tables import TRADES_SQL
 from tradeframe.sources.tables import trades as trades_of
 
@@ -108,7 +108,7 @@ REVERSION = """, p0 AS (SELECT *, sol_amount / token_amount AS price, row_number
 """
 
 
-def register(add, r) -> None:
+def register(add, r, by_bars) -> None:
     doubles = lambda names: ", ".join(r(n, n) for n in names)
     kept = ", ".join(f"b.{n}" if n not in BLOCK_DOUBLES else r(f"b.{n}", n) for n in ("mint", "block", "us", "block_size", *BLOCK_DOUBLES[:2], *flow.SIGNALS))
     add("block_signals", blocks, TRADES_SQL + BLOCKS + f"SELECT {kept} FROM blocks b")
@@ -163,3 +163,18 @@ SELECT side, hold, {stats} FROM res GROUP BY side, hold""")
     add("volume_sweep", lambda spark, d: impact.volume_sweep(events(spark, d)), TRADES_SQL + EVENTS + f""", s AS (SELECT CAST(unnest([50, 75, 90, 95]) AS INTEGER) AS percent), t AS (SELECT quantile_cont(volume_intensity, [0.5, 0.75, 0.9, 0.95]) AS q FROM ev)
 , c AS (SELECT percent, q[list_position([50, 75, 90, 95], percent)] AS cut FROM s, t)
 SELECT percent, {r("cut", "volume_cut")}, count(*) AS n, {r("avg(abs(price_impact))", "mean_impact")} FROM ev JOIN c ON volume_intensity > cut GROUP BY percent, cut""")
+
+    by_bars("overreaction", lambda b: reversal.overreaction(b, 0.2), f""", o AS (SELECT *, min(r) OVER a AS low5, max(r) OVER a AS high5, lead(r) OVER w AS nxt,
+    CASE WHEN count(r) OVER b = 5 THEN stddev_samp(r) OVER b END AS before, CASE WHEN count(r) OVER a = 5 THEN stddev_samp(r) OVER a END AS after
+  FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY us), a AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), b AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT symbol, count(*) AS moves, count(CASE WHEN r > 0 AND low5 <= -0.1 OR r <= 0 AND high5 >= 0.1 THEN 1 END) AS turned, {r("avg(CASE WHEN r > 0 THEN -nxt ELSE nxt END)", "mean_back")}, {r("avg(after / nullif(before, 0))", "volatility_ratio")}
+FROM o WHERE abs(r) > 0.2 GROUP BY symbol""")
+
+    def quarters(bars: DataFrame) -> DataFrame:
+        days = studies.daily_frame(bars)
+        return reversal.quarterly_compare(days, ["intraday", "gap"], "intraday")
+
+    by_bars("quarterly_compare", quarters, f""", d0 AS (SELECT symbol, us // {DAY} AS day, arg_min(open, us) AS open, arg_max(close, us) AS close FROM bars GROUP BY ALL)
+, d AS (SELECT symbol, day, ln(1 + coalesce(close / nullif(open, 0) - 1, 0)) AS intraday, ln(1 + coalesce(open / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY day), 0) - 1, 0)) AS gap, date '1970-01-01' + CAST(day AS INTEGER) AS dt FROM d0)
+, q AS (SELECT symbol, year(dt) AS y, quarter(dt) AS q, round(exp(sum(intraday) - arg_min(intraday, day)) - 1, 9) AS intraday, round(exp(sum(gap) - arg_min(gap, day)) - 1, 9) AS gap FROM d GROUP BY ALL)
+SELECT symbol, strategy, count(*) AS quarters, {r("avg(CASE WHEN ret > base THEN 1e0 ELSE 0e0 END)", "better_share")}, {r("avg(ret)", "mean_return")} FROM (SELECT symbol, 'intraday' AS strategy, intraday AS ret, intraday AS base FROM q UNION ALL SELECT symbol, 'gap', gap, intraday FROM q) GROUP BY symbol, strategy""")

@@ -84,3 +84,8 @@ def test_quantiles_equal_numpy(spark):
     want = np.quantile([v for v in values if v is not None], [0.33, 0.5, 0.8])
     assert np.allclose([got["a"].q33, got["a"].q50, got["a"].q80], want)
     assert got["b"].q33 == got["b"].q80 == 2.0
+
+
+def test_strong_regimes(spark):
+    auc = spark.createDataFrame([("a", 80, 40, 0.6), ("b", 80, 40, 0.54), ("c", 50, 50, 0.9), ("d", 200, 0, None)], "k string, positives long, negatives long, auc double")
+    assert [r.k for r in clusters.strong_regimes(auc).collect()] == ["a"]

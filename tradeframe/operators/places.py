@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tradeframe.sources.written import written
+
 DAY = 86_400_000_000
 
 
@@ -69,3 +71,27 @@ def with_cuts(rows: DataFrame, cuts: DataFrame, by: Sequence[str] = ()) -> DataF
     if by:
         return rows.join(cuts, list(by))
     return rows.withColumn("__one", F.lit(1)).join(F.broadcast(cuts.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], place: str = "place", total: str | None = None) -> DataFrame:
+    """Add `place`: a row's number in its group, from 0, in an order of any columns; without groups, in the whole table.
+    `total` names a column for the group's number of rows. Groups and values may be null; nulls come first. Rows that the
+    order doesn't tell apart are numbered in any way.
+
+    The table is dealt by ranges of group and order, so a group that holds most rows is many tasks, as are equal values: a
+    number of their own tells such rows apart. What comes before a range in its group is counted in a table of a row a
+    range and group."""
+    keys = [f"__k{i}" for i in range(len(order))]
+    dealt = rows.withColumns({k: F.col(o) if isinstance(o, str) else o for k, o in zip(keys, order)}).withColumn("__own", F.monotonically_increasing_id())
+    dealt = written(dealt.repartitionByRange(*by, *keys, "__own").withColumn("__range", F.spark_partition_id()), "ranges")
+    near = F.row_number().over(Window.partitionBy("__range", *by).orderBy(*keys, "__own"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("__range", *by).agg(F.count("*").alias("__n")).withColumns({"__before": before, "__all": F.sum("__n").over(group)})
+    counts = counts.select(F.col("__range").alias("__r"), *(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)), "__before", "__all")
+    on = F.col("__range") == F.col("__r")
+    for i, c in enumerate(by):
+        on &= F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    found = dealt.withColumn("__near", near).join(counts, on).withColumn(place, F.col("__before") + F.col("__near") - 1)
+    found = found.withColumn(total, F.col("__all")) if total else found
+    return found.drop("__near", "__before", "__all", "__own", "__range", "__r", *keys, *(f"__b{i}" for i in range(len(by))))

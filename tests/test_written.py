@@ -39,7 +39,7 @@ def test_ranked_numbers_hot_groups_and_ties(spark):
         assert [r.place for r in of] == list(range(len(of))) and {r.n for r in of} == {len(of)}
         values = [(r.v is not None, r.v or 0) for r in of]
         assert values == sorted(values)
-    whole = sorted(ranked(df, [], [F.col("i").desc()], "at").collect(), key=lambda r: r["at"])
+    whole = sorted(ranked(df, [], [-F.col("i")], "at").collect(), key=lambda r: r["at"])
     assert [r.i for r in whole] == list(range(3999, -1, -1))
     assert ranked(df.limit(0), ["g"], ["v"]).count() == 0
     assert written(df, "t").count() == 4000

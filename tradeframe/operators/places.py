@@ -74,7 +74,7 @@ def with_cuts(rows: DataFrame, cuts: DataFrame, by: Sequence[str] = ()) -> DataF
 
 
 def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], place: str = "place", total: str | None = None) -> DataFrame:
-    """Add `place`: a row's number in its group, from 0, in an order of any columns; without groups, in the whole table.
+    """Add `place`: a row's number in its group, from 0, in ascending order of any columns; without groups, in the whole table.
     `total` names a column for the group's number of rows. Groups and values may be null; nulls come first. Rows that the
     order doesn't tell apart are numbered in any way.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe import catalog_flow, catalog_models, catalog_tables
+from tradeframe import catalog_flow, catalog_models, catalog_samples, catalog_tables
 from tradeframe.operators import bars, signals, studies, trades, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
@@ -297,3 +297,5 @@ by_scored("score_correlations", lambda s: signals.corr_screen(s, FEATURES, TARGE
 catalog_tables.register(add, r)
 catalog_flow.register(add, r, by_bars)
 catalog_models.register(add, r, by_scored, QUERIES)
+for name, (query, sql) in catalog_samples.ALL.items():
+    add(name, query, sql)

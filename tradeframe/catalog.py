@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeframe import catalog_flow, catalog_models, catalog_samples, catalog_tables
-from tradeframe.operators import bars, signals, studies, trades, windows
+from tradeframe.operators import bars, signals, studies, trades, unit_root, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
 
@@ -165,6 +165,7 @@ def by_bars(name: str, fn: Callable[[DataFrame], DataFrame], select: str) -> Non
     add(name, lambda spark, d: fn(hourly(spark, d)), BARS_SQL + select)
 
 
+QUERIES["unit_roots"] = lambda spark, d: round_all(unit_root.augmented_dickey_fuller(bars.with_returns(hourly(spark, d)), "symbol", "us", "r"))  # beyond SQL: tested against plain regressions
 by_bars("resample_bars", lambda b: bars.resample(b, 14_400), f"SELECT symbol, us // {4 * HOUR} * {4 * HOUR} AS start_us, {r('arg_min(open, us)', 'open')}, {r('max(high)', 'high')}, {r('min(low)', 'low')}, {r('arg_max(close, us)', 'close')}, {r('sum(volume)', 'volume')}, CAST(sum(transactions) AS BIGINT) AS transactions FROM bars GROUP BY ALL")
 by_bars("bar_quality", bars.bar_quality, "SELECT symbol, count(*) AS bars, count(CASE WHEN high < greatest(open, close) THEN 1 END) AS high_below, count(CASE WHEN low > least(open, close) THEN 1 END) AS low_above, count(CASE WHEN least(open, high, low, close) <= 0 THEN 1 END) AS not_positive, count(CASE WHEN volume <= 0 THEN 1 END) AS no_volume FROM bars GROUP BY symbol")
 by_bars("return_profile", bars.return_profile, f"SELECT symbol, count(r) AS n, {r('avg(r)', 'mean')}, {r('stddev_samp(r)', 'std')}, {r('skewness(r)', 'skew')}, {r('kurtosis(r)', 'kurtosis')}, {r('quantile_cont(r, 0.05)', 'p05')}, {r('quantile_cont(r, 0.5)', 'p50')}, {r('quantile_cont(r, 0.95)', 'p95')} FROM ret WHERE r IS NOT NULL GROUP BY symbol")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradeframe.catalog_flow import pairs
-from tradeframe.operators import samples, windows
+from tradeframe.operators import samples, signals, windows
 from tradeframe.operators.windows import SECOND, SPARSE
 from tradeframe.sources.tables import TRADES_SQL
 
@@ -92,6 +93,42 @@ def regimes_sql() -> str:
 SELECT g.mint AS coin_id, g.sample_us, {columns} FROM grid g LEFT JOIN w ON w.coin_id = g.mint AND w.sample_us = g.sample_us GROUP BY ALL"""
 
 
+#: What is screened, against what; and groups of features by what their names hold.
+SCREENED = ("total_volume", "total_transactions", "median_transaction_size", "volume_std", "volume_concentration_top5", "unique_traders", "max_txns_per_trader", "single_txn_traders", "buy_ratio", "order_flow_imbalance", "large_order_ratio", "count_whale")
+TARGETS = ("profitable", "profitability_score")
+GROUPS = {"volume": ("total_volume", "volume_std"), "trader": ("unique_traders", "txn"), "order_flow": ("buy_ratio", "order_flow_imbalance"), "concentration": ("concentration", "whale"), "none": ()}
+
+
+def signal_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a window before each sample beside outcomes of one after it; doubles to six places, so that ties are ties."""
+    p = pairs(spark, sf_dir)
+    features = samples.window_features_ext(p, SPARSE, BACK[1:2]).drop("window_s")
+    outcomes = samples.forward_outcomes(p, SPARSE, AHEAD[1:]).drop("window_s").withColumn("profitable", F.col("is_profitable_period").cast("int"))
+    rows = features.join(outcomes.select("coin_id", "sample_us", *TARGETS), ["coin_id", "sample_us"])
+    return rows.select("coin_id", *(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in rows.select(*SCREENED, *TARGETS).dtypes))
+
+
+def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.rank_screen(signal_dataset(spark, sf_dir), SCREENED, TARGETS)
+
+
+def screened_sql() -> str:
+    """The critical t of five per cent by its expansion about the normal one."""
+    features, outcomes = extended_sql().split(", sizes AS", 1)[1], outcomes_sql().split(", sizes AS", 1)[1]
+    data = grid_sql(SPARSE) + f""", features AS (WITH sizes AS{features}), outcomes AS (WITH sizes AS{outcomes})
+, data AS (SELECT f.*, profitability_score, CAST(is_profitable_period AS INTEGER) AS profitable FROM features f JOIN outcomes o ON o.coin_id = f.coin_id AND o.sample_us = f.sample_us AND f.window_s = {BACK[1]} AND o.window_s = {AHEAD[1]})
+"""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, {f}::DOUBLE AS x, {t}::DOUBLE AS y FROM data" for f in SCREENED for t in TARGETS)
+    z = 1.959963984540054
+    crit = f"{z} + {(z**3 + z) / 4} / (n - 2) + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / (n - 2) ** 2 + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384} / (n - 2) ** 3"
+    return data + f""", long AS ({long})
+, placed AS (SELECT *, rank() OVER (PARTITION BY feature, target ORDER BY x) + (count(*) OVER (PARTITION BY feature, target, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY feature, target ORDER BY y) + (count(*) OVER (PARTITION BY feature, target, y) - 1) / 2e0 AS ry FROM long WHERE x IS NOT NULL AND y IS NOT NULL)
+, c0 AS (SELECT feature, target, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS pearson, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS spearman FROM placed GROUP BY ALL)
+, c AS (SELECT *, pearson * sqrt(n - 2) / nullif(sqrt(1 - pearson * pearson), 0) AS t, (abs(pearson) + abs(spearman)) / 2 AS mean_size FROM c0)
+, tested AS (SELECT *, coalesce(abs(t) > {crit}, false) AS significant FROM c)
+"""
+
+
 def made(fn, *more):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(pairs(spark, sf_dir), SPARSE, *more)
@@ -104,4 +141,9 @@ ALL = {
     "window_features_ext": (made(samples.window_features_ext, BACK), extended_sql()),
     "forward_outcomes": (made(samples.forward_outcomes, AHEAD), outcomes_sql()),
     "regime_features": (made(samples.regime_features), regimes_sql()),
+    "signal_screen": (lambda spark, d: screen(spark, d).drop("p"), screened_sql() + f"SELECT feature, target, n, {r('pearson', 'pearson')}, {r('spearman', 'spearman')}, {r('t', 't')}, {r('mean_size', 'mean_size')}, significant FROM tested"),
+    "screen_summary": (
+        lambda spark, d: signals.screen_summary(screen(spark, d), GROUPS),
+        screened_sql() + " UNION ALL ".join(f"SELECT '{g}' AS \"group\", target, count(*) AS features, {r('avg(mean_size)', 'mean_size')}, {r('max(mean_size)', 'max_size')}, count(*) FILTER (significant) AS significant FROM tested WHERE pearson IS NOT NULL AND spearman IS NOT NULL AND ({' OR '.join(f'contains(feature, {w!r})' for w in words)}) GROUP BY target" for g, words in GROUPS.items() if words),
+    ),
 }

@@ -73,25 +73,47 @@ def with_cuts(rows: DataFrame, cuts: DataFrame, by: Sequence[str] = ()) -> DataF
     return rows.withColumn("__one", F.lit(1)).join(F.broadcast(cuts.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
-def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], place: str = "place", total: str | None = None) -> DataFrame:
-    """Add `place`: a row's number in its group, from 0, in ascending order of any columns; without groups, in the whole table.
-    `total` names a column for the group's number of rows. Groups and values may be null; nulls come first. Rows that the
-    order doesn't tell apart are numbered in any way.
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """Add, for each column and the name it is to have, its sum over the rows before in the group, in ascending order of any
+    columns; without groups, in the whole table. `totals` likewise names columns for sums over the whole group. Groups and
+    values may be null; nulls come first. Rows that the order doesn't tell apart follow each other in any way.
 
     The table is dealt by ranges of group and order, so a group that holds most rows is many tasks, as are equal values: a
-    number of their own tells such rows apart. What comes before a range in its group is counted in a table of a row a
+    number of their own tells such rows apart. What comes before a range in its group is summed in a table of a row a
     range and group."""
+    totals = totals or {}
     keys = [f"__k{i}" for i in range(len(order))]
     dealt = rows.withColumns({k: F.col(o) if isinstance(o, str) else o for k, o in zip(keys, order)}).withColumn("__own", F.monotonically_increasing_id())
     dealt = written(dealt.repartitionByRange(*by, *keys, "__own").withColumn("__range", F.spark_partition_id()), "ranges")
-    near = F.row_number().over(Window.partitionBy("__range", *by).orderBy(*keys, "__own"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("__n").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = dealt.groupBy("__range", *by).agg(F.count("*").alias("__n")).withColumns({"__before": before, "__all": F.sum("__n").over(group)})
-    counts = counts.select(F.col("__range").alias("__r"), *(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)), "__before", "__all")
+    parts = dealt.groupBy("__range", *by).agg(*(F.sum(c).alias(f"__s_{c}") for c in {**sums, **totals}))
+    parts = parts.select(
+        F.col("__range").alias("__r"),
+        *(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)),
+        *(summed(f"__s_{c}", earlier(group.orderBy("__range"))).alias(f"__before_{c}") for c in sums),
+        *(F.sum(f"__s_{c}").over(group).alias(name) for c, name in totals.items()),
+    )
     on = F.col("__range") == F.col("__r")
     for i, c in enumerate(by):
         on &= F.col(c).eqNullSafe(F.col(f"__b{i}"))
-    found = dealt.withColumn("__near", near).join(counts, on).withColumn(place, F.col("__before") + F.col("__near") - 1)
-    found = found.withColumn(total, F.col("__all")) if total else found
-    return found.drop("__near", "__before", "__all", "__own", "__range", "__r", *keys, *(f"__b{i}" for i in range(len(by))))
+    near = earlier(Window.partitionBy("__range", *by).orderBy(*keys, "__own"))
+    found = dealt.withColumns({f"__near_{c}": summed(c, near) for c in sums}).join(parts, on)
+    found = found.withColumns({name: F.col(f"__before_{c}") + F.col(f"__near_{c}") for c, name in sums.items()})
+    return found.drop("__own", "__range", "__r", *keys, *(f"__b{i}" for i in range(len(by))), *(f"__{part}_{c}" for c in sums for part in ("near", "before")))
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], place: str = "place", total: str | None = None) -> DataFrame:
+    """Add `place`: a row's number in its group, from 0, as running() orders rows; `total` names a column for the group's
+    number of rows."""
+    rows = rows.withColumn("__one", F.lit(1).cast("long"))
+    return running(rows, by, order, {"__one": place}, {"__one": total} if total else None).drop("__one")
+
+
+def mean_ranks(rows: DataFrame, by: Sequence[str], value: str, rank: str = "rank") -> DataFrame:
+    """(by..., value, n, rank, all) of each value that occurs in a group: how many rows have it, their mean rank from 1, and
+    the group's rows. Equal values are counted before any are ordered, so ties have one rank wherever ranges meet. Rows of
+    null value are left out."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return running(counted, by, [value], {"n": "__before"}, {"n": "all"}).withColumn(rank, F.col("__before") + (F.col("n") + 1) / 2).drop("__before")

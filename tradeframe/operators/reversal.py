@@ -120,18 +120,22 @@ def beta_share(a: float, b: float, x: float) -> float:
 
 
 def gamma_rest(a: float, x: float) -> float:
-    """The upper regularised incomplete gamma function, by its series."""
+    """The upper regularised incomplete gamma function: one less its series, or its continued fraction where the tail is small."""
     if x <= 0:
         return 1.0
-    if x > a + 200:
-        return 0.0
-    term = total = 1 / a
-    k = a
-    while term > total * 1e-16:
-        k += 1
-        term *= x / k
-        total += term
-    return min(max(1 - total * math.exp(a * math.log(x) - x - math.lgamma(a)), 0.0), 1.0)
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x <= a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return min(max(1 - total * front, 0.0), 1.0)
+    tail = x + 801 - a
+    for m in range(400, 0, -1):  # from the innermost term outwards
+        tail = x + 2 * m - 1 - a - m * (m - a) / tail
+    return min(front / tail, 1.0)
 
 
 def p_values(stats: DataFrame, kind: str, value: Column, freedom: Column) -> DataFrame:

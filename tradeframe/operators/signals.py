@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tradeframe.functions.columns import size_category
+from tradeframe.operators import places
 from tradeframe.operators.bars import rolling, series, with_returns
+from tradeframe.operators.reversal import p_values
 from tradeframe.operators.studies import DAY, HOUR, SECOND, daily_frame, share
 
 
@@ -249,3 +251,32 @@ def corr_screen(df: DataFrame, features: Sequence[str], targets: Sequence[str])
     stats = [F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.corr(f, t).alias("r"), F.count_if(F.col(f).isNotNull() & F.col(t).isNotNull()).alias("n")) for f in features for t in targets]
     rows = df.agg(F.array(*stats).alias("all")).select(F.explode("all").alias("s")).select("s.*")
     return rows.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r"))))
+
+
+def rank_screen(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """(feature, target, n, pearson, spearman, t, mean_size, p, significant) of each pair, over rows that have both values.
+
+    Spearman's is the correlation of mean ranks. Rows are counted by pair and values; ranks come from the counted values of
+    each pair, dealt by ranges, and are taken about their mean, (n + 1) / 2. t and p are Pearson's, two-sided; significant is
+    p under 0.05. Correlations are null where either value doesn't vary."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f).cast("double").alias("x"), F.col(t).cast("double").alias("y")) for f in features for t in targets))
+    rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null and y is not null")
+    key = ["feature", "target"]
+    plain = rows.groupBy(*key).agg(F.count("*").alias("n"), places.pair_corr(F.col("x"), F.col("y")).alias("pearson"))
+    joint = rows.groupBy(*key, "x", "y").agg(F.count("*").alias("m"))
+    for c in ("x", "y"):
+        joint = joint.join(places.mean_ranks(rows.select(*key, c), key, c, f"r{c}").select(*key, c, (F.col(f"r{c}") - (F.col("all") + 1) / 2).alias(f"r{c}")), [*key, c])
+    product = lambda a, b: F.sum(F.col("m") * F.col(a) * F.col(b))
+    ranks = joint.groupBy(*key).agg(F.try_divide(product("rx", "ry"), F.sqrt(product("rx", "rx") * product("ry", "ry"))).alias("spearman"))
+    out = plain.join(ranks, key, "left")
+    out = out.withColumn("t", F.try_divide(F.col("pearson") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("pearson") * F.col("pearson"))))
+    out = out.withColumn("mean_size", (F.abs("pearson") + F.abs("spearman")) / 2)
+    return p_values(out, "r", F.col("pearson"), F.col("n") - 2).withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False)))
+
+
+def screen_summary(screen: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """(group, target, features, mean_size, max_size, significant) of a screen's features whose names hold one of a group's
+    words; a feature may be in several groups, or in none."""
+    named = F.array(*(F.when(F.lit(False) if not words else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("feature"), w)), F.lit(name)) for name, words in groups.items()))
+    rows = screen.where("pearson is not null and spearman is not null").withColumn("group", F.explode(F.array_compact(named)))
+    return rows.groupBy("group", "target").agg(F.count("*").alias("features"), F.avg("mean_size").alias("mean_size"), F.max("mean_size").alias("max_size"), F.count_if("significant").alias("significant"))

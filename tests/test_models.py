@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeframe import catalog
-from tradeframe.operators import clusters, models, places
+from tradeframe.operators import clusters, hierarchy, models, places
 
 
 @pytest.fixture(scope="module")
@@ -28,8 +28,12 @@ def test_clusters_are_found(rows):
     assert purity(clusters.bisecting_labels(rows, 3)) > 0.6
     model, aic, bic = clusters.fit_gmm(rows, 3, starts=3)
     assert purity(model.transform(rows)) > 0.6 and bic > aic and aic <= clusters.fit_gmm(rows, 3)[1]
-    stable = clusters.cluster_stability(rows, lambda df, seed: clusters.fit_kmeans(df, 3, seed), 2).collect()
-    assert [r.agreement > 0.6 for r in stable] == [True, True]
+    stable = hierarchy.cluster_stability(rows, lambda df, seed: clusters.fit_kmeans(df, 3, seed), 2).collect()
+    assert len(stable) == 6 and all(r.agreement == 1 and r.n == 200 for r in stable)
+    sweep = clusters.kmeans_sweep(rows, range(2, 6))
+    assert clusters.choose_k(sweep, "of").first().k == 3
+    found = {r.of: r for r in sweep.collect()}
+    assert sorted(found) == [2, 3, 4, 5] and found[3].silhouette == pytest.approx(clusters.silhouette(best), abs=1e-9)
 
 
 def test_robust_scale(rows):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tradeframe import catalog
 from tradeframe.operators import trades
 from tradeframe.streaming.features import stream_actions, stream_forward_label, stream_segments, stream_trades, stream_window_features
-from tradeframe.streaming.trades import stream_dedup, stream_ohlc
+from tradeframe.streaming.trades import stream_dedup, stream_first_hours, stream_ohlc
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +80,23 @@ def test_actions_and_segments(spark, tmp_path):
     out = stream_segments(stream_actions(stream, spark.createDataFrame([("calm",)], "regime string")), profiles, ["x"], [[0.0], [10.0]], {0: "small"})
     got = {r.swapper: (r.action, r.segment) for r in collected(spark, out, tmp_path).collect()}
     assert got == {"u1": ("BUY", "small"), "u2": ("SELL", "Cluster 1"), "u3": ("HOLD", None), "u4": ("HOLD", None), "u5": ("HOLD", None)}
+
+
+def test_first_hours_of_a_stream_equal_those_of_the_table(spark, tmp_path):
+    """Out of order within and across batches, but never later than the watermark allows."""
+    rows = catalog.norm(spark, SF).where("mint is not null")
+    wave = F.floor(F.col("us") / 86_400_000_000).cast("int")
+    days = [r[0] for r in rows.select(wave).distinct().orderBy(wave).limit(8).collect()]
+    rows = rows.where(wave.isin(days)).withColumn("block_timestamp", F.col("block_timestamp").cast("timestamp"))
+    for i, day in enumerate(days):  # each file has half of a day and half of the day before, in any order
+        part = rows.where((wave == day) & (F.col("row_index") % 2 == 0) | (wave == (days[i - 1] if i else -1)) & (F.col("row_index") % 2 == 1))
+        part.orderBy(F.hash("row_index")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = rows.limit(1).withColumns({"mint": F.lit("end"), "block_timestamp": F.timestamp_micros(F.lit((days[-1] + 9) * 86_400_000_000)), "us": F.lit((days[-1] + 9) * 86_400_000_000)})
+    end.write.mode("append").parquet(str(tmp_path / "in"))
+    for hours in (2.0, 60.0):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = collected(spark, stream_first_hours(stream, hours, "3 days"), tmp_path / str(hours))
+        seen = rows.where((F.col("row_index") % 2 == 0) | (wave != days[-1]))
+        want = trades.first_n_hours(seen, hours)
+        key = lambda df: sorted((r.mint, r.row_index) for r in df.where("mint <> 'end'").collect())
+        assert key(got) == key(want) != []

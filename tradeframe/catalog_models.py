@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe.operators import clusters, models, trades
+from tradeframe.operators import clusters, hierarchy, models, trades
 from tradeframe.sources.tables import TRADES_SQL
 from tradeframe.sources.tables import trades as trades_of
 
 FEATURES = ("x1", "x2", "x3")
 #: Of ln(1 + trades), ln(1 + base spent), ln(1 + base received); the first k are taken for k clusters.
-CENTROIDS = ((2.2, 6.0, 5.5), (3.6, 7.4, 7.3), (3.0, 6.6, 6.4), (1.1, 4.2, 2.0), (4.3, 8.1, 8.0))
+CENTROIDS = ((4.1, 7.2, 7.0), (4.3, 7.6, 7.4), (4.2, 7.6, 7.0), (4.25, 7.2, 7.4), (4.2, 7.4, 7.2))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,17 +63,27 @@ def register(add, r, by_scored, queries) -> None:
     doubles = ", ".join(r(c, c) for c in ("wcss", "calinski_harabasz", "davies_bouldin"))
     quality = lambda spark, d: clusters.cluster_quality(labelled(spark, d), FEATURES, ["of"])
     add("cluster_quality", quality, TRADES_SQL + QUALITY + f"SELECT CAST(of AS INTEGER) AS of, n, k, {doubles} FROM q")
-    add("choose_k", lambda spark, d: clusters.choose_k(quality(spark, d)), TRADES_SQL + QUALITY + """, e AS (SELECT min(k) AS k0, max(k) AS k1, arg_min(wcss, k) AS w0, arg_max(wcss, k) AS w1 FROM q)
-, v AS (SELECT arg_max(k, (abs((k1 - k0) * (wcss - w0) - (w1 - w0) * (k - k0)), -k)) AS elbow, arg_max(k, (calinski_harabasz, -k)) AS by_calinski, arg_max(k, (-davies_bouldin, -k)) AS by_davies FROM q, e)
-SELECT *, CASE WHEN elbow IN (by_calinski, by_davies) THEN elbow WHEN by_calinski = by_davies THEN by_calinski ELSE elbow END AS k FROM v""")
+    silhouette = lambda spark, d: clusters.silhouettes(labelled(spark, d), FEATURES, ["of"])
+    measured = lambda spark, d: quality(spark, d).join(silhouette(spark, d), "of")
+    # all rows against all, as the definition has it
+    SILHOUETTE = QUALITY + f""", apart AS (SELECT a.of, a.swapper, a.cluster, b.cluster AS other, sum({square("a.", "b.")}) AS d, count(*) FILTER (b.swapper <> a.swapper) AS m FROM lab a JOIN lab b USING (of) GROUP BY ALL)
+, near AS (SELECT of, swapper, min(d / nullif(m, 0)) FILTER (other = cluster) AS a, min(d / m) FILTER (other <> cluster) AS b FROM apart GROUP BY ALL)
+, sil AS (SELECT of, avg(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0e0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0e0) END) AS silhouette FROM near GROUP BY of)
+"""
+    add("silhouettes", silhouette, TRADES_SQL + SILHOUETTE + f"SELECT CAST(of AS INTEGER) AS of, {r('silhouette', 'silhouette')} FROM sil")
+    best = lambda c: f"CAST(arg_max(of, ({c}, -of)) FILTER ({c} IS NOT NULL) AS INTEGER)"
+    add("choose_k", lambda spark, d: clusters.choose_k(measured(spark, d), "of"), TRADES_SQL + SILHOUETTE + f""", e AS (SELECT min(of) AS k0, max(of) AS k1, arg_min(wcss, of) AS w0, arg_max(wcss, of) AS w1 FROM q)
+, s AS (SELECT *, abs((k1 - k0) * (wcss - w0) - (w1 - w0) * (of - k0)) AS off, -davies_bouldin AS davies FROM q JOIN sil USING (of), e)
+, v AS (SELECT {best("off")} AS elbow, {best("calinski_harabasz")} AS by_calinski, {best("davies")} AS by_davies, {best("silhouette")} AS by_silhouette FROM s)
+, votes AS (SELECT u.i, u.k, count(*) OVER (PARTITION BY u.k) AS n FROM (SELECT unnest([{{'i': 1, 'k': elbow}}, {{'i': 2, 'k': by_calinski}}, {{'i': 3, 'k': by_davies}}, {{'i': 4, 'k': by_silhouette}}]) AS u FROM v) WHERE u.k IS NOT NULL)
+SELECT v.*, (SELECT arg_max(k, (n, -i)) FROM votes) AS k FROM v""")
 
     def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = labelled(spark, sf_dir)
-        metrics = clusters.cluster_quality(rows, FEATURES, ["of"]).join(clusters.target_separation(rows, "y", ["of"]), "of").withColumn("silhouette", F.lit(0.0))
+        metrics = measured(spark, sf_dir).join(clusters.target_separation(labelled(spark, sf_dir), "y", ["of"]), "of")
         return clusters.composite_score(metrics).select("of", "target_separation", "composite")
 
-    add("composite_score", composite, TRADES_SQL + QUALITY + f""", t AS (SELECT of, stddev_pop(m) AS target_separation FROM (SELECT of, cluster, avg(y) AS m FROM lab GROUP BY of, cluster) GROUP BY of)
-SELECT CAST(of AS INTEGER) AS of, {r("target_separation", "target_separation")}, {r("0.4e0 * target_separation * 10 + 0.15e0 + 0.2e0 * least(calinski_harabasz / 10000, 1) + 0.1e0 * (2 - davies_bouldin) / 2", "composite")} FROM q JOIN t USING (of)""")
+    add("composite_score", composite, TRADES_SQL + SILHOUETTE + f""", t AS (SELECT of, stddev_pop(m) AS target_separation FROM (SELECT of, cluster, avg(y) AS m FROM lab GROUP BY of, cluster) GROUP BY of)
+SELECT CAST(of AS INTEGER) AS of, {r("target_separation", "target_separation")}, {r("0.4e0 * target_separation * 10 + 0.15e0 * (silhouette + 1) + 0.2e0 * least(calinski_harabasz / 10000, 1) + 0.1e0 * (2 - davies_bouldin) / 2", "composite")} FROM q JOIN t USING (of) JOIN sil USING (of)""")
     add("cluster_profiles", lambda spark, d: clusters.cluster_profiles(five(spark, d), FEATURES), TRADES_SQL + LABELLED + f""", u AS (UNPIVOT (SELECT cluster, x1, x2, x3 FROM lab WHERE of = {len(CENTROIDS)}) ON x1, x2, x3 INTO NAME feature VALUE value)
 , p AS (SELECT cluster, feature, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, sum(value) AS s FROM u GROUP BY cluster, feature)
 , o AS (SELECT feature, sum(s) / sum(n) AS overall, stddev_samp(mean) / nullif(avg(mean), 0) AS cv FROM p GROUP BY feature)
@@ -104,4 +114,10 @@ SELECT tp, fp, fn, tn, {r("auc", "auc")}, {r("ap", "average_precision")}, {r("(t
         model = models.fit_classifier(rows.where("part = 'train'"), "forest", numTrees=10)
         return models.score(rows, model).select("swapper", "part", "y", "score", "predicted", "confidence", "is_sure")
 
+    def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return clusters.scale(clusters.feature_matrix(points(spark, sf_dir), ["swapper", "y"])[0])[0]
+
     queries["kmeans_traders"], queries["forest_scores"] = kmeans, forest
+    queries["trader_k_sweep"] = lambda spark, d: clusters.kmeans_sweep(scaled(spark, d), range(2, 11))
+    queries["hierarchical_traders"] = lambda spark, d: hierarchy.hierarchical_labels(scaled(spark, d), 4, cells=256).select("swapper", "cluster")
+    queries["trader_cluster_stability"] = lambda spark, d: hierarchy.cluster_stability(scaled(spark, d), lambda df, seed: clusters.fit_kmeans(df, 4, seed), 3)

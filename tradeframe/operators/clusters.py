@@ -5,7 +5,7 @@ Tables of centroids, metrics and profiles have a row a cluster or a number of cl
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -106,17 +106,49 @@ def cluster_quality(labelled: DataFrame, features: Sequence[str], by: Sequence[s
     return out.select(*by, "n", "k", "wcss", F.when(F.col("k") > 1, calinski).alias("calinski_harabasz"), "davies_bouldin")
 
 
-def choose_k(metrics: DataFrame) -> DataFrame:
-    """(elbow, by_calinski, by_davies, [by_silhouette,] k): the number of clusters farthest from the chord of the sums of
-    squares, those of the best scores, and the one most of these name; of equals the first named. `metrics` has a row a k."""
-    ends = metrics.agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min_by("wcss", "k").alias("w0"), F.max_by("wcss", "k").alias("w1")).withColumn("__one", F.lit(1))
+def silhouettes(labelled: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., silhouette) of squared Euclidean distances: the mean over rows of (b - a) / max(a, b), a the mean distance to
+    the others of the row's cluster and b the least mean distance to another cluster; 0 for a row that is alone in its
+    cluster, null where there is one cluster. Mean distances come from each cluster's count and sums, so rows meet clusters
+    and not each other."""
+    by, x = list(by), [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
+    square = lambda vs: sum((v * v for v in vs), F.lit(0.0))
+    # about the mean, so that sums of squares stay exact
+    means = labelled.groupBy(*by).agg(*(F.avg(v).alias(f"__m{i}") for i, v in enumerate(x)))
+    rows = (labelled.join(F.broadcast(means), by) if by else labelled.crossJoin(means)).select(*by, "cluster", *((v - F.col(f"__m{i}")).alias(f"__x{i}") for i, v in enumerate(x)))
+    x = [F.col(f"__x{i}") for i in range(len(x))]
+    each = rows.groupBy(*by, "cluster").agg(F.count("*").alias("n"), F.array(*(F.sum(v) for v in x)).alias("sums"), F.sum(square(x)).alias("squares"))
+    table = each.groupBy(*by).agg(F.collect_list(F.struct("cluster", "n", "sums", "squares")).alias("__all"))
+    rows = rows.join(F.broadcast(table), by) if by else rows.crossJoin(table)
+
+    def mean(c: Column) -> Column:
+        """Mean squared distance to a cluster's rows, without the row itself in its own."""
+        total = c["n"] * square(x) + c["squares"] - 2 * sum((v * F.get(c["sums"], F.lit(i)) for i, v in enumerate(x)), F.lit(0.0))
+        return F.greatest(total, F.lit(0.0)) / (c["n"] - F.when(c["cluster"] == F.col("cluster"), 1).otherwise(0))
+
+    own = lambda c: c["cluster"] == F.col("cluster")
+    rows = rows.withColumn("__alone", F.exists("__all", lambda c: own(c) & (c["n"] == 1)))
+    a = F.array_min(F.transform(F.filter("__all", lambda c: own(c) & (c["n"] > 1)), mean))
+    b = F.array_min(F.transform(F.filter("__all", lambda c: ~own(c)), mean))
+    rows = rows.withColumns({"__a": a, "__b": b})
+    value = F.when(F.col("__b").isNotNull(), F.when(F.col("__alone"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("__b") - F.col("__a"), F.greatest("__a", "__b")), F.lit(0.0))))
+    return rows.groupBy(*by).agg(F.avg(value).alias("silhouette"))
+
+
+def choose_k(metrics: DataFrame, of: str = "k") -> DataFrame:
+    """(elbow, by_calinski, by_davies, [by_silhouette,] k): the number of clusters, named by the column `of`, that is farthest
+    from the chord of the sums of squares, those of the best scores, and the one that most of these name; of equals the first
+    named. `metrics` has a row a number of clusters asked for. A row without a score, as of a fit that found one cluster, is
+    not among those that the score chooses from."""
+    ends = metrics.agg(F.min(of).alias("k0"), F.max(of).alias("k1"), F.min_by("wcss", of).alias("w0"), F.max_by("wcss", of).alias("w1")).withColumn("__one", F.lit(1))
     rows = metrics.withColumn("__one", F.lit(1)).join(ends, "__one")
+    at = F.col(of)
     # the chord's length is the same for all
-    off = F.abs((F.col("k1") - F.col("k0")) * (F.col("wcss") - F.col("w0")) - (F.col("w1") - F.col("w0")) * (F.col("k") - F.col("k0")))
+    off = F.abs((F.col("k1") - F.col("k0")) * (F.col("wcss") - F.col("w0")) - (F.col("w1") - F.col("w0")) * (at - F.col("k0")))
     scores = {"elbow": off, "by_calinski": F.col("calinski_harabasz"), "by_davies": -F.col("davies_bouldin")}
     if "silhouette" in metrics.columns:
         scores["by_silhouette"] = F.col("silhouette")
-    picked = rows.agg(*[F.max_by("k", F.struct(v, -F.col("k"))).alias(n) for n, v in scores.items()])
+    picked = rows.agg(*[F.max_by(of, F.when(v.isNotNull(), F.struct(v, -at))).alias(n) for n, v in scores.items()])
     names = list(scores)
     votes = F.array(*names)
     count = lambda c: F.size(F.filter(votes, lambda v: v == F.col(c)))
@@ -124,6 +156,19 @@ def choose_k(metrics: DataFrame) -> DataFrame:
     return picked.withColumn("k", F.coalesce(*[F.when(count(c) == best, F.col(c)) for c in names]))
 
 
+def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42) -> DataFrame:
+    """(of, n, k, wcss, calinski_harabasz, davies_bouldin, silhouette) of a fit for each number of clusters `of`, over rows
+    with `scaled`; k is how many have rows. All fits are scored in one pass each of quality and silhouette."""
+    labelled = None
+    for k in ks:
+        model = fit_kmeans(df, k, seed)
+        names = [f"s{i}" for i in range(len(model.clusterCenters()[0]))]
+        vector = vector_to_array("scaled")
+        part = model.transform(df).select(*(F.get(vector, F.lit(i)).alias(c) for i, c in enumerate(names)), "cluster", F.lit(k).alias("of"))
+        labelled = part if labelled is None else labelled.unionByName(part)
+    return cluster_quality(labelled, names, ["of"]).join(silhouettes(labelled, names, ["of"]), "of")
+
+
 def target_separation(labelled: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """Deviation of the clusters' mean targets; 0 of one cluster."""
     means = labelled.groupBy(*by, "cluster").agg(F.avg(target).alias("__m"))
@@ -137,18 +182,6 @@ def composite_score(metrics: DataFrame, weights: tuple[float, float, float, floa
     return metrics.withColumn("composite", parts)
 
 
-def cluster_stability(df: DataFrame, fit: Callable[[DataFrame, int], Model], rounds: int = 5, seed: int = 42) -> DataFrame:
-    """(round, agreement): the share of rows whose label by a model fitted to a resample is the one that most of their
-    first cluster have. A resample draws rows with replacement by seed; each round runs over the whole frame."""
-    first, out = fit(df, seed).transform(df).select("scaled", F.col("cluster").alias("first")), None
-    for i in range(rounds):
-        model = fit(df.sample(True, 1.0, seed + i + 1), seed)
-        table = model.transform(first).groupBy("first", "cluster").agg(F.count("*").alias("n"))
-        kept = table.groupBy("first").agg(F.max("n").alias("most"), F.sum("n").alias("all")).agg(F.lit(i).alias("round"), (F.sum("most") / F.sum("all")).alias("agreement"))
-        out = kept if out is None else out.unionByName(kept)
-    return out
-
-
 def cluster_profiles(labelled: DataFrame, features: Sequence[str]) -> DataFrame:
     """(cluster, feature, n, mean, std, overall, log_ratio, cv, place): a row a cluster and feature with the log of its
     mean against that of all, its place in the cluster by that, and the variation of the feature's mean over clusters."""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe import catalog_flow, catalog_models, catalog_samples, catalog_tables
-from tradeframe.operators import bars, signals, studies, trades, unit_root, windows
+from tradeframe import catalog_flow, catalog_models, catalog_samples, catalog_serial, catalog_tables
+from tradeframe.operators import bars, serial, signals, studies, trades, unit_root, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
 
@@ -242,7 +242,7 @@ by_bars("price_impact", signals.price_impact, f"""{SHAPE}, n AS (SELECT *, lead(
 SELECT symbol, {r("corr(volume, abs(r))", "return_corr")}, {r("corr(volume, next_size)", "next_return_corr")}, {r("corr(volume, next_spread)", "next_spread_corr")} FROM n GROUP BY symbol""")
 by_bars("volume_quartiles", signals.volume_quartiles, f"""{SHAPE}, c AS (SELECT symbol, quantile_cont(volume, 0.25) AS a, quantile_cont(volume, 0.5) AS b, quantile_cont(volume, 0.75) AS d FROM s GROUP BY symbol)
 SELECT symbol, 1 + CAST(volume > a AS INTEGER) + CAST(volume > b AS INTEGER) + CAST(volume > d AS INTEGER) AS quartile, count(*) AS n, {r("avg(abs(r))", "mean_abs_return")}, {r("avg(pct)", "mean_spread_pct")} FROM s JOIN c USING (symbol) GROUP BY ALL""")
-by_bars("volume_entries", signals.volume_entries, f""", q AS (SELECT symbol, us, close, volume, CASE WHEN count(close) OVER a >= 20 THEN avg(close) OVER a END AS ma, CASE WHEN count(close) OVER a >= 20 THEN stddev_samp(close) OVER a END AS sd, list(volume) OVER b AS past, lead(close, 5) OVER (PARTITION BY symbol ORDER BY us) AS later
+by_bars("volume_entries", serial.volume_entries, f""", q AS (SELECT symbol, us, close, volume, CASE WHEN count(close) OVER a >= 20 THEN avg(close) OVER a END AS ma, CASE WHEN count(close) OVER a >= 20 THEN stddev_samp(close) OVER a END AS sd, list(volume) OVER b AS past, lead(close, 5) OVER (PARTITION BY symbol ORDER BY us) AS later
   FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY us ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
 , z AS (SELECT *, (close - ma) / nullif(sd, 0) AS zscore, CASE WHEN len(past) = 100 THEN len(list_filter(past, lambda v: v < volume)) + (len(list_filter(past, lambda v: v = volume)) + 1) / 2e0 END AS volume_rank FROM q)
 , g AS (SELECT *, CASE WHEN volume_rank >= 80 AND zscore <= -2 THEN 1 WHEN volume_rank >= 80 AND zscore >= 2 THEN -1 ELSE 0 END AS signal FROM z)
@@ -298,5 +298,5 @@ by_scored("score_correlations", lambda s: signals.corr_screen(s, FEATURES, TARGE
 catalog_tables.register(add, r)
 catalog_flow.register(add, r, by_bars)
 catalog_models.register(add, r, by_scored, QUERIES)
-for name, (query, sql) in catalog_samples.ALL.items():
+for name, (query, sql) in (catalog_samples.ALL | catalog_serial.ALL).items():
     add(name, query, sql)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 
 def bars_of(events: DataFrame, seconds: int = 3600) -> DataFrame:
@@ -35,9 +35,9 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("r", F.try_divide(F.col("close") - before, before))
 
 
-def rolling(fn: Column, column: str, width: int, least: int) -> Column:
+def rolling(fn: Column, column: str, width: int, least: int, over: WindowSpec | None = None) -> Column:
     """An aggregate of the last `width` rows; null where fewer than `least` have a value."""
-    frame = series().rowsBetween(1 - width, 0)
+    frame = (over or series()).rowsBetween(1 - width, 0)
     return F.when(F.count(column).over(frame) >= least, fn.over(frame))
 
 

@@ -72,24 +72,6 @@ def volume_quartiles(bars: DataFrame) -> DataFrame:
     return rows.join(cuts, "symbol").groupBy("symbol", quartile.alias("quartile")).agg(F.count("*").alias("n"), F.avg(F.abs("r")).alias("mean_abs_return"), F.avg("hl_spread_pct").alias("mean_spread_pct"))
 
 
-def volume_entries(bars: DataFrame, lookback: int = 20, entry: float = 2.0, percentile: float = 80.0, hold: int = 5) -> DataFrame:
-    """Entries against a move on high volume: 1 where the close is `entry` deviations under its mean, -1 over it, and the
-    volume ranks at `percentile` or more among the last 5 * `lookback` bars; with the return after `hold` bars."""
-    width = 5 * lookback
-    frame = series().rowsBetween(1 - width, 0)
-    rows = bars.withColumns({
-        "ma": rolling(F.avg("close"), "close", lookback, lookback), "sd": rolling(F.stddev_samp("close"), "close", lookback, lookback),
-        "past": F.collect_list("volume").over(frame), "later": F.lead("close", hold).over(series()),
-    })
-    # ties at their mean rank
-    below, equal = F.size(F.filter("past", lambda v: v < F.col("volume"))), F.size(F.filter("past", lambda v: v == F.col("volume")))
-    rank = F.when(F.size("past") == width, (below + (equal + 1) / 2) * 100.0 / width)
-    rows = rows.withColumns({"zscore": F.try_divide(F.col("close") - F.col("ma"), F.col("sd")), "volume_rank": rank})
-    busy = F.col("volume_rank") >= percentile
-    signal = F.when(busy & (F.col("zscore") <= -entry), 1).when(busy & (F.col("zscore") >= entry), -1).otherwise(0)
-    return rows.select("symbol", "us", "zscore", "volume_rank", signal.alias("signal"), (signal * (F.try_divide(F.col("later"), F.col("close")) - 1)).alias("signal_return"))
-
-
 def daily_strategies(bars: DataFrame, gap: float = 0.01) -> DataFrame:
     """Returns of daily rules: open to close, close to the next open, from the first hours' end where they fell, with the
     gap where it is wide, open to close where the first hours' volume is over its mean of 20 days, and from the first

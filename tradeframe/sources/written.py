@@ -29,11 +29,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """Write rows as Parquet. Their plan won't run again, so its shuffle files go when it has ended, and not only once the
+    driver has forgotten the plan: a chain of such tables would fill the disks with the files of steps long done."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as Parquet in the shared folder: lineage ends there, and what a plan draws or deals by
     chance stays as it was first drawn."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    write_once(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

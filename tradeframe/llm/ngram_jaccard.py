@@ -9,8 +9,10 @@ have, such as those of common phrases: the rarest of the s + 1 in common is amon
 
 Groups of one bucket are not paired out. Each of its sets is compared with the least of them, the centre, by the exact
 shingles. Sets similar to it are linked. Two sets of the group that are not both linked to the centre can only be
-similar if what tells them from the centre overlaps; they meet on the rarest of those shingles (a prefix of them, as
-long as the overlap asks), unless they already are in one component."""
+similar if they aren't in one component yet and if their sketches, now of a width that suits the set, differ in no more
+bits than similar sets differ in shingles: in a group of at most 64 sets those are looked at side by side. In a larger
+group, which first goes through rounds of new centres, sets meet on the rarest shingles that tell them from the centre (a
+prefix of them, as long as the overlap asks). All that meet are compared by the exact shingles."""
 
 from __future__ import annotations
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tradeframe.llm.components import components
-from tradeframe.llm.shared import Saved, over_batches, release, small_batches
+from tradeframe.llm.shared import Saved, over_batches, small_batches
 from tradeframe.llm.words import BatchWords, mix, shingle_set
 
 
@@ -84,6 +86,47 @@ def pack_set(hashes: np.ndarray) -> bytes:
     return hashes.tobytes()
 
 
+#: Bits of the narrowest parity sketch of a set.
+NARROW = 64
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Of a power of two of bits, as many as the set has hashes at least, each flipped by every hash that falls on it. The
+    bits in which two sketches of one width differ are at most the hashes that one set alone has. Folding the halves of
+    one together gives the sketch of half the width."""
+    width = max(NARROW, 1 << max(len(hashes) - 1, 0).bit_length())
+    at = mix(hashes ^ np.uint64(0x5EED)) & np.uint64(width - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def sketches_within(sizes: np.ndarray, sketches: list[bytes], apart: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i < j) of a few sets, in unlike components `apart`, that by size and sketches may be similar."""
+    num, den = threshold.numerator, threshold.denominator
+    n = sizes.astype(np.int64)
+    i, j = np.triu_indices(len(n), 1)
+    least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    may = (apart[i] != apart[j]) & (den * least >= num * most)
+    i, j = i[may], j[may]
+    far = (den - num) * (n[i] + n[j]) // (den + num)
+    wide = np.array([len(x) for x in sketches])
+    keep = np.zeros(len(i), bool)
+    for width in np.unique(np.minimum(wide[i], wide[j])):
+        rows = np.zeros((len(n), width), np.uint8)
+        for k in np.flatnonzero((wide == width) | (wide == 2 * width)):
+            x = np.frombuffer(sketches[k], np.uint8)
+            rows[k] = x if len(x) == width else x[:width] ^ x[width:]
+        words = rows.view(np.uint64)
+        of = np.flatnonzero(np.minimum(wide[i], wide[j]) == width)
+        for k in range(0, len(of), SIDE_BY_SIDE):
+            part = of[k : k + SIDE_BY_SIDE]
+            keep[part] = np.bitwise_count(words[i[part]] ^ words[j[part]]).sum(1, dtype=np.int64) <= far[part]
+    return i[keep], j[keep]
+
+
+#: Pairs of sketches that are laid side by side at once.
+SIDE_BY_SIDE = 64
+
+
 def _signed_sets(docs: DataFrame, width: int, keys: Bands | None) -> DataFrame:
     """(id, n, sig) of each row; with keys, (sig, key, room) of each set once a batch."""
 
@@ -117,20 +160,21 @@ def _first_pairs(keys: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, first: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sig, n, items) of the wanted signatures: each from the text of its least document. first: (sig, id)."""
+    """(sig, n, items, sketch) of the wanted signatures: each from the text of its least document. first: (sig, id)."""
     texts = docs.join(first.join(wanted, "sig"), "id").select("sig", "text")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = BatchWords(batch.column(1))
         found = [(sig, x) for i, sig in enumerate(batch.column(0).to_pylist()) if signature(x := shingle_set(words.of(i), width)) == sig]
         # rows of that id with another text are left out
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([pack_set(x) for _, x in found], pa.binary())], ["sig", "n", "items"])
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([pack_set(x) for _, x in found], pa.binary()), pa.array([parity_sketch(x) for _, x in found], pa.binary())], ["sig", "n", "items", "sketch"])
 
-    return over_batches(texts, sets, "sig bigint, n bigint, items binary").dropDuplicates(["sig"])
+    return over_batches(texts, sets, "sig bigint, n bigint, items binary, sketch binary").dropDuplicates(["sig"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b, n_a, n_b, linked, apart) for pairs (a, b): apart holds the hashes that are in one set alone."""
+def _compare(pairs: DataFrame, sets: DataFrame, threshold: Fraction, keep: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, linked, far, apart) for pairs (a, b): far counts the hashes that are in one set alone, and apart, null
+    unless kept, holds them."""
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("items").alias("items_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "items_a", "items_b", "b", "n_a", "n_b")
@@ -138,15 +182,16 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            linked, apart = [], []
+            linked, far, apart = [], [], []
             for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5)), strict=True):
                 differ = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
                 both = (n + m - len(differ)) // 2
                 linked.append(den * both >= num * (n + m - both))
-                apart.append(pack_set(differ))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), batch.column(5), pa.array(linked), pa.array(apart, pa.binary())], ["a", "b", "n_a", "n_b", "linked", "apart"])
+                far.append(len(differ))
+                apart.append(pack_set(differ) if keep else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), batch.column(5), pa.array(linked), pa.array(far, pa.int64()), pa.array(apart, pa.binary())], ["a", "b", "n_a", "n_b", "linked", "far", "apart"])
 
-    return joined.mapInArrow(compare, "a bigint, b bigint, n_a bigint, n_b bigint, linked boolean, apart binary")
+    return joined.mapInArrow(compare, "a bigint, b bigint, n_a bigint, n_b bigint, linked boolean, far bigint, apart binary")
 
 
 def _apart_items(rows: DataFrame) -> DataFrame:
@@ -161,10 +206,11 @@ def _apart_items(rows: DataFrame) -> DataFrame:
     return over_batches(rows.select("pair", "apart", "b"), run, "item bigint, pair bigint")
 
 
-#: Sets of a group that are paired by what they share; a larger group first goes through rounds of new centres.
+#: Sets of a group that are laid side by side; a larger group goes through rounds of new centres, and what they leave open is
+#: paired by what the sets share.
 PAIRED = 64
 
-#: Rounds of new centres at most. What they leave open is paired all the same: they save work, not links.
+#: Rounds of new centres at most. They save work, not links.
 ROUNDS = 4
 
 
@@ -172,7 +218,7 @@ def _named(compared: DataFrame, labels: DataFrame) -> Saved:
     """(b, a, component, far): the sets of each group, and in how many shingles each differs from the centre; written, for it
     is read many times."""
     label = labels.select(F.col("node").alias("a"), "component")
-    rows = compared.select("b", "a", F.length("apart").alias("far"))
+    rows = compared.select("b", "a", "far")
     return Saved(rows.join(label, "a", "left").withColumn("component", F.coalesce("component", "a")), "named")
 
 
@@ -194,10 +240,30 @@ def _new_centres(named: DataFrame, settled: bool) -> DataFrame:
     return pairs.select("a", F.col("centre.a").alias("b")).distinct()
 
 
+def _side_by_side(named: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of the small groups' sets that may be similar and aren't in one component yet. A group is one row, of at most
+    PAIRED sets with their sketches."""
+    rows = named.join(sets.select(F.col("sig").alias("a"), "n", "sketch"), "a")
+    groups = rows.groupBy("b").agg(F.collect_list(F.struct("a", "n", "component", "sketch")).alias("sets"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            left, right = [], []
+            for sets_of in batch.column(1):
+                one = sets_of.values
+                a, n, component = (one.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                i, j = sketches_within(n, one.field(3).to_pylist(), component, threshold)
+                left.append(a[i])
+                right.append(a[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], ["a", "b"])
+
+    return groups.mapInArrow(pairs, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _members(compared: DataFrame, named: DataFrame) -> DataFrame:
-    """(b, a, n, component, size, alone, items) of the sets of open groups: items are what tells a set from the centre and
-    other sets of the group have too, (df, item), rarest first; `alone` more are its own."""
-    some = named.join(_open_groups(named), "b").select("b", "a", "component")
+    """(b, a, n, component, size, alone, items) of the sets of groups, compared with what is apart kept: items are what tells
+    a set from the centre and other sets of the group have too, (df, item), rarest first; `alone` more are its own."""
+    some = named.select("b", "a", "component")
     size = (F.length("apart") / 8).cast("int")
     members = compared.join(some, ["b", "a"]).select(F.xxhash64("a", "b").alias("pair"), "b", "a", F.col("n_a").alias("n"), "component", size.alias("size"), "apart")
     items = _apart_items(members)
@@ -237,9 +303,14 @@ def _closed(compared: DataFrame, sets: DataFrame, links: Saved, labels: Saved, t
             break
         links, labels = _joined(links, new, labels)
     named = _named(compared, labels.df)
-    more = Saved(_second_pairs(_members(compared, named.df), threshold), "second")
-    named.drop()
-    release(more.spark)
+    sizes = named.df.join(_open_groups(named.df), "b").groupBy("b").agg(F.count("*").alias("many"))
+    small, large = (Saved(named.df.join(sizes.where(on).select("b"), "b"), "open") for on in (F.col("many") <= PAIRED, F.col("many") > PAIRED))
+    more = _side_by_side(small.df, sets, threshold)
+    if not large.df.isEmpty():
+        more = more.union(_second_pairs(_members(_compare(large.df.select("a", "b"), sets, threshold, keep=True), large.df), threshold)).distinct()
+    more = Saved(more, "second")
+    for x in (named, small, large):
+        x.drop()
     if not more.df.isEmpty():
         links, labels = _joined(links, Saved(_compare(more.df, sets, threshold).where("linked").select("a", "b"), "star"), labels)
     for x in (more, links):
@@ -252,7 +323,6 @@ def _joined(links: Saved, new: Saved, labels: Saved) -> tuple[Saved, Saved]:
     both = Saved(links.df.union(new.df), "links")
     for x in (links, new, labels):
         x.drop()
-    release(both.spark)
     return both, components(both.df)
 
 
@@ -266,18 +336,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fr
     by their sets. Other columns are not read. An empty table gives no rows. Ids are integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bands = Bands(threshold)
-    release(docs.sparkSession)
     signed = Saved(_signed_sets(rows, width, None), "signed")
     known = rows.where(F.col("id").isNotNull())
     # by sums over parts: of a text that a third of all rows have, each task sends one row on
     first = Saved(signed.df.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("id")), "first")
     keys = _signed_sets(known, width, bands)
     pairs = Saved(_first_pairs(keys), "pairs")
-    release(docs.sparkSession)
     wanted = pairs.df.select(F.col("a").alias("sig")).union(pairs.df.select(F.col("b").alias("sig"))).distinct()
     sets = Saved(_sets_of(known, first.df, wanted, width), "sets")
-    compared = Saved(_compare(pairs.df, sets.df, threshold), "compared")
-    release(docs.sparkSession)
+    compared = Saved(_compare(pairs.df, sets.df, threshold).drop("apart"), "compared")
     links = Saved(compared.df.where("linked").select("a", "b"), "star")
     labels = _closed(compared.df, sets.df, links, components(links.df), threshold)
     # written tables on both sides of the joins: Spark then splits a component that very many sets are in
@@ -286,7 +353,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fr
     named = Saved(part.df.join(least.df, "part").select("sig", "least"), "named")
     for x in (first, pairs, sets, compared, labels, part, least):
         x.drop()
-    release(docs.sparkSession)
     # a set of no shingles is in no component; a row of null id has none
     out = signed.df.join(named.df, "sig", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))).alias("component_id"))

@@ -1,30 +1,13 @@
-"""What the operators of this subpackage share: the folder that all machines see, tables written to it, and batches of bounded size."""
+"""What the operators of this subpackage share: tables written to the folder that all machines see, and batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set, a new local one, which only a local session can use."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
-        named = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tradeframe.sources.written import remove, scratch, write_once
 
 
 class Saved:
@@ -34,7 +17,7 @@ class Saved:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = scratch(self.spark, name)
-        df.write.parquet(self.path)
+        write_once(df, self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -46,18 +29,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).df
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that have ended: it does so when their plans are collected, which on a
-    driver with memory to spare may be long after a chain of queries has filled the disks."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path with the file system that Spark has for it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: About what a batch that goes to Python may hold; a batch has one row at least.
 BATCH_BYTES = 4 << 20
 

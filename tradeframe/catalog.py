@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe import catalog_flow, catalog_models, catalog_profiles, catalog_samples, catalog_serial, catalog_tables
+from tradeframe import catalog_flow, catalog_models, catalog_profiles, catalog_returns, catalog_samples, catalog_serial, catalog_tables
 from tradeframe.operators import bars, serial, signals, studies, trades, unit_root, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
@@ -306,4 +306,9 @@ def by_pairs(name: str, fn: Callable[[DataFrame], DataFrame], select: str) -> No
     add(name, lambda spark, d: fn(pairs(spark, d)), TRADES_SQL + select)
 
 
-catalog_profiles.register(add, r, by_norm, by_pairs, by_scored, IS_ROUND, window_sql, lambda spark, d: round_all(windows.window_features(pairs(spark, d), windows.SPARSE)))
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(windows.window_features(pairs(spark, sf_dir), windows.SPARSE))
+
+
+catalog_profiles.register(add, r, by_norm, by_pairs, by_scored, IS_ROUND, window_sql, features)
+catalog_returns.register(add, r, by_bars, by_norm, features, window_sql)

@@ -6,12 +6,14 @@ hexadecimal digits. Likeness is the share of equal bins, less what unlike bins a
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tradeframe.llm.shared import Saved
+
 #: Bins, as a power of two, and bits stored of each.
 BIN_BITS, BITS = 7, 8
 BINS = 1 << BIN_BITS
@@ -20,12 +22,6 @@ BINS = 1 << BIN_BITS
 WIDTH = 5
 
 
-def probes() -> list[list[int]]:
-    """For each bin the order in which it asks the others, the same always."""
-    draw = random.Random(20_240_229)
-    return [draw.sample(range(BINS), BINS) for _ in range(BINS)]
-
-
 def _word_hashes(text: Column) -> Column:
     words = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -66,23 +62,32 @@ def _bins(first: Column) -> Column:
 SOON = 6
 
 
-def _dense(bins: Column, order: Column) -> Column:
+def _asked(bin_: Column, nth: Column | int) -> Column:
+    """The bin that an empty one asks as its nth: each empty bin asks all of them in an order of its own. The first number is
+    odd, so that no bin is asked twice."""
+    step = F.shiftright(bin_ * 0x9E3779B1, 7).bitwiseAND(F.lit(BINS - 1)).bitwiseOR(F.lit(1).cast("long"))
+    start = F.shiftright((bin_ + 1) * 0x85EBCA6B, 9)
+    return (start + step * nth).bitwiseAND(F.lit(BINS - 1)).cast("int")
+
+
+def _dense(bins: Column) -> Column:
     """Empty bins filled; an empty document has none to fill from and keeps -1 in all."""
 
     def taken(b: Column) -> Column:
-        asked = [F.get(bins, F.get(F.get(order, b), F.lit(k))) for k in range(SOON)]
-        rest = F.get(F.filter(F.transform(F.get(order, b), lambda j: F.get(bins, j)), lambda v: v.isNotNull()), F.lit(0))
-        return F.coalesce(*asked, rest, F.lit(-1))
+        b = b.cast("long")
+        asked = [F.get(bins, _asked(b, F.lit(k))) for k in range(SOON)]
+        every = F.transform(F.sequence(F.lit(SOON), F.lit(BINS - 1)), lambda k: F.get(bins, _asked(b, k)))
+        return F.coalesce(*asked, F.get(F.filter(every, lambda v: v.isNotNull()), F.lit(0)), F.lit(-1))
 
     return F.transform(bins, lambda v, b: F.coalesce(v, taken(b)))
 
 
-def add_fingerprint(df: DataFrame, text: str, out: str, order: Column) -> DataFrame:
+def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`: the bins of a text, an array of small numbers. One step a projection, so that none is worked out twice."""
     df = df.withColumn(out, _word_hashes(F.coalesce(F.col(text), F.lit(""))))
     for step in (_minima, _first_of_bins, _bins):
         df = df.withColumn(out, step(F.col(out)))
-    return df.withColumn(out, _dense(F.col(out), order))
+    return df.withColumn(out, _dense(F.col(out)))
 
 
 def packed(bins: Column) -> Column:
@@ -100,30 +105,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(blank, (F.get(a, F.lit(0)) == F.get(b, F.lit(0))).cast("double")).otherwise(F.greatest(corrected, F.lit(0.0)))
 
 
-#: Rows of a stretch, about, and stretches at most: their first ids are sent to all machines.
-STRETCH, STRETCHES = 512, 1 << 20
-
-
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Add next_<column> to rows (key, text, ...): that of the row with the next key, after the last that of the first.
-    Keys aren't null; rows of equal key follow one another in the order of their texts.
+def with_next(rows: DataFrame, order: list[str], columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Add next_<column> to rows: that of the row that follows in ascending order, nulls first, after the last that of the
+    first. Rows that are alike in the order follow one another in any way; prepare adds columns once rows are dealt.
 
-    Rows are dealt by stretches of keys. The first row of each stretch is sent to the stretch before it as well, behind
-    its own rows, so that each row finds its next beside it."""
-    low, high, n = rows.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // min(STRETCHES, max(1, n // STRETCH))))
-    dealt = rows.withColumn("stretch", F.floor((F.col("key") - low) / width))
-    heads = dealt.groupBy("stretch").agg(F.min("key").alias("head"))
+    Rows are dealt by ranges of the order and a number of their own, so ranges are even whatever the values. The first row
+    of each range is sent to the range before it as well, behind its own rows, so that each row finds its next beside it."""
+    dealt = rows.withColumn("__own", F.monotonically_increasing_id())
+    dealt = Saved(dealt.repartitionByRange(*order, "__own").withColumn("range", F.spark_partition_id()), "ranges").df
+    heads = dealt.groupBy("range").agg(F.min(F.struct(*order, "__own")).alias("head"))
     everything = Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.lag("stretch").over(everything.orderBy("stretch")), F.max("stretch").over(everything))
-    heads = heads.select("head", before.alias("before"))
-    sent = dealt.join(F.broadcast(heads), F.col("key") == F.col("head"), "left")
-    place = lambda stretch, ghost: F.struct(F.col(stretch).alias("stretch"), F.lit(ghost).alias("ghost"))
-    places = F.when(F.col("before").isNull(), F.array(place("stretch", False))).otherwise(F.array(place("stretch", False), place("before", True)))
-    sent = sent.withColumn("place", F.explode(places)).drop("stretch", "head", "before").select("*", "place.*").drop("place")
-    order = Window.partitionBy("stretch").orderBy("ghost", "key", "text")
-    return sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("ghost")).drop("stretch", "ghost")
+    # a row a range: ranges without rows are passed over, and the first comes behind the last
+    before = F.coalesce(F.lag("range").over(everything.orderBy("range")), F.max("range").over(everything))
+    heads = heads.select(F.col("head.__own").alias("__own"), before.alias("range"))
+    ghosts = dealt.drop("range").join(heads, "__own")
+    whole = prepare(dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True))))
+    near = Window.partitionBy("range").orderBy("ghost", *order, "__own")
+    return whole.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns}).where(~F.col("ghost")).drop("range", "ghost", "__own")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,17 +133,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fewer than five are one shingle. A null text is empty; rows of null id come first; rows of equal id follow in the
     order of their texts; one row is its own next; other columns are not read; an empty table gives no rows. Ids are
     integers."""
-    order = F.array(*[F.array(*[F.lit(b) for b in row]) for row in probes()])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low = rows.agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
-    rows = rows.withColumn("key", F.coalesce("id", F.lit(low - 1)))
-    rows = with_next(add_fingerprint(rows, "text", "own", order), ["text", "own"])
+    rows = with_next(rows, ["id", "text"], ["text", "own"], lambda rows: add_fingerprint(rows, "text", "own"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    rows = add_fingerprint(rows, "edited", "changed", order)
+    rows = add_fingerprint(rows, "edited", "changed")
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",

@@ -93,3 +93,22 @@ def test_quantiles_equal_numpy(spark):
 def test_strong_regimes(spark):
     auc = spark.createDataFrame([("a", 80, 40, 0.6), ("b", 80, 40, 0.54), ("c", 50, 50, 0.9), ("d", 200, 0, None)], "k string, positives long, negatives long, auc double")
     assert [r.k for r in clusters.strong_regimes(auc).collect()] == ["a"]
+
+
+def test_models_of_regimes_against_one_for_all(spark):
+    """In one regime a high x is a yes, in the other a low one: one model for all can't tell."""
+    df = spark.range(2000).select("id", F.rand(3).alias("x"), (F.col("id") % 2).cast("string").alias("regime"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("part"))
+    df = df.withColumn("y", F.when(F.col("regime") == "0", F.col("x") > 0.5).otherwise(F.col("x") <= 0.5).cast("int"))
+    rows, _ = clusters.feature_matrix(df, ["id", "y", "part"])
+    found = {(r.regime, r.model): r for r in models.compare_by_regime(rows, least=100, params={"forest": {"numTrees": 5}}).collect()}
+    assert set(found) == {(k, m) for k in ("0", "1") for m in ("forest", "logistic")}
+    for key in ("0", "1"):
+        assert found[key, "logistic"].auc > 0.99 and found[key, "forest"].gain > 0.3 and found[key, "forest"].baseline_auc < 0.6
+        assert sum(found[key, m].is_best for m in ("forest", "logistic")) == 1 and found[key, "forest"].n == 200
+    assert models.compare_by_regime(rows, least=5000).count() == 0
+
+
+def test_importance_by_category():
+    ranked = [("volume_30s", 0.4), ("traders_30s", 0.3), ("volume_60s", 0.2), ("odd", 0.1)]
+    got = models.category_importance(ranked, {"volume": ["volume"], "trader": ["trader", "volume"]})
+    assert [(c, n) for c, n, *_ in got] == [("volume", 2), ("trader", 1), ("other", 1)] and got[0][2:] == (pytest.approx(0.6), pytest.approx(0.3))

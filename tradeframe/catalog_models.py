@@ -119,5 +119,14 @@ SELECT tp, fp, fn, tn, {r("auc", "auc")}, {r("ap", "average_precision")}, {r("(t
 
     queries["kmeans_traders"], queries["forest_scores"] = kmeans, forest
     queries["trader_k_sweep"] = lambda spark, d: clusters.kmeans_sweep(scaled(spark, d), range(2, 11))
+    by_scored("metrics_by_coin", lambda s: models.metrics_by(s, ["coin_id"]), f""", k AS (SELECT *, rank() OVER (PARTITION BY coin_id ORDER BY score) + (count(*) OVER (PARTITION BY coin_id, score) - 1) / 2e0 AS place FROM scored)
+, m AS (SELECT coin_id, count(*) AS n, sum(y) AS p, sum(1 - y) AS q, sum(CASE WHEN y = 1 THEN place ELSE 0e0 END) AS s, count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score >= 0.5 AND y = 0) AS fp, count(*) FILTER (score < 0.5 AND y = 1) AS fn, count(*) FILTER (score < 0.5 AND y = 0) AS tn FROM k GROUP BY coin_id)
+SELECT coin_id, n, {r("(s - p * (p + 1) / 2e0) / nullif(p * q, 0)", "auc")}, {r("(tp + tn) * 1e0 / n", "accuracy")}, {r("2e0 * tp / nullif(2 * tp + fp + fn, 0)", "f1")} FROM m""")
+
+    def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, _ = clusters.feature_matrix(points(spark, sf_dir).withColumn("regime", (F.col("x1") > 4.2).cast("string")), ["swapper", "y"])
+        return models.compare_by_regime(models.split_by_coin(rows, "swapper"), least=20, params={"forest": {"numTrees": 10}})
+
+    queries["models_by_regime"] = regimes
     queries["hierarchical_traders"] = lambda spark, d: hierarchy.hierarchical_labels(scaled(spark, d), 4, cells=256).select("swapper", "cluster")
     queries["trader_cluster_stability"] = lambda spark, d: hierarchy.cluster_stability(scaled(spark, d), lambda df, seed: clusters.fit_kmeans(df, 4, seed), 3)

@@ -111,8 +111,16 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
         f"SELECT event_type AS token, event_id AS ts, {r('value', 'price')} FROM events WHERE event_id % 9 <> 0")
     add("best_pair", lambda s, d: files.best_pair(pairs_json(s, d)),
         "SELECT CAST(l_suppkey AS VARCHAR) AS mint_address, CAST(max(l_partkey) AS DOUBLE) AS liquidity, CAST(arg_max(l_orderkey, (l_partkey, l_orderkey)) AS DOUBLE) AS fdv FROM lineitem WHERE l_linenumber % 4 <> 0 GROUP BY l_suppkey")
-    # samples by hash have no SQL twin; their sizes have
-    add("cap_per_key", lambda s, d: tables.cap_per_key(events(s, d), "user_id", 3, ["event_id"]).groupBy("user_id").agg(F.count("*").alias("n")), "SELECT user_id, least(count(*), 3) AS n FROM events GROUP BY user_id")
-    add("stratified_sample", lambda s, d: tables.stratified_sample(events(s, d), "value", 5, 40, ["event_id"]).groupBy("stratum").agg(F.count("*").alias("n")),
-        f"WITH q AS (SELECT {', '.join(f'{Q.format(i / 5)} AS q{i}' for i in range(1, 5))} FROM events) SELECT CAST({' + '.join(f'(value > q{i})::INTEGER' for i in range(1, 5))} AS INTEGER) AS stratum, least(count(*), 40) AS n FROM events, q GROUP BY ALL")
-    add("sample_rows", lambda s, d: tables.sample_rows(events(s, d), 100, ["event_id"]).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids")), "SELECT least(count(*), 100) AS n, least(count(*), 100) AS ids FROM events")
+    DRAWN = "md5('42|' || event_id)"
+    add("cap_per_key", lambda s, d: tables.cap_per_key(events(s, d), "user_id", 3, ["event_id"]).select("user_id", "event_id"), f"SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {DRAWN}, event_id) <= 3")
+    add("stratified_sample", lambda s, d: tables.stratified_sample(events(s, d), "value", 5, 40, ["event_id"]).select("stratum", "event_id"),
+        f"""WITH q AS (SELECT {', '.join(f'{Q.format(i / 5)} AS q{i}' for i in range(1, 5))} FROM events), b AS (SELECT event_id, CAST({' + '.join(f'(value > q{i})::INTEGER' for i in range(1, 5))} AS INTEGER) AS stratum FROM events, q)
+SELECT stratum, event_id FROM b QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {DRAWN}, event_id) <= 40""")
+    add("sample_rows", lambda s, d: tables.sample_rows(events(s, d), 100, ["event_id"]).select("event_id"), f"SELECT event_id FROM events ORDER BY {DRAWN}, event_id LIMIT 100")
+    add("sample_share", lambda s, d: tables.sample_share(events(s, d), 0.1, ["event_id"]).select("event_id"), f"SELECT event_id FROM events WHERE CAST('0x' || substr({DRAWN}, 1, 8) AS BIGINT) < {int(0.1 * (1 << 32))}")
+    inspected = ["event_type", "user_id"]
+    plain = lambda c: f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS known, CAST(min({c}) AS VARCHAR) AS first, CAST(max({c}) AS VARCHAR) AS last, NULL::BIGINT AS days, count(DISTINCT {c}) AS distinct_values FROM events"""
+    add("table_ranges", lambda s, d: tables.table_ranges(events(s, d), ["ts"], inspected),
+        """SELECT 'ts' AS "column", count(*) AS rows, count(ts) AS known, strftime(min(ts), '%Y-%m-%d') AS first, strftime(max(ts), '%Y-%m-%d') AS last, count(DISTINCT CAST(ts AS DATE)) AS days, count(DISTINCT ts) AS distinct_values FROM events UNION ALL """ + " UNION ALL ".join(map(plain, inspected)))
+    add("human_numbers", lambda s, d: events(s, d).select("event_id", tables.human_number(F.round(F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 9), 0)).alias("text")),
+        """SELECT event_id, CASE WHEN abs(v) >= 1e9 THEN printf('%,.1f', v / 1e9) || 'B' WHEN abs(v) >= 1e6 THEN printf('%,.1f', v / 1e6) || 'M' WHEN abs(v) >= 1e3 THEN printf('%,.1f', v / 1e3) || 'K' ELSE printf('%,.1f', v) END AS text FROM (SELECT event_id, round(value * 10 ** (event_id % 9), 0) AS v FROM events)""")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tradeframe.operators.places import running
+
 KINDS = {"forest": RandomForestClassifier, "logistic": LogisticRegression, "boosted": GBTClassifier}
 
 
@@ -92,6 +94,52 @@ def importance(models: dict[str, Model], names: Sequence[str], top: int = 20) ->
     return sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:top]
 
 
+def category_importance(ranked: Sequence[tuple[str, float]], categories: dict[str, Sequence[str]], other: str = "other") -> list[tuple[str, int, float, float]]:
+    """(category, features, sum, mean) of importances by category, the greatest sum first: a feature is in the first category one of
+    whose words its name holds, or in `other`. A value a feature."""
+    sums: dict[str, list[float]] = {}
+    for name, value in ranked:
+        sums.setdefault(next((c for c, words in categories.items() if any(w in name for w in words)), other), []).append(value)
+    return sorted(((c, len(v), sum(v), sum(v) / len(v)) for c, v in sums.items()), key=lambda x: (-x[2], x[0]))
+
+
+def compare_by_regime(df: DataFrame, kinds: Sequence[str] = ("forest", "logistic"), regime: str = "regime", least: int = 1000, train: Column | None = None, params: dict[str, dict] | None = None) -> DataFrame:
+    """(regime, model, n, auc, accuracy, f1, baseline_auc, gain, is_best): models of each kind fitted to each regime's training
+    rows, judged on its other rows, beside the AUC that a model of the first kind fitted to all regimes' training rows has on
+    the same rows. is_best marks each regime's best AUC, the first named of equals. Regimes with fewer than `least` training
+    rows, or one label, have none.
+
+    A model a regime and kind is a loop of fits; the judging is one aggregation over all of them."""
+    params = params or {}
+    train = F.col("part") == "train" if train is None else train
+    learn, judged = df.where(train), df.where(~train)
+    one = lambda model, rows, name: score(rows, model).select(F.col(regime).alias("regime"), F.lit(name).alias("model"), "y", "score")
+    base = fit_classifier(learn, kinds[0], **params.get(kinds[0], {}))
+    out = one(base, judged, "baseline")
+    for kind in kinds:
+        for key, model in fit_by_regime(learn, kind, regime, least, **params.get(kind, {})).items():
+            out = out.unionByName(one(model, judged.where(F.col(regime) == key), kind))
+    stats = metrics_by(out, ["regime", "model"])
+    baseline = stats.where("model = 'baseline'").select("regime", F.col("auc").alias("baseline_auc"))
+    rows = stats.where("model <> 'baseline'").join(baseline, "regime", "left").withColumn("gain", F.col("auc") - F.col("baseline_auc"))
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("model"))
+    place = F.row_number().over(Window.partitionBy("regime").orderBy(F.col("auc").desc_nulls_last(), order))
+    return rows.select("regime", "model", "n", "auc", "accuracy", "f1", "baseline_auc", "gain", (place == 1).alias("is_best"))
+
+
+def metrics_by(scored: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """(by..., n, auc, accuracy, f1) of score against y: AUC from mean ranks, ties at half, null where a label is missing. Rows are
+    counted by group and score before any are ordered."""
+    by = list(by)
+    counted = scored.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = F.col("score") >= threshold
+    count = lambda on, c: F.sum(F.when(on, F.col(c)).otherwise(0))
+    tp, fp, fn, tn = count(hit, "p"), count(hit, "q"), count(~hit, "p"), count(~hit, "q")
+    rows = counted.withColumn("won", F.col("p") * (below + F.col("q") / 2))
+    return rows.groupBy(*by).agg(F.sum(F.col("p") + F.col("q")).alias("n"), F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"), F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def fit_by_regime(df: DataFrame, kind: str = "forest", regime: str = "regime", least: int = 1000, **params) -> dict:
     """A model for each regime with `least` rows or more and both labels. The regimes and their counts come to the driver."""
     counts = df.groupBy(regime).agg(F.count("*").alias("n"), F.countDistinct("y").alias("labels")).where((F.col("n") >= least) & (F.col("labels") > 1))
@@ -110,12 +158,11 @@ def score_routed(df: DataFrame, models: dict, regime: str = "regime") -> DataFra
 
 def binary_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Confusion counts, accuracy, precision, recall, F1, AUC (ties at half) and average precision. Rows are counted by
-    score before any are ordered."""
+    score before any are ordered, and the order is dealt by ranges."""
     y = F.col("y")
     by_score = scored.groupBy("score").agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("q"))
-    one = Window.partitionBy(F.lit(0))
-    upto = one.orderBy(F.col("score").desc())
-    rows = by_score.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("q").over(upto), "all_p": F.sum("p").over(one), "all_q": F.sum("q").over(one)})
+    rows = running(by_score, [], [-F.col("score")], {"p": "tp", "q": "fp"}, {"p": "all_p", "q": "all_q"})
+    rows = rows.withColumns({"tp": F.col("tp") + F.col("p"), "fp": F.col("fp") + F.col("q")})
     hit = F.col("score") >= threshold
     zero = lambda c: F.coalesce(F.sum(F.when(c[0], F.col(c[1]))), F.lit(0))
     out = rows.agg(

@@ -52,8 +52,11 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     """Interpolated quantiles of a value by group, a column for each name. Equal values are counted before any are
     ordered, and the order is sorted on disk, not held in a map. Null values don't count."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counted = counted.withColumns({"__upto": F.sum("__n").over(group.orderBy(value)), "__all": F.sum("__n").over(group)})
+    if by:
+        group = Window.partitionBy(*by)
+        counted = counted.withColumns({"__upto": F.sum("__n").over(group.orderBy(value)), "__all": F.sum("__n").over(group)})
+    else:  # the whole table's order is no one task's
+        counted = running(counted, [], [value], {"__n": "__upto"}, {"__n": "__all"}).withColumn("__upto", F.col("__upto") + F.col("__n"))
 
     def at(place: Column) -> Column:
         return F.min(F.when(F.col("__upto") > place, F.col(value)))

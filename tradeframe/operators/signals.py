@@ -224,8 +224,7 @@ def pick_threshold(sweep: DataFrame, precision: float = 0.65, rates: tuple[float
 
 def every_nth(df: DataFrame, by: str, order: str, step: int) -> DataFrame:
     """Each step-th row of a group in its order, from the first."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return df.withColumn("__place", place).where(F.col("__place") % step == 0).drop("__place")
+    return places.ranked(df, [by], [order], "__place").where(F.col("__place") % step == 0).drop("__place")
 
 
 def corr_screen(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:

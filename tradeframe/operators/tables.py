@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tradeframe.operators.places import quantiles, ranked, with_cuts
+
 # selections
 
 
@@ -57,28 +59,41 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def drawn(by: list[str], seed: int) -> Column:
+    """A text that orders rows as if by chance, always in the same way: the digest of a seed and columns."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in by)).cast("binary"))
+
+
 def cap_per_key(df: DataFrame, key: str, n: int, by: list[str], seed: int = 42) -> DataFrame:
-    """n rows of each key at most, chosen by a hash of the columns `by`, so always the same ones."""
-    order = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), *by), *by)
+    """n rows of each key at most, chosen by a digest of the columns `by`, so always the same ones. Spark cuts each task's rows to
+    n a key before it deals them."""
+    order = Window.partitionBy(key).orderBy(drawn(by, seed), *by)
     return df.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= n).drop("_nth")
 
 
 def sample_rows(df: DataFrame, n: int, by: list[str], seed: int = 42) -> DataFrame:
-    """n rows, chosen by a hash of the columns `by`."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *by), *by).limit(n)
+    """n rows, chosen by a digest of the columns `by`."""
+    return df.orderBy(drawn(by, seed), *by).limit(n)
+
+
+def sample_share(df: DataFrame, share: float, by: list[str], seed: int = 42) -> DataFrame:
+    """Each row with the chance `share`, by a digest of the columns `by`: the same rows on every run and however the table is dealt."""
+    return df.where(F.conv(F.substring(drawn(by, seed), 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
 
 
 def stratified_sample(df: DataFrame, column: str, strata: int, n: int, by: list[str], seed: int = 42) -> DataFrame:
-    """n rows at most of each of `strata` bands of equal share of a column; bands are cut at its exact percentiles."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / strata) for i in range(1, strata)])).alias("cuts"))
-    banded = df.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("cuts", lambda c: F.col(column) > c)))
-    return cap_per_key(banded.drop("cuts"), "stratum", n, by, seed)
+    """n rows at most of each of `strata` bands of equal share of a column; bands are cut at its exact percentiles. A null is in
+    the first."""
+    names = [f"__cut{i}" for i in range(1, strata)]
+    banded = with_cuts(df, quantiles(df, [], column, {c: (i + 1) / strata for i, c in enumerate(names)}))
+    banded = banded.withColumn("stratum", sum((F.when(F.col(column) > F.col(c), 1).otherwise(0) for c in names), F.lit(0)))
+    return cap_per_key(banded.drop(*names), "stratum", n, by, seed)
 
 
 def label_keys(df: DataFrame, key: str, first: str, prefix: str) -> DataFrame:
     """(key, label): keys numbered from 1 in the order in which they are first seen; ties by key. A row a key is numbered."""
     seen = df.groupBy(key).agg(F.min(first).alias("_first"))
-    return seen.select(key, F.concat(F.lit(prefix), F.row_number().over(Window.orderBy("_first", key)).cast("string")).alias("label"))
+    return ranked(seen, [], ["_first", key], "_place").select(key, F.concat(F.lit(prefix), (F.col("_place") + 1).cast("string")).alias("label"))
 
 
 # joins
@@ -129,9 +144,12 @@ def clean_features(df: DataFrame, zero: list[str], flagged: list[str]) -> DataFr
 
 def _fences(df: DataFrame, columns: list[str], k: float) -> DataFrame:
     """One row: low_<c> and high_<c>, k quartile ranges beyond the quartiles."""
-    of = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns))
-    q = lambda c, i: F.col(c)[i]
-    return of.select(*(x for c in columns for x in ((q(c, 0) - k * (q(c, 1) - q(c, 0))).alias(f"low_{c}"), (q(c, 1) + k * (q(c, 1) - q(c, 0))).alias(f"high_{c}"))))
+    out = None
+    for c in columns:
+        of = quantiles(df, [], c, {f"_a_{c}": 0.25, f"_b_{c}": 0.75})
+        out = of if out is None else with_cuts(out, of)
+    a, b = (lambda c: F.col(f"_a_{c}")), (lambda c: F.col(f"_b_{c}"))
+    return out.select(*(x for c in columns for x in ((a(c) - k * (b(c) - a(c))).alias(f"low_{c}"), (b(c) + k * (b(c) - a(c))).alias(f"high_{c}"))))
 
 
 def clip_iqr(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:
@@ -190,6 +208,22 @@ def profile_table(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     return counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
 
 
+def table_ranges(df: DataFrame, times: list[str], others: list[str]) -> DataFrame:
+    """(column, rows, known, first, last, days, distinct_values): of each column how many rows have a value, the least and the
+    greatest as text (of times their dates), and how many distinct ones; of times also how many days they fall on. Values are
+    grouped before they are counted, so no task holds a column's distinct values."""
+    dated = lambda c: F.date_format(F.to_date(c), "yyyy-MM-dd")
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (dated(c) if c in times else F.lit(None).cast("string")).alias("day")) for c in (*times, *others)))
+    values = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.day", "x.value").agg(F.count("*").alias("n"))
+    days = values.groupBy("column", "day").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.count("value").alias("distinct_values"))
+    # least and greatest by the column's own order, not as text
+    ends = df.agg(*(f(dated(c) if c in times else F.col(c)).cast("string").alias(f"{name}_{c}") for c in (*times, *others) for name, f in (("first", F.min), ("last", F.max))))
+    ends = ends.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"first_{c}").alias("first"), F.col(f"last_{c}").alias("last")) for c in (*times, *others)))).alias("x")).select("x.*")
+    whole = days.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("known").alias("known"), F.count("day").alias("days"), F.sum("distinct_values").alias("distinct_values"))
+    out = whole.join(F.broadcast(ends), "column")
+    return out.select("column", "rows", "known", "first", "last", F.when(F.col("column").isin(times), F.col("days")).alias("days"), "distinct_values")
+
+
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, corr) of each pair of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

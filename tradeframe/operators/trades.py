@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tradeframe.functions.columns import is_round_amount, micros, ratio, size_category
+from tradeframe.operators import places
 
 
 def normalise_trades(trades: DataFrame, base: str = "SOL") -> DataFrame:
@@ -212,8 +213,12 @@ def failed_share(norm: DataFrame) -> DataFrame:
 
 
 def summary_stats(norm: DataFrame) -> DataFrame:
-    size = F.when(F.col("sol_amount") > 0, F.col("sol_amount"))
-    return norm.agg(F.count("*").alias("trades"), F.countDistinct("swapper").alias("traders"), F.countDistinct("mint").alias("coins"), F.percentile(size, F.lit(0.5)).alias("median_size"), F.percentile(size, F.lit(0.95)).alias("p95_size"))
+    """Counts and sizes of the whole table. Distinct traders and coins are grouped first, sizes counted by value."""
+    amount = norm.where("sol_amount > 0")
+    kinds = norm.select(F.explode(F.array(F.struct(F.lit("trader").alias("kind"), F.col("swapper").alias("value")), F.struct(F.lit("coin").alias("kind"), F.col("mint").alias("value")))).alias("x")).where("x.value is not null")
+    seen = kinds.groupBy("x.kind", "x.value").agg(F.count("*").alias("n")).agg(F.count_if(F.col("kind") == "trader").alias("traders"), F.count_if(F.col("kind") == "coin").alias("coins"))
+    counts = places.with_cuts(norm.agg(F.count("*").alias("trades")), seen)
+    return places.with_cuts(counts, places.quantiles(amount, [], "sol_amount", {"median_size": 0.5, "p95_size": 0.95}))
 
 
 def coins_per_trader(norm: DataFrame) -> DataFrame:

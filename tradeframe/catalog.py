@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe import catalog_flow, catalog_models, catalog_profiles, catalog_returns, catalog_samples, catalog_serial, catalog_tables
+from tradeframe import catalog_candles, catalog_flow, catalog_models, catalog_profiles, catalog_returns, catalog_samples, catalog_serial, catalog_tables
 from tradeframe.operators import bars, serial, signals, studies, trades, unit_root, windows
 from tradeframe.sources.tables import TRADES_SQL, table
 from tradeframe.sources.tables import trades as trades_of
@@ -312,3 +312,4 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 catalog_profiles.register(add, r, by_norm, by_pairs, by_scored, IS_ROUND, window_sql, features)
 catalog_returns.register(add, r, by_bars, by_norm, features, window_sql)
+catalog_candles.register(add, r, by_norm, scored, priced, pairs, SCORED_SQL, TRADES_SQL, ORACLE_SQL["token_volume_table"].removeprefix(TRADES_SQL))

@@ -1,10 +1,11 @@
 """A stream of trades gives the rows that the batch operators give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tradeframe import catalog
-from tradeframe.operators import trades
-from tradeframe.streaming.features import stream_actions, stream_forward_label, stream_segments, stream_trades, stream_window_features
+from tradeframe.operators import trades, windows
+from tradeframe.streaming.features import stream_actions, stream_forward_label, stream_segments, stream_trades, stream_window_feature_set, stream_window_features
 from tradeframe.streaming.trades import stream_dedup, stream_first_hours, stream_ohlc
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +101,31 @@ def test_first_hours_of_a_stream_equal_those_of_the_table(spark, tmp_path):
         want = trades.first_n_hours(seen, hours)
         key = lambda df: sorted((r.mint, r.row_index) for r in df.where("mint <> 'end'").collect())
         assert key(got) == key(want) != []
+
+
+def test_feature_set_of_a_stream_equals_that_of_the_table(spark, tmp_path):
+    """A coin whose first trade is at a step's start has the stream's grid."""
+    step = 7200
+    rows = catalog.pairs(spark, SF).withColumn("block_timestamp", F.col("block_timestamp").cast("timestamp"))
+    first = rows.groupBy("mint").agg((F.floor(F.min("us") / (step * 1_000_000)) * step * 1_000_000).alias("f"))
+    opening = rows.dropDuplicates(["mint"]).drop("us", "block_timestamp").join(first, "mint").withColumns({"us": F.col("f"), "block_timestamp": F.timestamp_micros("f"), "swapper": F.lit("opener"), "row_index": F.lit(-1).cast("long")}).drop("f")
+    rows.unionByName(opening).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    end = rows.limit(1).withColumns({"mint": F.lit("end"), "block_timestamp": F.col("block_timestamp") + F.expr("interval 400 days")})
+    end.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    named = windows.SPARSE.windows
+    got = collected(spark, stream_window_feature_set(stream, named, step), tmp_path).where("coin_id <> 'end'")
+    batch = windows.window_features(rows, windows.SPARSE)
+    names = [c for c in batch.columns if c in got.columns]
+    assert len(names) == 2 + 23 * 3
+    near = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    got = {r[:2]: r for r in map(near, got.select(names).collect())}
+    checked = 0
+    for r in map(near, batch.select(names).collect()):
+        if r[:2] in got:  # samples without trades are not on the stream
+            assert got[r[:2]] == pytest.approx(r, abs=2e-6)
+            checked += 1
+        else:
+            assert not any(r[2:])
+    assert checked > 500

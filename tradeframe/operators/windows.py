@@ -6,6 +6,7 @@ samples."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,27 +45,13 @@ def sampling_grid(ranges: DataFrame, cfg: GridConfig) -> DataFrame:
     return rows.withColumn("sample_us", F.col("anchor") + F.col("k") * (cfg.step * SECOND))
 
 
-def window_features(pairs: DataFrame, cfg: GridConfig) -> DataFrame:
-    """(mint, sample_us, total_transactions), for each window volumes, counts, distinct traders and ratios, and what is
-    bought and sold in the forward window; samples without trades have zeros."""
-    ranges = coin_ranges(pairs, cfg)
-    step, widest = cfg.step * SECOND, max(s for _, s in cfg.windows) * SECOND
-    low = F.greatest(F.floor((F.col("us") - cfg.forward * SECOND - F.col("anchor")) / step) + 1, F.lit(0))
-    high = F.least(F.floor((F.col("us") + widest - F.col("anchor")) / step), F.col("k_max"))
-    rows = pairs.join(ranges.select("mint", "anchor", "k_max"), "mint").withColumns({"low": low, "high": high}).where("low <= high")
-    rows = rows.select("mint", "us", "swapper", "is_buy", "is_sell", "sol_amount", "anchor", F.explode(F.sequence("low", "high")).alias("k"))
-    back = F.col("anchor") + F.col("k") * step - F.col("us")
-    rows = rows.withColumn("back", back)
-
-    def within(seconds: int) -> Column:
-        return (F.col("back") > 0) & (F.col("back") <= seconds * SECOND)
-
+def window_parts(named: Sequence[tuple[str, int]]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What is summed over a window's trades, and flags of which a trader's greatest counts, for rows with `back`, the
+    microseconds from trade to sample."""
     amount, buy, sell = F.col("sol_amount"), F.col("is_buy"), F.col("is_sell")
-    ahead = F.col("back") <= 0
-    sums = {"forward_buy": F.sum(F.when(ahead & buy, amount).otherwise(0.0)), "forward_sell": F.sum(F.when(ahead & sell, amount).otherwise(0.0))}
-    flags = {}
-    for name, seconds in cfg.windows:
-        w = within(seconds)
+    sums, flags = {}, {}
+    for name, seconds in named:
+        w = (F.col("back") > 0) & (F.col("back") <= seconds * SECOND)
         for part, side in (("all", F.lit(True)), ("buy", buy), ("sell", sell)):
             sums |= {f"{part}_volume_{name}": F.sum(F.when(w & side, amount).otherwise(0.0)), f"{part}_txns_{name}": F.count_if(w & side)}
             flags[f"{part}_seen_{name}"] = F.max((w & side).cast("int"))
@@ -72,13 +59,13 @@ def window_features(pairs: DataFrame, cfg: GridConfig) -> DataFrame:
         for kind, a, b in (("small", 0, 1), ("medium", 1, 10), ("big", 10, 100), ("whale", 100, None)):
             inside = (amount > 0 if kind == "small" else amount >= a) & (F.lit(True) if b is None else amount < b)
             sums[f"{kind}_{name}"] = F.count_if(w & inside)
-    # by trader first: one row each, so that distinct counts are sums of flags
-    parts = sums | flags
-    by_trader = rows.groupBy("mint", "k", "swapper").agg(*[c.alias(n) for n, c in parts.items()])
-    grouped = by_trader.groupBy("mint", "k").agg(*[F.sum(n).alias(n) for n in parts])
-    full = sampling_grid(ranges, cfg).join(grouped, ["mint", "k"], "left").fillna(0)
-    out = [F.col("mint").alias("coin_id"), "sample_us", "total_transactions"]
-    for name, _ in cfg.windows:
+    return sums, flags
+
+
+def window_columns(named: Sequence[tuple[str, int]]) -> list[Column]:
+    """The 23 features of each window, from the sums of window_parts()."""
+    out = []
+    for name, _ in named:
         v, b, s = (F.col(f"{x}_volume_{name}") for x in ("all", "buy", "sell"))
         n, nb, ns = (F.col(f"{x}_txns_{name}").cast("double") for x in ("all", "buy", "sell"))
         u, ub, us = (F.col(f"{x}_seen_{name}") for x in ("all", "buy", "sell"))
@@ -92,4 +79,29 @@ def window_features(pairs: DataFrame, cfg: GridConfig) -> DataFrame:
             **{f"{kind}_txn_ratio": ratio(F.col(f"{kind}_{name}").cast("double"), n) for kind in ("small", "medium", "big", "whale")},
         }
         out += [c.alias(f"{k}_{name}") for k, c in columns.items()]
-    return full.select(*out, F.col("forward_buy").alias("forward_buy_volume_300s"), F.col("forward_sell").alias("forward_sell_volume_300s"), (F.col("forward_buy") > F.col("forward_sell")).cast("int").alias("is_profitable_300s"))
+    return out
+
+
+def window_features(pairs: DataFrame, cfg: GridConfig) -> DataFrame:
+    """(mint, sample_us, total_transactions), for each window volumes, counts, distinct traders and ratios, and what is
+    bought and sold in the forward window; samples without trades have zeros."""
+    ranges = coin_ranges(pairs, cfg)
+    step, widest = cfg.step * SECOND, max(s for _, s in cfg.windows) * SECOND
+    low = F.greatest(F.floor((F.col("us") - cfg.forward * SECOND - F.col("anchor")) / step) + 1, F.lit(0))
+    high = F.least(F.floor((F.col("us") + widest - F.col("anchor")) / step), F.col("k_max"))
+    rows = pairs.join(ranges.select("mint", "anchor", "k_max"), "mint").withColumns({"low": low, "high": high}).where("low <= high")
+    rows = rows.select("mint", "us", "swapper", "is_buy", "is_sell", "sol_amount", "anchor", F.explode(F.sequence("low", "high")).alias("k"))
+    back = F.col("anchor") + F.col("k") * step - F.col("us")
+    rows = rows.withColumn("back", back)
+
+    amount, buy, sell = F.col("sol_amount"), F.col("is_buy"), F.col("is_sell")
+    ahead = F.col("back") <= 0
+    sums = {"forward_buy": F.sum(F.when(ahead & buy, amount).otherwise(0.0)), "forward_sell": F.sum(F.when(ahead & sell, amount).otherwise(0.0))}
+    more, flags = window_parts(cfg.windows)
+    sums |= more
+    # by trader first: one row each, so that distinct counts are sums of flags
+    parts = sums | flags
+    by_trader = rows.groupBy("mint", "k", "swapper").agg(*[c.alias(n) for n, c in parts.items()])
+    grouped = by_trader.groupBy("mint", "k").agg(*[F.sum(n).alias(n) for n in parts])
+    full = sampling_grid(ranges, cfg).join(grouped, ["mint", "k"], "left").fillna(0)
+    return full.select(F.col("mint").alias("coin_id"), "sample_us", "total_transactions", *window_columns(cfg.windows), F.col("forward_buy").alias("forward_buy_volume_300s"), F.col("forward_sell").alias("forward_sell_volume_300s"), (F.col("forward_buy") > F.col("forward_sell")).cast("int").alias("is_profitable_300s"))

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from tradeframe.functions.columns import ratio
 from tradeframe.operators.clusters import SEGMENTS, score_traders
+from tradeframe.operators.windows import window_columns, window_parts
 
 
 def stream_trades(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
@@ -33,6 +34,23 @@ def stream_window_features(pairs: DataFrame, seconds: Sequence[int] = (30, 60, 1
     return grouped.select("mint", F.col("w.end").alias("sample_ts"), *[c for c in grouped.columns if c not in ("mint", "w")])
 
 
+def stream_window_feature_set(pairs: DataFrame, named: Sequence[tuple[str, int]] = (("30s", 30), ("60s", 60), ("120s", 120)), step: int = 60, late: str = "10 minutes") -> DataFrame:
+    """(coin_id, sample_us, and the 23 features of each look-back window of the batch operator, traders counted exactly): samples
+    every `step` seconds since 1970, of coins that traded in the longest window, out once the watermark has passed them.
+
+    Trades are summed by trader and sample first, and those rows by sample: two aggregations that keep state until the
+    watermark, so a hot coin's trades spread over its traders. `step` divides the longest window, and a trade at a sample's
+    own time is in the windows after it."""
+    widest = max(s for _, s in named)
+    rows = pairs.withWatermark("block_timestamp", late).withColumn("w", F.window("block_timestamp", f"{widest} seconds", f"{step} seconds"))
+    rows = rows.withColumn("back", F.unix_micros(F.col("w.end")) - F.unix_micros("block_timestamp"))
+    sums, flags = window_parts(named)
+    parts = sums | flags
+    by_trader = rows.groupBy("mint", "w", "swapper").agg(*(c.alias(n) for n, c in parts.items()))
+    grouped = by_trader.groupBy("mint", "w").agg(*(F.sum(n).alias(n) for n in parts))
+    return grouped.select(F.col("mint").alias("coin_id"), F.unix_micros(F.col("w.end")).alias("sample_us"), *window_columns(named))
+
+
 def stream_forward_label(pairs: DataFrame, forward: int = 300, step: int = 60, late: str = "10 minutes") -> DataFrame:
     """(mint, sample_ts, forward_buy, forward_sell, label): what is bought and sold from a sample on for `forward` seconds,
     and whether more is bought; out when the watermark has passed the window's end."""

@@ -10,7 +10,7 @@ have, such as those of common phrases: the rarest of the s + 1 in common is amon
 Groups of one bucket are not paired out. Each of its sets is compared with the least of them, the centre, by the exact
 shingles. Sets similar to it are linked. Two sets of the group that are not both linked to the centre can only be
 similar if they aren't in one component yet and if their sketches, now of a width that suits the set, differ in no more
-bits than similar sets differ in shingles: in a group of at most 64 sets those are looked at side by side. In a larger
+bits than similar sets differ in shingles: in a group of at most 512 sets those are looked at side by side. In a larger
 group, which first goes through rounds of new centres, sets meet on the rarest shingles that tell them from the centre (a
 prefix of them, as long as the overlap asks). All that meet are compared by the exact shingles."""
 
@@ -82,6 +82,13 @@ def sketch_keys(hashes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys).view(np.int64), np.concatenate(rooms)
 
 
+#: Bytes of texts or sets that a Python worker takes at once: what it works out of them is some fifty times as much.
+BATCH = 1 << 20
+
+#: The same where a set goes out once a batch, so that larger ones hold more copies.
+KEYS_BATCH = 2 << 20
+
+
 def pack_set(hashes: np.ndarray) -> bytes:
     return hashes.tobytes()
 
@@ -144,8 +151,8 @@ def _signed_sets(docs: DataFrame, width: int, keys: Bands | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(where), pa.array(both[0]), pa.array(both[1], pa.int32())], ["sig", "key", "room"])
 
     if keys is None:
-        return over_batches(docs, sets, "id bigint, n bigint, sig bigint")
-    return over_batches(docs, sets, "sig bigint, key bigint, room int")
+        return over_batches(docs, sets, "id bigint, n bigint, sig bigint", most=BATCH)
+    return over_batches(docs, sets, "sig bigint, key bigint, room int", most=KEYS_BATCH)
 
 
 def _first_pairs(keys: DataFrame) -> DataFrame:
@@ -169,7 +176,7 @@ def _sets_of(docs: DataFrame, first: DataFrame, wanted: DataFrame, width: int) -
         # rows of that id with another text are left out
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([pack_set(x) for _, x in found], pa.binary()), pa.array([parity_sketch(x) for _, x in found], pa.binary())], ["sig", "n", "items", "sketch"])
 
-    return over_batches(texts, sets, "sig bigint, n bigint, items binary, sketch binary").dropDuplicates(["sig"])
+    return over_batches(texts, sets, "sig bigint, n bigint, items binary, sketch binary", most=BATCH).dropDuplicates(["sig"])
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, threshold: Fraction, keep: bool = False) -> DataFrame:
@@ -181,7 +188,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: Fraction, keep: bool
     num, den = threshold.numerator, threshold.denominator
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH):
             linked, far, apart = [], [], []
             for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5)), strict=True):
                 differ = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
@@ -203,12 +210,12 @@ def _apart_items(rows: DataFrame) -> DataFrame:
         flat = np.concatenate(items) if items else np.empty(0, np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(at)], ["item", "pair"])
 
-    return over_batches(rows.select("pair", "apart", "b"), run, "item bigint, pair bigint")
+    return over_batches(rows.select("pair", "apart", "b"), run, "item bigint, pair bigint", most=BATCH)
 
 
-#: Sets of a group that are laid side by side; a larger group goes through rounds of new centres, and what they leave open is
-#: paired by what the sets share.
-PAIRED = 64
+#: Sets of a group that are laid side by side: at most so many sketches, of an eighth of a byte a word, are one row. A larger
+#: group goes through rounds of new centres, and what they leave open is paired by what the sets share.
+PAIRED = 512
 
 #: Rounds of new centres at most. They save work, not links.
 ROUNDS = 4
@@ -247,7 +254,7 @@ def _side_by_side(named: DataFrame, sets: DataFrame, threshold: Fraction) -> Dat
     groups = rows.groupBy("b").agg(F.collect_list(F.struct("a", "n", "component", "sketch")).alias("sets"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH):
             left, right = [], []
             for sets_of in batch.column(1):
                 one = sets_of.values

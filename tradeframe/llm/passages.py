@@ -197,9 +197,12 @@ def _seed_rows(rows: DataFrame, p: Passages) -> DataFrame:
         places = [pa.array(flat(parts, np.int32)) for parts in columns[1:]]
         return pa.RecordBatch.from_arrays([pa.array(flat(columns[0], np.uint64).view(np.int64)), batch.column(0).take(row), *places], ["seed", "id", "pos", "low", "high"])
 
-    return over_batches(rows, run, "seed bigint, id bigint, pos int, low int, high int", most=2 << 20)
+    return over_batches(rows, run, "seed bigint, id bigint, pos int, low int, high int", most=BATCH)
 
 
+#: Bytes of texts or matches that a Python worker takes at once: what it works out of them is some fifty times as much.
+BATCH = 1 << 20
+
 #: What chain() and verify() of repeated_passages return.
 SPANS = "here bigint, there bigint, a bigint, c bigint, low bigint, high bigint, low_there bigint, high_there bigint, chain array<bigint>"
 FOUND = ["id", "first_word", "end_word", "source_id", "source_first", "source_end", "likeness"]
@@ -234,7 +237,7 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     short = max(p.words, p.least - 2 * (p.words + p.window))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2):
+        for batch in small_batches(batches, 2, BATCH):
             ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
             all_matches = np.column_stack([x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten()]).astype(np.int64)
             out = []
@@ -253,7 +256,7 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     both = _with_stretch(rows, ours, "there", "low_there", "high_there", "theirs").select("ours", "theirs", "here", "there", "a", "c", "chain")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 0, 1 << 20):
+        for batch in small_batches(batches, 0, BATCH):
             ours, theirs, out = BatchWords(batch.column(0)), BatchWords(batch.column(1)), []
             for k, (here, there, a, c, chain) in enumerate(zip(*(x.to_pylist() for x in batch.columns[2:]), strict=True)):
                 x, y = max(0, a - p.edge), max(0, c - p.edge)
@@ -297,7 +300,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
     where, spans_at = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, where):
+        for batch in small_batches(batches, where, BATCH):
             text = batch.column(where)
             done = pa.array(cut(text, batch.column(spans_at).to_pylist()), text.type)
             yield pa.RecordBatch.from_arrays([done if i == where else batch.column(i) for i in range(len(names))], names)

@@ -89,6 +89,12 @@ SELECT CAST(of AS INTEGER) AS of, {r("target_separation", "target_separation")},
 , o AS (SELECT feature, sum(s) / sum(n) AS overall, stddev_samp(mean) / nullif(avg(mean), 0) AS cv FROM p GROUP BY feature)
 , z AS (SELECT *, CASE WHEN mean > 0 AND overall > 0 THEN ln(mean / overall) END AS log_ratio FROM p JOIN o USING (feature))
 SELECT cluster, feature, n, {", ".join(r(c, c) for c in ("mean", "std", "overall", "log_ratio", "cv"))}, CAST(row_number() OVER (PARTITION BY cluster ORDER BY abs(log_ratio) DESC NULLS LAST, feature) AS INTEGER) AS place FROM z""")
+    add("centroid_probabilities", lambda spark, d: clusters.centroid_probabilities(points(spark, d).select("swapper", *FEATURES), FEATURES, CENTROIDS, 0.5).select("swapper", "centroid", "distance", "probability", "place"), TRADES_SQL + LABELLED + f""", five AS (SELECT swapper, cluster, d, exp((min(d) OVER w - d) / 0.5) AS e FROM dist WHERE of = {len(CENTROIDS)} WINDOW w AS (PARTITION BY swapper))
+SELECT swapper, CAST(cluster AS INTEGER) AS centroid, {r("d", "distance")}, {r("e / sum(e) OVER (PARTITION BY swapper)", "probability")}, CAST(row_number() OVER (PARTITION BY swapper ORDER BY d, cluster) AS INTEGER) AS place FROM five""")
+    add("distinctive_features", lambda spark, d: clusters.distinctive_features(clusters.cluster_profiles(five(spark, d).withColumns({"x4": F.col("x1") * F.col("y"), "x5": F.exp(F.col("x2"))}), ["x1", "x4", "x5"])), TRADES_SQL + LABELLED + f""", u AS (UNPIVOT (SELECT cluster, x1, x1 * y AS x4, exp(x2) AS x5 FROM lab WHERE of = {len(CENTROIDS)}) ON x1, x4, x5 INTO NAME feature VALUE value)
+, p AS (SELECT cluster, feature, avg(value) AS mean FROM u GROUP BY ALL), o AS (SELECT feature, avg(value) AS overall FROM u GROUP BY feature)
+, z AS (SELECT *, mean / nullif(overall, 0) AS ratio, row_number() OVER (PARTITION BY cluster ORDER BY abs(CASE WHEN mean > 0 AND overall > 0 THEN ln(mean / overall) END) DESC NULLS LAST, feature) AS place FROM p JOIN o USING (feature))
+SELECT cluster, feature, {r("mean", "mean")}, {r("overall", "overall")}, {r("ratio", "ratio")}, CASE WHEN ratio > 1.5 THEN 'HIGH' ELSE 'LOW' END AS description, CAST(place AS INTEGER) AS place FROM z WHERE place <= 10 AND (ratio > 1.5 OR ratio < 0.67)""")
     add("constant_columns", lambda spark, d: clusters.constant_columns(points(spark, d).withColumn("same", F.lit(1)), [*FEATURES, "same"]), TRADES_SQL + POINTS + " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(stddev_pop({c}), 0) = 0 AS constant FROM {t}" for c, t in [*((c, "pts") for c in FEATURES), ("same", "(SELECT 1 AS same FROM pts)")]))
     add("anova_f", lambda spark, d: models.anova_select(points(spark, d), FEATURES), TRADES_SQL + POINTS + f""", u AS (UNPIVOT (SELECT y, x1, x2, x3 FROM pts) ON x1, x2, x3 INTO NAME feature VALUE x)
 , gr AS (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM u GROUP BY feature, y)
@@ -119,6 +125,14 @@ SELECT tp, fp, fn, tn, {r("auc", "auc")}, {r("ap", "average_precision")}, {r("(t
 
     queries["kmeans_traders"], queries["forest_scores"] = kmeans, forest
     queries["trader_k_sweep"] = lambda spark, d: clusters.kmeans_sweep(scaled(spark, d), range(2, 11))
+    third = lambda s: s.withColumn("cluster", F.floor(F.col("score") * 3).cast("int"))
+    by_scored("regime_summary", lambda s: clusters.regime_summary(third(s), "y", ["forward_buy", "forward_sell"], ["forward_sell"], ["forward_buy"]), f""", c AS (SELECT *, CAST(floor(score * 3) AS INTEGER) AS cluster FROM scored)
+, o AS (SELECT avg(y) * 100 AS p, avg((forward_buy + forward_sell) / 2) AS v, avg(forward_sell) AS t, avg(forward_buy) AS w, count(*) AS n FROM c)
+, g AS (SELECT cluster, count(*) AS n, count(*) * 1e0 / any_value(o.n) AS share, avg(y) * 100 AS p, avg((forward_buy + forward_sell) / 2) / any_value(v) AS v, avg(forward_sell) / any_value(t) AS t, avg(forward_buy) / any_value(w) AS w, any_value(o.p) AS overall FROM c, o GROUP BY cluster)
+SELECT cluster, n, {r("share", "share")}, {r("p", "profitable_pct")}, {r("v", "volume_ratio")}, {r("t", "txn_ratio")}, {r("w", "whale_ratio")},
+  CASE WHEN v > 1.5 AND w > 1.5 THEN 'HIGH WHALE ACTIVITY' WHEN v > 1.3 THEN 'HIGH VOLUME TRADING' WHEN v < 0.7 THEN 'LOW ACTIVITY / QUIET' WHEN p > overall + 5 THEN 'HIGH PROFIT POTENTIAL' WHEN p < overall - 5 THEN 'LOW PROFIT / RISKY' ELSE 'MODERATE ACTIVITY' END AS regime_type FROM g""")
+    by_scored("hour_mix", lambda s: clusters.hour_mix(third(s)), f""", c AS (SELECT CAST(floor(score * 3) AS INTEGER) AS cluster, sample_us // 3600000000 % 24 AS hour, count(*) AS n FROM scored GROUP BY ALL), h AS (SELECT *, n * 1e0 / sum(n) OVER (PARTITION BY cluster) AS s FROM c)
+SELECT cluster, hour, n, {r("s", "share")}, s > 0.1 AS is_marked FROM h""")
     by_scored("metrics_by_coin", lambda s: models.metrics_by(s, ["coin_id"]), f""", k AS (SELECT *, rank() OVER (PARTITION BY coin_id ORDER BY score) + (count(*) OVER (PARTITION BY coin_id, score) - 1) / 2e0 AS place FROM scored)
 , m AS (SELECT coin_id, count(*) AS n, sum(y) AS p, sum(1 - y) AS q, sum(CASE WHEN y = 1 THEN place ELSE 0e0 END) AS s, count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score >= 0.5 AND y = 0) AS fp, count(*) FILTER (score < 0.5 AND y = 1) AS fn, count(*) FILTER (score < 0.5 AND y = 0) AS tn FROM k GROUP BY coin_id)
 SELECT coin_id, n, {r("(s - p * (p + 1) / 2e0) / nullif(p * q, 0)", "auc")}, {r("(tp + tn) * 1e0 / n", "accuracy")}, {r("2e0 * tp / nullif(2 * tp + fp + fn, 0)", "f1")} FROM m""")

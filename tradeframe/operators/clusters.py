@@ -209,6 +209,57 @@ def assign_centroids(df: DataFrame, features: Sequence[str], centroids: Sequence
     return rows.withColumn("confidence", top if inverse else top - F.col("__p")[1] / F.col("__sum")).drop("__d", "__p", "__sum")
 
 
+def centroid_probabilities(df: DataFrame, features: Sequence[str], centroids: Sequence[Sequence[float]], temperature: float = 1.0) -> DataFrame:
+    """A row for each row and centroid: the columns of df with centroid, distance, probability (softmax of the distances over the
+    temperature) and place, the nearest first. Centroids are literals: nothing is shuffled."""
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    far = [F.sqrt(sum(((zero(c) - v) * (zero(c) - v) for c, v in zip(features, at)), F.lit(0.0))) for at in centroids]
+    rows = df.withColumn("__d", F.array(*far))
+    least = F.array_min("__d")
+    rows = rows.withColumn("__e", F.transform("__d", lambda d: F.exp((least - d) / temperature)))
+    rows = rows.withColumn("__sum", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
+    each = F.transform("__d", lambda d, i: F.struct(d.alias("distance"), i.alias("centroid"), (F.get("__e", i) / F.col("__sum")).alias("probability")))
+    rows = rows.select(*df.columns, F.posexplode(F.array_sort(each)).alias("place", "x"))
+    return rows.select(*df.columns, "x.centroid", "x.distance", "x.probability", (F.col("place") + 1).alias("place"))
+
+
+def regime_kind(volume: Column, whale: Column, profitable: Column, overall: Column) -> Column:
+    """The first kind that holds, by a regime's activity against all rows' and its share of profitable rows, in points."""
+    kinds = {
+        "HIGH WHALE ACTIVITY": (volume > 1.5) & (whale > 1.5), "HIGH VOLUME TRADING": volume > 1.3, "LOW ACTIVITY / QUIET": volume < 0.7,
+        "HIGH PROFIT POTENTIAL": profitable > overall + 5, "LOW PROFIT / RISKY": profitable < overall - 5,
+    }
+    return F.coalesce(*(F.when(on, F.lit(name)) for name, on in kinds.items()), F.lit("MODERATE ACTIVITY"))
+
+
+def regime_summary(labelled: DataFrame, y: str, volume: Sequence[str], txns: Sequence[str], whale: Sequence[str]) -> DataFrame:
+    """(cluster, n, share, profitable_pct, volume_ratio, txn_ratio, whale_ratio, regime_type): a row a cluster; ratios are the mean of
+    some features' means against that of all rows. One pass; all rows' figures come from the clusters' sums."""
+    groups = {"volume": volume, "txn": txns, "whale": whale}
+    level = lambda names: sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names), F.lit(0.0)) / len(names)
+    rows = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(y).alias("__y"), *(F.sum(level(names)).alias(f"__{g}") for g, names in groups.items()))
+    every = rows.agg(F.sum("n").alias("__n"), F.sum("__y").alias("__all_y"), *(F.sum(f"__{g}").alias(f"__all_{g}") for g in groups)).withColumn("__one", F.lit(1))
+    rows = rows.withColumn("__one", F.lit(1)).join(F.broadcast(every), "__one")
+    ratio_of = lambda g: F.try_divide(F.col(f"__{g}") / F.col("n"), F.col(f"__all_{g}") / F.col("__n"))
+    rows = rows.select("cluster", "n", (F.col("n") / F.col("__n")).alias("share"), (F.col("__y") * 100.0 / F.col("n")).alias("profitable_pct"), *(ratio_of(g).alias(f"{g}_ratio") for g in groups), (F.col("__all_y") * 100.0 / F.col("__n")).alias("__overall"))
+    return rows.withColumn("regime_type", regime_kind(F.col("volume_ratio"), F.col("whale_ratio"), F.col("profitable_pct"), F.col("__overall"))).drop("__overall")
+
+
+def distinctive_features(profiles: DataFrame, most: int = 10) -> DataFrame:
+    """(cluster, feature, mean, overall, ratio, description, place) of the profiles' features farthest from all rows' mean, and of those
+    the ones well over it (HIGH) or under (LOW)."""
+    rows = profiles.where(F.col("place") <= most).withColumn("ratio", F.try_divide(F.col("mean"), F.col("overall")))
+    kind = F.when(F.col("ratio") > 1.5, "HIGH").when(F.col("ratio") < 0.67, "LOW")
+    return rows.withColumn("description", kind).where("description is not null").select("cluster", "feature", "mean", "overall", "ratio", "description", "place")
+
+
+def hour_mix(labelled: DataFrame, us: str = "sample_us") -> DataFrame:
+    """(cluster, hour, n, share, is_marked): a cluster's rows by hour of the day, and whether one has over a tenth of them."""
+    rows = labelled.groupBy("cluster", (F.floor(F.col(us) / 3_600_000_000) % 24).alias("hour")).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("cluster"))
+    return rows.withColumns({"share": share, "is_marked": share > 0.1})
+
+
 def score_traders(profiles: DataFrame, features: Sequence[str], centroids: Sequence[Sequence[float]], names: dict[int, str] = SEGMENTS) -> DataFrame:
     """Traders with their segment, its confidence by inverse distances and its name."""
     rows = assign_centroids(profiles, features, centroids, inverse=True)

@@ -9,6 +9,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -219,10 +220,61 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
         yield headers, stream.read(int(headers.get("Content-Length", ["0"])[0]))
 
 
+def http_header(head: str, name: str) -> str | None:
+    """A header's value, by its name in any case; of several the last."""
+    found = re.findall(rf"(?im)^{re.escape(name)}[ \t]*:[ \t]*(.*?)[ \t]*\r?$", head)
+    return found[-1] if found else None
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body sent in chunks, put together; one that isn't made of chunks up to its end stays as it is from there on."""
+    parts, at = [], 0
+    while m := CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(parts)
+        parts.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 0
+    return b"".join([*parts, body[at:]])
+
+
+#: The line before a chunk.
+CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
+
+
+def unpacked(body: bytes, coding: str) -> bytes:
+    """A body in gzip or deflate, unpacked as far as it goes; other codings, and bodies that aren't in theirs, stay as they are."""
+    for name in reversed([c.strip().lower() for c in coding.split(",")]):
+        if name not in ("gzip", "x-gzip", "deflate"):
+            continue
+        for bits in (31,) if name != "deflate" else (15, -15):
+            worker = zlib.decompressobj(bits)
+            try:
+                body = worker.decompress(body)
+                break
+            except zlib.error:
+                continue
+    return body
+
+
+def payload_text(head: str, body: bytes) -> str:
+    """The text of an HTTP response's body: chunks put together, unpacked, and read in the charset that its header names, UTF-8
+    where there is none or none that is known; bytes that aren't of it are replaced."""
+    if (http_header(head, "Transfer-Encoding") or "").lower().endswith("chunked"):
+        body = unchunked(body)
+    body = unpacked(body, http_header(head, "Content-Encoding") or "")
+    m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", http_header(head, "Content-Type") or "", re.I)
+    try:
+        return body.decode(m[1] if m else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def warc_responses(spark: SparkSession, path: str) -> DataFrame:
     """The response records of WARC files under `path`, as derivative_records takes them, with the ids and digests that they
     have; page is null. A file is read by one task: files of up to 2 GB, of which many make a crawl. A block without an
-    HTTP header is all payload; bytes that aren't UTF-8 are replaced."""
+    HTTP header is all payload; a body is put together, unpacked and read as its header says (payload_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +286,8 @@ def warc_responses(spark: SparkSession, path: str) -> DataFrame:
                     head, mark, body = block.partition(b"\r\n\r\n")
                     if not mark or not head.startswith(b"HTTP/"):
                         head, body = b"", block
-                    row = [None, body.decode("utf-8", "replace"), one("WARC-Target-URI"), one("WARC-Date"), head.decode("utf-8", "replace"), one("WARC-Record-ID"), one("WARC-Payload-Digest")]
+                    lines = head.decode("utf-8", "replace")
+                    row = [None, payload_text(lines, body), one("WARC-Target-URI"), one("WARC-Date"), lines, one("WARC-Record-ID"), one("WARC-Payload-Digest")]
                     kinds = [pa.int64(), *[pa.string()] * 6]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [*SOURCE, *SOURCE_OWN])
 

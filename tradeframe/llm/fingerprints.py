@@ -118,7 +118,8 @@ def with_next(rows: DataFrame, order: list[str], columns: list[str], prepare: Ca
     # a row a range: ranges without rows are passed over, and the first comes behind the last
     before = F.coalesce(F.lag("range").over(everything.orderBy("range")), F.max("range").over(everything))
     heads = heads.select(F.col("head.__own").alias("__own"), before.alias("range"))
-    ghosts = dealt.drop("range").join(heads, "__own")
+    # two numbers a range, of which there are as many as partitions
+    ghosts = dealt.drop("range").join(F.broadcast(heads), "__own")
     whole = prepare(dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True))))
     near = Window.partitionBy("range").orderBy("ghost", *order, "__own")
     return whole.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns}).where(~F.col("ghost")).drop("range", "ghost", "__own")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tradeframe.operators.places import ranked
+from tradeframe.operators.places import ranked, running
 from tradeframe.sources.written import cache_table, files_version, written
 
 
@@ -43,3 +43,16 @@ def test_ranked_numbers_hot_groups_and_ties(spark):
     assert [r.i for r in whole] == list(range(3999, -1, -1))
     assert ranked(df.limit(0), ["g"], ["v"]).count() == 0
     assert written(df, "t").count() == 4000
+
+
+def test_running_sums_and_greatest(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice(["hot"] * 9 + [None, "b"]), i, draw.choice([None, draw.randint(-9, 9)])) for i in range(900)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i int, v long").repartition(5)
+    for most, of in ((False, lambda xs: sum(xs)), (True, lambda xs: max(xs, default=None))):
+        got = running(df, ["g"], ["i"], {"v": "before"}, {"v": "all"}, most=most).collect()
+        assert len(got) == 900
+        for r in got:
+            known = [(i, v) for g, i, v in rows if g == r.g and v is not None]
+            assert r.before == of([v for i, v in known if i < r.i]) and r["all"] == of([v for _, v in known])

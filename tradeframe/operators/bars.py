@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tradeframe.operators.places import in_pieces, running
+
 
 def bars_of(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """Bars of `value` by event type: us is the bar's start."""
@@ -25,19 +27,18 @@ def resample(bars: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def series(*by: str) -> Window:
-    return Window.partitionBy("symbol", *by).orderBy("us")
+def change(before: Column) -> Column:
+    return F.try_divide(F.col("close") - before, before)
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
     """Add r: the close's change against the bar before of the symbol."""
-    before = F.lag("close").over(series())
-    return bars.withColumn("r", F.try_divide(F.col("close") - before, before))
+    return in_pieces(bars, "symbol", "us", lambda rows, w: rows.withColumn("r", change(F.lag("close").over(w))), 1)
 
 
-def rolling(fn: Column, column: str, width: int, least: int, over: WindowSpec | None = None) -> Column:
+def rolling(fn: Column, column: str, width: int, least: int, over: WindowSpec) -> Column:
     """An aggregate of the last `width` rows; null where fewer than `least` have a value."""
-    frame = (over or series()).rowsBetween(1 - width, 0)
+    frame = over.rowsBetween(1 - width, 0)
     return F.when(F.count(column).over(frame) >= least, fn.over(frame))
 
 
@@ -80,15 +81,20 @@ def day_gaps(bars: DataFrame) -> DataFrame:
 
 def volatility(bars: DataFrame, width: int = 20, least: int = 10) -> DataFrame:
     """Rolling spread of returns, and the price's distance to its rolling mean in rolling spreads."""
-    rows = with_returns(bars)
-    rows = rows.withColumn("vol", rolling(F.stddev_samp("r"), "r", width, least))
-    rows = rows.withColumn("ma", rolling(F.avg("close"), "close", width, least)).withColumn("sd", rolling(F.stddev_samp("close"), "close", width, least))
+
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("r", change(F.lag("close").over(w)))
+        of = lambda fn, c: rolling(fn, c, width, least, w)
+        return rows.withColumns({"vol": of(F.stddev_samp("r"), "r"), "ma": of(F.avg("close"), "close"), "sd": of(F.stddev_samp("close"), "close")})
+
+    rows = in_pieces(bars, "symbol", "us", work, width)
     return rows.select("symbol", "us", "vol", F.try_divide(F.col("close") - F.col("ma"), F.col("sd")).alias("zscore"))
 
 
 def drawdown(bars: DataFrame) -> DataFrame:
-    """The close against the highest before it."""
-    return bars.select("symbol", "us", "close", (F.col("close") / F.max("close").over(series().rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("drawdown"))
+    """The close against the highest up to it: the highest before comes from ranges of the symbol's bars."""
+    rows = running(bars.select("symbol", "us", "close"), ["symbol"], ["us"], {"close": "__peak"}, most=True)
+    return rows.select("symbol", "us", "close", (F.col("close") / F.greatest("close", "__peak") - 1).alias("drawdown"))
 
 
 def corr(x: str, y: str) -> Column:
@@ -98,12 +104,12 @@ def corr(x: str, y: str) -> Column:
 
 def mean_reversion(bars: DataFrame) -> DataFrame:
     """Autocorrelation of returns at lags 1, 2 and 5, by symbol."""
-    rows = with_returns(bars).where("r is not null")
-    rows = rows.withColumns({f"r{k}": F.lag("r", k).over(series()) for k in (1, 2, 5)})
+    rows = in_pieces(with_returns(bars).where("r is not null"), "symbol", "us", lambda rows, w: rows.withColumns({f"r{k}": F.lag("r", k).over(w) for k in (1, 2, 5)}), 5)
     both = [corr(f"x{k}", f"r{k}").alias(f"autocorr_{k}") for k in (1, 2, 5)]
     return rows.withColumns({f"x{k}": F.when(F.col(f"r{k}").isNotNull(), F.col("r")) for k in (1, 2, 5)}).groupBy("symbol").agg(F.count("*").alias("n"), *both)
 
 
 def forward_returns(bars: DataFrame, rows_ahead: int = 4) -> DataFrame:
     """The close some bars on against this one's; null at the end."""
-    return bars.select("symbol", "us", F.try_divide(F.lead("close", rows_ahead).over(series()), F.col("close")).alias("growth"))
+    rows = in_pieces(bars.select("symbol", "us", "close"), "symbol", "us", lambda rows, w: rows.withColumn("later", F.lead("close", rows_ahead).over(w)), 0, rows_ahead)
+    return rows.select("symbol", "us", F.try_divide(F.col("later"), F.col("close")).alias("growth"))

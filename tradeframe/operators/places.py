@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,10 +76,19 @@ def with_cuts(rows: DataFrame, cuts: DataFrame, by: Sequence[str] = ()) -> DataF
     return rows.withColumn("__one", F.lit(1)).join(F.broadcast(cuts.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
-def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+def in_pieces(rows: DataFrame, by: str, at: str, work: Callable[[DataFrame, WindowSpec], DataFrame], behind: int = 0, ahead: int = 0, size: int = 100_000) -> DataFrame:
+    """What `work` makes of rows and a window over a group's rows in the order of time: a frame or lag in it may reach so many
+    rows behind and ahead of each row. The group's rows are dealt in pieces, so a group is not one task. Rows of null group
+    or time are left out."""
+    dealt = overlapped(numbered(rows, by, at, [at]), behind, ahead, max(size, behind, ahead))
+    return own(work(dealt, piece(by))).drop("place")
+
+
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: dict[str, str], totals: dict[str, str] | None = None, most: bool = False) -> DataFrame:
     """Add, for each column and the name it is to have, its sum over the rows before in the group, in ascending order of any
-    columns; without groups, in the whole table. `totals` likewise names columns for sums over the whole group. Groups and
-    values may be null; nulls come first. Rows that the order doesn't tell apart follow each other in any way.
+    columns; without groups, in the whole table. `totals` likewise names columns for sums over the whole group. With `most` it
+    is the greatest value instead, null where there is none before. Groups and values may be null; nulls come first. Rows that
+    the order doesn't tell apart follow each other in any way.
 
     The table is dealt by ranges of group and order, so a group that holds most rows is many tasks, as are equal values: a
     number of their own tells such rows apart. What comes before a range in its group is summed in a table of a row a
@@ -89,21 +98,23 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], s
     dealt = rows.withColumns({k: F.col(o) if isinstance(o, str) else o for k, o in zip(keys, order)}).withColumn("__own", F.monotonically_increasing_id())
     dealt = written(dealt.repartitionByRange(*by, *keys, "__own").withColumn("__range", F.spark_partition_id()), "ranges")
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    summed = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    whole = F.max if most else F.sum
+    summed = lambda c, w: whole(c).over(w) if most else F.coalesce(F.sum(c).over(w), F.lit(0))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    parts = dealt.groupBy("__range", *by).agg(*(F.sum(c).alias(f"__s_{c}") for c in {**sums, **totals}))
+    parts = dealt.groupBy("__range", *by).agg(*(whole(c).alias(f"__s_{c}") for c in {**sums, **totals}))
     parts = parts.select(
         F.col("__range").alias("__r"),
         *(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)),
         *(summed(f"__s_{c}", earlier(group.orderBy("__range"))).alias(f"__before_{c}") for c in sums),
-        *(F.sum(f"__s_{c}").over(group).alias(name) for c, name in totals.items()),
+        *(whole(f"__s_{c}").over(group).alias(name) for c, name in totals.items()),
     )
     on = F.col("__range") == F.col("__r")
     for i, c in enumerate(by):
         on &= F.col(c).eqNullSafe(F.col(f"__b{i}"))
     near = earlier(Window.partitionBy("__range", *by).orderBy(*keys, "__own"))
     found = dealt.withColumns({f"__near_{c}": summed(c, near) for c in sums}).join(parts, on)
-    found = found.withColumns({name: F.col(f"__before_{c}") + F.col(f"__near_{c}") for c, name in sums.items()})
+    both = F.greatest if most else (lambda a, b: F.col(a) + F.col(b))
+    found = found.withColumns({name: both(f"__before_{c}", f"__near_{c}") for c, name in sums.items()})
     return found.drop("__own", "__range", "__r", *keys, *(f"__b{i}" for i in range(len(by))), *(f"__{part}_{c}" for c in sums for part in ("near", "before")))
 
 

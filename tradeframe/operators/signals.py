@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tradeframe.functions.columns import size_category
 from tradeframe.operators import places
-from tradeframe.operators.bars import rolling, series, with_returns
+from tradeframe.operators.bars import change, rolling, with_returns
 from tradeframe.operators.reversal import p_values
 from tradeframe.operators.studies import DAY, HOUR, SECOND, daily_frame, share
 
@@ -37,9 +37,9 @@ def spread_bounce(bars: DataFrame, within: int = 3) -> DataFrame:
     """Spreads by symbol, and how many of the wide ones (over the upper quartile) have a narrow one (under the lower) in
     the next `within` bars. Only bars with so many behind them can be followed."""
     shaped = with_shape(bars)
-    cuts = shaped.groupBy("symbol").agg(F.percentile("hl_spread_pct", 0.25).alias("low_cut"), F.percentile("hl_spread_pct", 0.75).alias("high_cut"))
-    ahead = series().rowsBetween(1, within)
-    rows = shaped.join(cuts, "symbol").withColumns({"least": F.min("hl_spread_pct").over(ahead), "behind": F.count("*").over(ahead)})
+    cuts = places.quantiles(shaped, ["symbol"], "hl_spread_pct", {"low_cut": 0.25, "high_cut": 0.75})
+    look = lambda rows, w: rows.withColumns({"least": F.min("hl_spread_pct").over(w.rowsBetween(1, within)), "behind": F.count("*").over(w.rowsBetween(1, within))})
+    rows = places.in_pieces(shaped, "symbol", "us", look, 0, within).join(cuts, "symbol")
     wide = F.col("hl_spread_pct") > F.col("high_cut")
     bounced = F.count_if(wide & (F.col("behind") == within) & (F.col("least") < F.col("low_cut")))
     return rows.groupBy("symbol").agg(
@@ -50,8 +50,12 @@ def spread_bounce(bars: DataFrame, within: int = 3) -> DataFrame:
 
 def volatility_clustering(bars: DataFrame, lags: Sequence[int] = (1, 2, 3, 5, 10)) -> DataFrame:
     """Autocorrelation of absolute and squared returns at each lag, and how the rolling deviation of returns goes with the spread."""
-    rows = with_returns(with_shape(bars))
-    rows = rows.withColumns({f"vol_{n}": rolling(F.stddev_samp("r"), "r", n, n) for n in (5, 20)} | {f"r_{k}": F.lag("r", k).over(series()) for k in lags})
+
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("r", change(F.lag("close").over(w)))
+        return rows.withColumns({f"vol_{n}": rolling(F.stddev_samp("r"), "r", n, n, w) for n in (5, 20)} | {f"r_{k}": F.lag("r", k).over(w) for k in lags})
+
+    rows = places.in_pieces(with_shape(bars), "symbol", "us", work, max(20, *lags) + 1)
     abs_corr = [F.corr(F.abs("r"), F.abs(f"r_{k}")).alias(f"abs_autocorr_{k}") for k in lags]
     square_corr = [F.corr(F.col("r") * F.col("r"), F.col(f"r_{k}") * F.col(f"r_{k}")).alias(f"square_autocorr_{k}") for k in lags]
     return rows.groupBy("symbol").agg(*abs_corr, *square_corr, *[F.corr(f"vol_{n}", "hl_spread_pct").alias(f"vol_{n}_spread_corr") for n in (5, 20)])
@@ -59,8 +63,12 @@ def volatility_clustering(bars: DataFrame, lags: Sequence[int] = (1, 2, 3, 5, 10
 
 def price_impact(bars: DataFrame) -> DataFrame:
     """Correlation of volume with the absolute return, with the next one, and with the next spread."""
-    rows = with_returns(with_shape(bars)).withColumn("size", F.abs("r"))
-    rows = rows.withColumns({"next_size": F.lead("size").over(series()), "next_spread": F.lead("hl_spread_pct").over(series())})
+
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("size", F.abs(change(F.lag("close").over(w))))
+        return rows.withColumns({"next_size": F.lead("size").over(w), "next_spread": F.lead("hl_spread_pct").over(w)})
+
+    rows = places.in_pieces(with_shape(bars), "symbol", "us", work, 1, 1)
     return rows.groupBy("symbol").agg(F.corr("volume", "size").alias("return_corr"), F.corr("volume", "next_size").alias("next_return_corr"), F.corr("volume", "next_spread").alias("next_spread_corr"))
 
 
@@ -115,8 +123,8 @@ def describe(bars: DataFrame, column: str) -> DataFrame:
 def filled_grid(bars: DataFrame, step_us: int = HOUR) -> DataFrame:
     """A row for each step from a symbol's first bar to its last; a step without a bar has the last close and no volume.
     Each bar is exploded up to the next one: there is no join with a grid."""
-    upto = F.coalesce(F.lead("us").over(series()) - step_us, F.col("us"))
-    steps = bars.withColumn("upto", upto).withColumn("step", F.explode(F.sequence("us", "upto", F.lit(step_us))))
+    ahead = places.in_pieces(bars, "symbol", "us", lambda rows, w: rows.withColumn("upto", F.coalesce(F.lead("us").over(w) - step_us, F.col("us"))), 0, 1)
+    steps = ahead.withColumn("step", F.explode(F.sequence("us", "upto", F.lit(step_us))))
     real = F.col("step") == F.col("us")
     price = lambda c: F.when(real, F.col(c)).otherwise(F.col("close")).alias(c)
     return steps.select("symbol", F.col("step").alias("us"), *[price(c) for c in ("open", "high", "low")], "close", F.when(real, F.col("volume")).otherwise(0.0).alias("volume"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tradeframe.operators.bars import series
+from tradeframe.operators.places import in_pieces
 
 SECOND, HOUR, DAY = 1_000_000, 3_600_000_000, 86_400_000_000
 
@@ -82,19 +82,23 @@ def hours_since_start(scored: DataFrame) -> DataFrame:
 
 def buy_feasible(bars: DataFrame, size: float) -> DataFrame:
     """Whether the next bar has the volume, and trades below its open."""
-    nxt = lambda c: F.lead(c).over(series())
-    return bars.select("symbol", "us", F.coalesce((nxt("volume") >= size) & (nxt("low") < nxt("open")), F.lit(False)).alias("can_buy"))
+    found = (F.col("volume") >= size) & (F.col("low") < F.col("open"))
+    rows = in_pieces(bars.withColumn("__ok", found), "symbol", "us", lambda rows, w: rows.withColumn("can_buy", F.coalesce(F.lead("__ok").over(w), F.lit(False))), 0, 1)
+    return rows.select("symbol", "us", "can_buy")
 
 
 def first_liquid_exit(bars: DataFrame, coins: float, hold: int = 3, within: int = 10) -> DataFrame:
     """The start of the first of `within` bars after `hold` bars whose volume is `coins` at its open or more; null without one."""
-    frame = series().rowsBetween(hold + 1, hold + within)
-    return bars.select("symbol", "us", F.min(F.when(F.col("volume") >= coins * F.col("open"), F.col("us"))).over(frame).alias("exit_us"))
+    rows = bars.withColumn("__exit", F.when(F.col("volume") >= coins * F.col("open"), F.col("us")))
+    rows = in_pieces(rows, "symbol", "us", lambda rows, w: rows.withColumn("exit_us", F.min("__exit").over(w.rowsBetween(hold + 1, hold + within))), 0, hold + within)
+    return rows.select("symbol", "us", "exit_us")
 
 
 def any_next(bars: DataFrame, condition: Column, rows: int) -> DataFrame:
     """Whether the condition holds in any of the next rows of the symbol."""
-    return bars.withColumn("__hit", condition.cast("int")).select("symbol", "us", (F.coalesce(F.max("__hit").over(series().rowsBetween(1, rows)), F.lit(0)) == 1).alias("any_next"))
+    hit = bars.withColumn("__hit", condition.cast("int"))
+    found = in_pieces(hit, "symbol", "us", lambda df, w: df.withColumn("any_next", F.coalesce(F.max("__hit").over(w.rowsBetween(1, rows)), F.lit(0)) == 1), 0, rows)
+    return found.select("symbol", "us", "any_next")
 
 
 def daily_frame(bars: DataFrame, first_hours: int = 6) -> DataFrame:

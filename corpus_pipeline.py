@@ -18,34 +18,41 @@ from tradeframe.llm.toxicity import toxicity
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't call toxic: of a score of one half, which all have where there
-    are no labels, or less. Of repeated ids all rows go if one is toxic; rows of null id stay."""
+    are no labels, or less. Of repeated ids all rows go if one is toxic; rows of null id stay; null and empty texts are
+    scored as texts without known words."""
     scored = toxicity(docs, queries.table(spark, sf_dir, "labels"), held_out=None)
     rejected = scored.where("score > 0.5").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group that links of five-word Jaccard similarity 0.8 or more connect."""
+    """The document of least id of each group that links of five-word Jaccard similarity 0.8 or more connect; of a document
+    that links with none, itself. Ties don't occur, as ids tell documents apart: rows of one id stay or go together. Null and
+    empty texts and rows of null id link with nothing and stay."""
     found = jaccard_components(docs, width=5, threshold=Fraction(8, 10))
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; passages that an earlier one has too are cut from their texts."""
+    """All documents; passages that an earlier one, by id, has too are cut from their texts, and n_chars is that of what is
+    left. Null and empty texts and rows of null id stay as they are; rows of one id are one document and keep what they
+    share; of a passage in several documents the first keeps it."""
     passages = saved(repeated_passages(docs), "passages")
     cut = cut_passages(docs, passages)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items. Of repeated ids all rows go if one has an item; rows of null id, null texts and empty
+    ones stay; without items all stay."""
     leaks = contaminated(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
+    """Pieces of documents in sequences of at most 1024 tokens. Null texts are empty: a document of one end token. Repeated rows and
+    rows of null id are packed as documents of their own."""
     return pack_documents(docs, queries.vocabulary())
 
 

@@ -77,7 +77,7 @@ SELECT mint, count(*) AS gaps, {r("min(gap)", "min_gap")}, {r("max(gap)", "max_g
     place = " + ".join(f"CASE WHEN score >= {e!r}::DOUBLE THEN 1 ELSE 0 END" for e in edges[1:])
     by_scored("score_bin_profits", lambda s: profiles.score_bin_profits(s, low, high, bins), f""", d AS (SELECT *, {pnl} AS pnl, {place} AS bin FROM scored WHERE score >= {low!r}::DOUBLE AND score <= {high!r}::DOUBLE)
 , c AS (SELECT *, quantile_cont(abs(pnl), 0.95) OVER () AS cut FROM d)
-SELECT CAST(bin AS INTEGER) AS bin, {r(f"{edges}::DOUBLE[][bin + 1]", "from_score")}, {r(f"{edges}::DOUBLE[][bin + 2]", "to_score")}, count(*) AS n, {r("avg(pnl)", "mean_pnl")}, {r("quantile_cont(pnl, 0.5)", "median_pnl")}, {r("stddev_samp(pnl)", "std_pnl")}, count(*) FILTER (abs(pnl) > cut) AS outliers,
+SELECT CAST(bin AS INTEGER) AS bin, {r(f"({edges}::DOUBLE[])[bin + 1]", "from_score")}, {r(f"({edges}::DOUBLE[])[bin + 2]", "to_score")}, count(*) AS n, {r("avg(pnl)", "mean_pnl")}, {r("quantile_cont(pnl, 0.5)", "median_pnl")}, {r("stddev_samp(pnl)", "std_pnl")}, count(*) FILTER (abs(pnl) > cut) AS outliers,
   {r("count(*) FILTER (abs(pnl) > cut) * 1e0 / count(*)", "outlier_share")} FROM c WHERE bin < {bins} GROUP BY bin""")
     by_scored("auc_by_time", lambda s: studies.auc_by(profiles.with_time_bin(s, BIN_MINUTES), "time_bin"), f""", b AS (SELECT *, CAST(floor((sample_us - min(sample_us) OVER (PARTITION BY coin_id)) / {BIN_MINUTES * 6e7}) AS BIGINT) AS time_bin FROM scored)
 , k AS (SELECT *, rank() OVER (PARTITION BY time_bin ORDER BY score) + (count(*) OVER (PARTITION BY time_bin, score) - 1) / 2e0 AS place FROM b)

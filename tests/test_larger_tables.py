@@ -28,3 +28,9 @@ def test_flow_of_repeated_trades(spark):
     rows = [("a", i, i, 2.0, 1000.0, True, 0.002) for i in range(30)]
     got = flow.flow_toxicity(spark.createDataFrame(rows, "mint string, us long, row_index long, sol_amount double, token_amount double, is_buy boolean, price double")).collect()
     assert len(got) == 1 and got[0].avg_flow_price_corr is None and got[0].total_transactions == 30
+
+
+def test_a_constant_column_in_many_parts(spark, parts):
+    """(1 / 49) * 49 is below 1, so a deviation put together from parts of 49 rows is above 0."""
+    rows = spark.range(0, parts * parts, 1, parts).select(F.lit(1).alias("same"), F.col("id").alias("other"), F.lit(None).cast("double").alias("none"))
+    assert {r.feature: r.constant for r in clusters.constant_columns(rows, ["same", "other", "none"]).collect()} == {"same": True, "other": False, "none": True}

@@ -34,3 +34,14 @@ def test_a_constant_column_in_many_parts(spark, parts):
     """(1 / 49) * 49 is below 1, so a deviation put together from parts of 49 rows is above 0."""
     rows = spark.range(0, parts * parts, 1, parts).select(F.lit(1).alias("same"), F.col("id").alias("other"), F.lit(None).cast("double").alias("none"))
     assert {r.feature: r.constant for r in clusters.constant_columns(rows, ["same", "other", "none"]).collect()} == {"same": True, "other": False, "none": True}
+
+
+def test_trades_of_nothing_have_no_price(spark):
+    """The row of nothing for nothing makes the mean of the next frames NaN, as SQL does; its signal is asked though no quote is at its time."""
+    rows = [("a", i * 10_000_000, i, 0.0 if i == 60 else 2.0, 0.0 if i == 60 else 1000.0, i % 2 == 0) for i in range(100)]
+    pairs = spark.createDataFrame(rows, "mint string, us long, row_index long, sol_amount double, token_amount double, is_buy boolean")
+    found = impact.reversion_signals(pairs)
+    got = {r.row_index: r for r in found.collect()}
+    assert set(range(60, 80)) <= set(got) and all(got[i].side == "SELL" and "price" in got[i].reasons and math.isnan(got[i].strength) for i in range(60, 80))
+    quotes = pairs.where("sol_amount > 0").withColumn("price", F.lit(0.002)).select("mint", "us", "row_index", "price")
+    assert impact.evaluate_exit_price(found, quotes, (30,)).where("side = 'SELL'").first().num_trades == sum(r.side == "SELL" for r in got.values())

@@ -45,3 +45,23 @@ def test_trades_of_nothing_have_no_price(spark):
     assert set(range(60, 80)) <= set(got) and all(got[i].side == "SELL" and "price" in got[i].reasons and math.isnan(got[i].strength) for i in range(60, 80))
     quotes = pairs.where("sol_amount > 0").withColumn("price", F.lit(0.002)).select("mint", "us", "row_index", "price")
     assert impact.evaluate_exit_price(found, quotes, (30,)).where("side = 'SELL'").first().num_trades == sum(r.side == "SELL" for r in got.values())
+
+
+def test_windows_after_events_against_pairs(spark, closed):
+    """Ties at the event's time, at a window's end and at the bound of two stretches, groups without trades, null groups."""
+    seen = [("a", (i * 7 % 40) * 1_000_000, i, float(i * 13 % 17), float(i)) for i in range(60)] + [(None, 3_000_000, 99, 1.0, 1.0), ("a", None, 98, 1.0, 1.0)]
+    asked = [("a", t * 1_000_000, t) for t in (0, 3, 10, 19, 20, 39, 55)] + [("b", 0, 100), (None, 3_000_000, 101)]
+    got = joins.event_window_stats(spark.createDataFrame(asked, "mint string, us long, event long"), spark.createDataFrame(seen, "mint string, us long, row_index long, price double, size double"), "price", (10, 20), closed=closed, amount="size").collect()
+    assert len(got) == 2 * len(asked)
+    for r in got:
+        inside = [s for s in seen if s[0] == r.mint and r.mint is not None and s[1] is not None and (r.us <= s[1] if closed else r.us < s[1]) and s[1] <= r.us + r.window_s * 1_000_000]
+        want = (len(inside), sum(s[4] for s in inside), min(s[3] for s in inside), max(s[3] for s in inside), max((s[1], s[2], s[3]) for s in inside)[2]) if inside else (0, None, None, None, None)
+        assert (r.n, r.total, r.least, r.greatest, r.last) == want
+
+
+def test_windows_after_events_are_not_pairs(spark):
+    """No step holds more rows than events and trades in both stretches, however many meet."""
+    seen = spark.range(2000).select(F.lit("a").alias("mint"), F.col("id").alias("us"), F.col("id").alias("row_index"), F.lit(1.0).alias("price"))
+    out = joins.event_window_stats(seen.select("mint", "us", F.col("row_index").alias("event")), seen, "price", (10,))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.agg(F.sum("n")).first()[0] == 2000 * 1999 // 2

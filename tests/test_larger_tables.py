@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tradeframe.operators import clusters, flow, impact, joins, places, signals
+from tradeframe.operators import clusters, flow, impact, joins, places, profiles, signals, trades
 
 
 def test_constant_targets_have_no_correlation(spark):
@@ -65,3 +65,13 @@ def test_windows_after_events_are_not_pairs(spark):
     out = joins.event_window_stats(seen.select("mint", "us", F.col("row_index").alias("event")), seen, "price", (10,))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.agg(F.sum("n")).first()[0] == 2000 * 1999 // 2
+
+
+def test_what_comes_back_as_it_was_spent_is_no_gain(spark):
+    """0.1 + 0.2 is above 0.3."""
+    rows = [("u", "a", 1, 0.1, False), ("u", "a", 2, 0.2, False), ("u", "a", 3, 0.3, True)]
+    norm = spark.createDataFrame(rows, "swapper string, mint string, us long, sol_amount double, is_buy boolean").withColumn("is_sell", ~F.col("is_buy"))
+    held = trades.positions(norm)
+    assert trades.coin_pnl(held).first().winners == 0 and trades.trader_pnl(held).first().win_rate == 0
+    total = profiles.trader_total_pnl(held).first()
+    assert (total.profitable_coins, total.is_profitable, total.total_pnl) == (0, False, 0.0)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tradeframe.operators import clusters, flow, impact, joins, places, profiles, signals, trades
+from tradeframe.operators import clusters, flow, impact, joins, places, profiles, samples, signals, trades, windows
 
 
 def test_constant_targets_have_no_correlation(spark):
@@ -75,3 +75,14 @@ def test_what_comes_back_as_it_was_spent_is_no_gain(spark):
     assert trades.coin_pnl(held).first().winners == 0 and trades.trader_pnl(held).first().win_rate == 0
     total = profiles.trader_total_pnl(held).first()
     assert (total.profitable_coins, total.is_profitable, total.total_pnl) == (0, False, 0.0)
+
+
+def test_sums_of_windows_are_not_held_by_trader(spark):
+    """Only flags are kept for each trader of a sample; the sums have a row a sample."""
+    rows = [("a", i * 1_000_000, f"u{i % 50}", i % 2 == 0, i % 2 == 1, float(i % 5)) for i in range(600)]
+    pairs = spark.createDataFrame(rows, "mint string, us long, swapper string, is_buy boolean, is_sell boolean, sol_amount double")
+    plan = windows.window_features(pairs, windows.GridConfig())._jdf.queryExecution().optimizedPlan().toString()
+    held = [line for line in plan.splitlines() if "Aggregate [mint" in line and "swapper" in line.split("], [")[0]]
+    assert held and not any("sum(" in line for line in held)
+    got = samples.forward_outcomes(pairs, windows.GridConfig(), (60,)).where("sample_us = 120000000").first()
+    assert (got.forward_transaction_count, got.forward_unique_traders) == (60, 50)

@@ -220,30 +220,36 @@ PAIRED = 512
 #: Rounds of new centres at most. They save work, not links.
 ROUNDS = 4
 
-
-def _named(compared: DataFrame, labels: DataFrame) -> Saved:
-    """(b, a, component, far): the sets of each group, and in how many shingles each differs from the centre; written, for it
-    is read many times."""
-    label = labels.select(F.col("node").alias("a"), "component")
-    rows = compared.select("b", "a", "far")
-    return Saved(rows.join(label, "a", "left").withColumn("component", F.coalesce("component", "a")), "named")
+#: A round is followed by another if one in so many of the pairs that it compared is a link.
+WORTH = 16
 
 
-def _open_groups(named: DataFrame) -> DataFrame:
-    """(b) of the groups whose sets, beside the centre, aren't one component; there is no pair left in the others."""
-    return named.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
+def _open(rows: Saved, labels: DataFrame) -> Saved:
+    """(b, a, far, component, many) of the sets of groups that, beside the centre, aren't one component: there is no pair left
+    in the others, which stay out from then on. many: the group's sets."""
+    label = labels.select(F.col("node").alias("a"), "component")
+    # written before it is grouped, for it is read twice
+    named = Saved(rows.df.select("b", "a", "far").join(label, "a", "left").withColumn("component", F.coalesce("component", "a")), "named")
+    rows.drop()
+    groups = named.df.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many"))
+    out = Saved(named.df.join(groups.where("low <> high").select("b", "many"), "b"), "open")
+    named.drop()
+    return out
 
 
-def _new_centres(named: DataFrame, settled: bool) -> DataFrame:
+def _new_centres(rows: DataFrame, settled: bool) -> DataFrame:
     """(a, b): in each large group that is not one component, its sets with a new centre that is in another component. It is
     the set that differs least from the old centre: of copies of one text, edited each in its way, one that hardly is, so
     that it is near to all. Once that is `settled` the sets of the component that most are in have no say: another part
     of the group gets a centre."""
-    sizes = named.groupBy("b", "component").count()
-    groups = sizes.groupBy("b").agg(F.sum("count").alias("many"), F.max_by("component", F.struct("count", "component")).alias("first"), F.count("*").alias("parts"))
-    known = named.join(groups.where((F.col("many") > PAIRED) & (F.col("parts") > 1)).select("b", "first"), "b")
-    centre = known.where((F.col("component") != F.col("first")) if settled else F.lit(True)).groupBy("b").agg(F.min_by(F.struct("a", "component"), F.struct("far", "a")).alias("centre"))
-    pairs = named.join(centre, "b").where(F.col("component") != F.col("centre.component"))
+    large = rows.where(F.col("many") > PAIRED)
+    say = large
+    if settled:
+        sizes = large.groupBy("b", "component").count()
+        first = sizes.groupBy("b").agg(F.max_by("component", F.struct("count", "component")).alias("first"))
+        say = large.join(first, "b").where("component <> first")
+    centre = say.groupBy("b").agg(F.min_by(F.struct("a", "component"), F.struct("far", "a")).alias("centre"))
+    pairs = large.join(centre, "b").where(F.col("component") != F.col("centre.component"))
     return pairs.select("a", F.col("centre.a").alias("b")).distinct()
 
 
@@ -298,39 +304,38 @@ def _second_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
     return x.join(y, where).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
 
 
-def _closed(compared: DataFrame, sets: DataFrame, links: Saved, labels: Saved, threshold: Fraction) -> Saved:
+def _closed(compared: Saved, sets: DataFrame, labels: Saved, threshold: Fraction) -> Saved:
     """The components with the links between sets of one group that are not links to its centre."""
+    rows = _open(compared, labels.df)
     for nth in range(ROUNDS):
-        named = _named(compared, labels.df)
-        some = Saved(_new_centres(named.df, nth > 0), "centres")
-        named.drop()
-        new = None if some.df.isEmpty() else Saved(_compare(some.df, sets, threshold).where("linked").select("a", "b"), "star")
+        some = Saved(_new_centres(rows.df, nth > 0), "centres")
+        asked = some.df.count()
+        new = Saved(_compare(some.df, sets, threshold).where("linked").select("a", "b"), "star") if asked else None
         some.drop()
-        if new is None or new.df.isEmpty():
+        found = new.df.count() if new else 0
+        if found:
+            labels = _joined(labels, new)
+            rows = _open(rows, labels.df)
+        if found * WORTH <= asked:
             break
-        links, labels = _joined(links, new, labels)
-    named = _named(compared, labels.df)
-    sizes = named.df.join(_open_groups(named.df), "b").groupBy("b").agg(F.count("*").alias("many"))
-    small, large = (Saved(named.df.join(sizes.where(on).select("b"), "b"), "open") for on in (F.col("many") <= PAIRED, F.col("many") > PAIRED))
-    more = _side_by_side(small.df, sets, threshold)
-    if not large.df.isEmpty():
-        more = more.union(_second_pairs(_members(_compare(large.df.select("a", "b"), sets, threshold, keep=True), large.df), threshold)).distinct()
+    small, large = (rows.df.where(on) for on in (F.col("many") <= PAIRED, F.col("many") > PAIRED))
+    more = _side_by_side(small, sets, threshold)
+    if not large.isEmpty():
+        more = more.union(_second_pairs(_members(_compare(large.select("a", "b"), sets, threshold, keep=True), large), threshold)).distinct()
     more = Saved(more, "second")
-    for x in (named, small, large):
-        x.drop()
+    rows.drop()
     if not more.df.isEmpty():
-        links, labels = _joined(links, Saved(_compare(more.df, sets, threshold).where("linked").select("a", "b"), "star"), labels)
-    for x in (more, links):
-        x.drop()
+        labels = _joined(labels, Saved(_compare(more.df, sets, threshold).where("linked").select("a", "b"), "star"))
+    more.drop()
     return labels
 
 
-def _joined(links: Saved, new: Saved, labels: Saved) -> tuple[Saved, Saved]:
-    """The links with more of them, and the components that they make."""
-    both = Saved(links.df.union(new.df), "links")
-    for x in (links, new, labels):
+def _joined(labels: Saved, new: Saved) -> Saved:
+    """The components that more links make of those known; a set and its component's least are a link."""
+    out = components(labels.df.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new.df))
+    for x in (labels, new):
         x.drop()
-    return both, components(both.df)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,12 +358,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fr
     sets = Saved(_sets_of(known, first.df, wanted, width), "sets")
     compared = Saved(_compare(pairs.df, sets.df, threshold).drop("apart"), "compared")
     links = Saved(compared.df.where("linked").select("a", "b"), "star")
-    labels = _closed(compared.df, sets.df, links, components(links.df), threshold)
+    labels = components(links.df)
+    links.drop()
+    labels = _closed(compared, sets.df, labels, threshold)
     # written tables on both sides of the joins: Spark then splits a component that very many sets are in
     part = Saved(first.df.join(labels.df, first.df.sig == labels.df.node, "left").select("sig", "id", F.coalesce("component", "sig").alias("part")), "parts")
     least = Saved(part.df.groupBy("part").agg(F.min("id").alias("least")), "least")
     named = Saved(part.df.join(least.df, "part").select("sig", "least"), "named")
-    for x in (first, pairs, sets, compared, labels, part, least):
+    for x in (first, pairs, sets, labels, part, least):
         x.drop()
     # a set of no shingles is in no component; a row of null id has none
     out = signed.df.join(named.df, "sig", "left")

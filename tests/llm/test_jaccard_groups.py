@@ -54,3 +54,29 @@ def test_same_components(spark, monkeypatch, paired, rounds):
     monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
     got = {r.doc_id: r.component_id for r in jaccard_components(docs, 5, Fraction(8, 10)).collect()}
     assert [got[i] for i in range(len(texts))] == label
+
+
+def test_few_links_join_no_groups_anew(spark, monkeypatch):
+    """A round of new centres that finds few links doesn't join all open rows with their groups once more, and loses nothing."""
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(50):
+        t = list(base)
+        for _ in range(draw.randint(2, 9)):
+            t[draw.randrange(len(t))] = f"n{draw.randrange(10**6)}"
+        texts.append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(sets)))
+    while (new := [min(label[j] for j, b in enumerate(sets) if 10 * len(a & b) >= 8 * len(a | b)) for a in sets]) != label:
+        label = new
+    opened, joined = [], []
+    once, join = ngram_jaccard._open, ngram_jaccard._joined
+    monkeypatch.setattr(ngram_jaccard, "_open", lambda *x: opened.append(1) or once(*x))
+    monkeypatch.setattr(ngram_jaccard, "_joined", lambda *x: joined.append(1) or join(*x))
+    monkeypatch.setattr(ngram_jaccard, "PAIRED", 3)
+    monkeypatch.setattr(ngram_jaccard, "WORTH", 0)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, 5, Fraction(8, 10)).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    assert joined and len(opened) == 1

@@ -224,15 +224,22 @@ ROUNDS = 4
 WORTH = 16
 
 
+def _named(rows: Saved, labels: DataFrame) -> Saved:
+    """The rows, which go, with the component that each set a is in now."""
+    label = labels.select(F.col("node").alias("a"), F.col("component").alias("now"))
+    kept = [c for c in rows.df.columns if c != "component"]
+    named = Saved(rows.df.join(label, "a", "left").select(*kept, F.coalesce("now", "a").alias("component")), "named")
+    rows.drop()
+    return named
+
+
 def _open(rows: Saved, labels: DataFrame) -> Saved:
     """(b, a, far, component, many) of the sets of groups that, beside the centre, aren't one component: there is no pair left
     in the others, which stay out from then on. many: the group's sets."""
-    label = labels.select(F.col("node").alias("a"), "component")
     # written before it is grouped, for it is read twice
-    named = Saved(rows.df.select("b", "a", "far").join(label, "a", "left").withColumn("component", F.coalesce("component", "a")), "named")
-    rows.drop()
+    named = _named(rows, labels)
     groups = named.df.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many"))
-    out = Saved(named.df.join(groups.where("low <> high").select("b", "many"), "b"), "open")
+    out = Saved(named.df.select("b", "a", "far", "component").join(groups.where("low <> high").select("b", "many"), "b"), "open")
     named.drop()
     return out
 
@@ -313,10 +320,12 @@ def _closed(compared: Saved, sets: DataFrame, labels: Saved, threshold: Fraction
         new = Saved(_compare(some.df, sets, threshold).where("linked").select("a", "b"), "star") if asked else None
         some.drop()
         found = new.df.count() if new else 0
+        worth = found * WORTH > asked
         if found:
             labels = _joined(labels, new)
-            rows = _open(rows, labels.df)
-        if found * WORTH <= asked:
+            # few links close few groups: the rows learn their components, but groups aren't looked for and joined again
+            rows = _open(rows, labels.df) if worth else _named(rows, labels.df)
+        if not worth:
             break
     small, large = (rows.df.where(on) for on in (F.col("many") <= PAIRED, F.col("many") > PAIRED))
     more = _side_by_side(small, sets, threshold)

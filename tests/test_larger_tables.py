@@ -1,6 +1,8 @@
 """What failed on larger tables: constant values, trades of nothing, many trades in a window."""
 
 import math
+import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,22 @@ def test_flow_of_repeated_trades(spark):
     assert len(got) == 1 and got[0].avg_flow_price_corr is None and got[0].total_transactions == 30
 
 
+def test_frames_of_a_coins_own_width(spark):
+    """Coins of 20, 30 and 60 trades have frames of 5, 7 and 10; all are one frame of the plan, not one for each width."""
+    rows = [(m, i * 10, i, float(1 + i * i % 7), i % 3 > 0, 0.002 + (i * 5 % 11) / 1e4) for m, n in (("a", 20), ("b", 30), ("c", 60)) for i in range(n)]
+    out = flow.flow_toxicity(spark.createDataFrame(rows, "mint string, us long, row_index long, sol_amount double, is_buy boolean, price double"))
+    for r in out.collect():
+        seen = [x for x in rows if x[0] == r.mint]
+        k = min(10, len(seen) // 4)
+        signed, price = [x[3] if x[4] else -x[3] for x in seen], [x[5] for x in seen]
+        change = [None] + [b - a for a, b in zip(price, price[1:])]
+        frames = [(signed[i - k + 1 : i + 1], change[i - k + 1 : i + 1]) for i in range(k, len(seen))]
+        assert math.isclose(r.avg_flow_price_corr, statistics.fmean(statistics.correlation(x, y) for x, y in frames), rel_tol=1e-9)
+        assert math.isclose(r.kyle_lambda_proxy, statistics.fmean(statistics.stdev(y) / statistics.fmean(map(abs, x)) for x, y in frames), rel_tol=1e-9)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(set(re.findall(r"specifiedwindowframe\((?:RowFrame|RangeFrame), -\d\d*, currentrow\$\(\)\)", plan))) == 1
+
+
 def test_a_constant_column_in_many_parts(spark, parts):
     """(1 / 49) * 49 is below 1, so a deviation put together from parts of 49 rows is above 0."""
     rows = spark.range(0, parts * parts, 1, parts).select(F.lit(1).alias("same"), F.col("id").alias("other"), F.lit(None).cast("double").alias("none"))

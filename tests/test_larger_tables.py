@@ -107,6 +107,19 @@ def test_sums_of_windows_are_not_held_by_trader(spark):
     assert (got.forward_transaction_count, got.forward_unique_traders) == (60, 50)
 
 
+def test_traders_are_dealt_only_where_they_are_asked_for(spark):
+    """A window's sums alone have no step for traders; trades after a sample are in no trader's window."""
+    rows = [("a", i * 1_000_000, f"u{i}", i % 2 == 0, i % 2 == 1, float(i % 5)) for i in range(600)]
+    pairs = spark.createDataFrame(rows, "mint string, us long, swapper string, is_buy boolean, is_sell boolean, sol_amount double")
+    out = windows.window_features(pairs, windows.GridConfig())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan(out.select("sample_us", "buy_ratio_30s", "is_profitable_300s"))
+    dealt = plan(out).split("RepartitionByExpression [mint", 1)[1]
+    assert "swapper" in dealt.split("]", 1)[0] and next(line for line in dealt.splitlines() if "Filter" in line).endswith("> 0)")
+    got = {r.sample_us: (r.unique_traders_30s, r.unique_buyers_60s, r.unique_sellers_120s) for r in out.collect()}
+    assert len(got) == 3 and set(got.values()) == {(30, 30, 60)}
+
+
 def test_halves_are_rounded_as_in_sql(spark):
     rows = spark.createDataFrame([(23.49 / 7200,), (-23.49 / 7200,), (1.25e-7,), (float("nan"),), (float("inf"),), (None,)], "x double")
     got = [r.x for r in catalog.round_all(rows).collect()]

@@ -4,6 +4,7 @@ import math
 import re
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,3 +125,41 @@ def test_halves_are_rounded_as_in_sql(spark):
     rows = spark.createDataFrame([(23.49 / 7200,), (-23.49 / 7200,), (1.25e-7,), (float("nan"),), (float("inf"),), (None,)], "x double")
     got = [r.x for r in catalog.round_all(rows).collect()]
     assert got[:3] == [0.003263, -0.003263, 0.0] and math.isnan(got[3]) and got[4:] == [math.inf, None]
+
+
+def cancelled(spark, folder):
+    """Traders whose amounts cancel out: u0's doubles come to more in any order, u1's in the order of rows alone, u2's to 0; u3
+    gains, one has no name."""
+    rows = [(0, e, v, k) for e in "abc" for v, k in ((0.3, 0), (0.1, 1), (0.2, 1))] + [(1, "a", v, k) for v, k in ((0.1, 1), (0.2, 1), (0.3, 1), (0.6, 0))]
+    rows += [(2, "a", v, k) for v, k in ((0.3, 1), (0.2, 1), (0.1, 1), (0.6, 0))] + [(3, e, 5.0 + i, 1) for i, e in enumerate("abc")] + [(None, "a", v, k) for v, k in ((0.3, 0), (0.1, 1), (0.2, 1))]
+    events = spark.createDataFrame([(i, i, u, e, v, f'{{"k": {k}}}') for i, (u, e, v, k) in enumerate(rows)], "event_id long, s long, user_id long, event_type string, value double, props string")
+    events.select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def assert_equals_sql(spark, folder, name):
+    """SQL's sums on one thread are in the order of rows."""
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, str(folder))
+    want = con.execute(catalog.ORACLE_SQL[name])
+    plain = lambda rows: sorted((tuple(round(x, 6) + 0.0 if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    assert plain(got.select(*(d[0] for d in want.description)).collect()) == plain(want.fetchall())
+
+
+def test_signs_of_results_that_cancel_out_follow_rows(spark):
+    """Whatever the parts that the rows are in; positions that don't cancel out are as they were."""
+    paid = [("u", 0.3, False), ("v", 0.6, False), ("w", 0.6, False), ("x", 1.0, False), (None, 0.3, False)]
+    got = [("u", 0.1), ("u", 0.2), ("v", 0.1), ("v", 0.2), ("v", 0.3), ("w", 0.3), ("w", 0.2), ("w", 0.1), ("x", 1.5), (None, 0.1), (None, 0.2)]
+    rows = [(s, "a", i, i, v, sell) for i, (s, v, sell) in enumerate(paid + [(s, v, True) for s, v in got])]
+    norm = spark.createDataFrame(rows, "swapper string, mint string, us long, row_index long, sol_amount double, is_sell boolean").withColumn("is_buy", ~F.col("is_sell"))
+    for parts in (1, 3, 7):
+        held = trades.positions_in_order(norm.repartition(parts, F.hash("row_index", F.lit(parts))))
+        assert held.columns == trades.positions(norm).columns
+        net = {r.swapper: r.net_sol_pnl_per_coin for r in held.collect()}
+        assert net == {"u": 0.1 + 0.2 - 0.3, "v": 0.1 + 0.2 + 0.3 - 0.6, "w": 0.0, "x": 0.5, None: 0.1 + 0.2 - 0.3} and net["u"] > 0 and net["v"] > 0
+
+
+def test_coin_pnl_of_cancelled_trades(spark, tmp_path):
+    cancelled(spark, tmp_path)
+    assert_equals_sql(spark, tmp_path, "coin_pnl")

@@ -169,3 +169,8 @@ def test_marked_pnl_of_cancelled_trades(spark, tmp_path):
     """u0 has three coins that gain by SQL's sums, so it is no trader that is marked."""
     cancelled(spark, tmp_path)
     assert_equals_sql(spark, tmp_path, "marked_pnl")
+
+
+def test_trader_pnl_of_cancelled_trades(spark, tmp_path):
+    cancelled(spark, tmp_path)
+    assert_equals_sql(spark, tmp_path, "trader_pnl")

@@ -174,3 +174,8 @@ def test_marked_pnl_of_cancelled_trades(spark, tmp_path):
 def test_trader_pnl_of_cancelled_trades(spark, tmp_path):
     cancelled(spark, tmp_path)
     assert_equals_sql(spark, tmp_path, "trader_pnl")
+
+
+def test_trader_total_pnl_of_cancelled_trades(spark, tmp_path):
+    cancelled(spark, tmp_path)
+    assert_equals_sql(spark, tmp_path, "trader_total_pnl")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tradeframe import catalog
-from tradeframe.operators import clusters, flow, impact, joins, places, profiles, samples, signals, trades, windows
+from tradeframe.operators import clusters, flow, impact, joins, places, profiles, samples, signals, studies, trades, windows
 
 
 def test_constant_targets_have_no_correlation(spark):
@@ -179,3 +179,11 @@ def test_trader_pnl_of_cancelled_trades(spark, tmp_path):
 def test_trader_total_pnl_of_cancelled_trades(spark, tmp_path):
     cancelled(spark, tmp_path)
     assert_equals_sql(spark, tmp_path, "trader_total_pnl")
+
+
+def test_coins_launched_since_have_their_traders(spark):
+    """A trader counts once a coin, one without a name not at all; a coin's earlier trades are its own, so an old coin is left out."""
+    rows = [("a", 5, "u", True), ("a", 6, "u", False), ("a", 9, "v", True), ("a", 7, None, True), ("b", 4, "w", True), ("b", 8, "x", True), (None, 6, "u", True)]
+    trades_of = spark.createDataFrame(rows, "mint string, us long, swapper string, succeeded boolean").repartition(5)
+    got = {tuple(r) for r in studies.launched_since(trades_of, 5).select("mint", "first_us", "last_us", "trades", "traders", "succeeded").collect()}
+    assert got == {("a", 5, 9, 4, 2, 3), (None, 6, 6, 1, 1, 1)}
